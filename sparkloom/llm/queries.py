@@ -3,8 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparkloom.llm.decontamination import Decontamination
 from sparkloom.llm.ngram_join import NgramJaccardJoin
+from sparkloom.llm.recompression import SubstringDedup
+
+
+def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by 20-word windows that start earlier elsewhere, removed."""
+    return SubstringDedup(window=20).run(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words inside 10-word windows of benchmark items."""
+    found = Decontamination(window=10).run(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last_word"] - s["first_word"] + 1)
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated")
+    )
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,5 +29,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJaccardJoin(n=4, percent=85).run(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {
+    "op4_recompression": op4_recompression,
+    "op7_aho_corasick_decontamination": op7_aho_corasick_decontamination,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+}
 ORACLES: dict[str, str] = {}
