@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.decontamination import Decontamination
+from sparkloom.llm.embedding_dedup import EmbeddingDedup
 from sparkloom.llm.ngram_join import NgramJaccardJoin
 from sparkloom.llm.recompression import SubstringDedup
 
 
+def op1_subspace_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked by a cosine of 0.95 or more."""
+    return EmbeddingDedup(cosine=0.95).run(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by 20-word windows that start earlier elsewhere, removed."""
     return SubstringDedup(window=20).run(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -30,6 +36,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_subspace_pigeonhole_join": op1_subspace_pigeonhole_join,
     "op4_recompression": op4_recompression,
     "op7_aho_corasick_decontamination": op7_aho_corasick_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
