@@ -9,6 +9,7 @@ from sparkloom.llm.decontamination import Decontamination
 from sparkloom.llm.embedding_dedup import EmbeddingDedup
 from sparkloom.llm.ngram_join import NgramJaccardJoin
 from sparkloom.llm.recompression import SubstringDedup
+from sparkloom.llm.warc_zip import round_trip
 
 
 def op1_subspace_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,12 @@ def op1_subspace_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EmbeddingDedup(cosine=0.95).run(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op3_warc_zip_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records in ZIP packages, read back by range."""
+    back = round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by 20-word windows that start earlier elsewhere, removed."""
     return SubstringDedup(window=20).run(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -37,8 +44,17 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_subspace_pigeonhole_join": op1_subspace_pigeonhole_join,
+    "op3_warc_zip_reader": op3_warc_zip_reader,
     "op4_recompression": op4_recompression,
     "op7_aho_corasick_decontamination": op7_aho_corasick_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc_zip_reader": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+g AS (SELECT html, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY html)
+SELECT p.page_id, p.n AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN g.last <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.last <> p.page_id THEN g.last END AS refers_to
+FROM p LEFT JOIN g ON p.html = g.html""",
+}
