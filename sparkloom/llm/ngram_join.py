@@ -8,10 +8,10 @@ far cannot reach the bound go before anything is compared. What is left is compa
 on whole sets.
 
 Only links between sets that are not yet known to be connected are looked for: first
-each column's members are held against its smallest member, then, in columns that
-still hold several components, all members outside the largest component against
-all. A column of g near copies costs about g comparisons instead of g*g, and no link
-between different components is missed.
+each column's members are held against its most central one; then, in columns that
+still hold several components, members outside the largest one against a few of it;
+at last those still outside against all. A column of g near copies costs a few times g
+comparisons instead of g*g, and no link between different components is missed.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from sparkloom.llm.session import cut
 #: Shingles are counted in this many hash buckets; their counts only order the columns.
 COUNT_BUCKETS = 1 << 18
 _SLICE = 1 << 14
+#: Members of a column's largest component that each one outside is held against before the full comparison.
+REPRESENTATIVES = 8
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -164,11 +166,13 @@ class NgramJaccardJoin:
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         return cut(own.mapInArrow(_sign(self.n), "doc_id long, n_shingles long, node long, slice int, counts binary"))
 
+    def _sizes_possible(self, size_a, size_b):
+        return F.least(size_a, size_b) * self.den >= F.greatest(size_a, size_b) * self.num
+
     def _pairs_possible(self, size_a, size_b, pos_a, pos_b):
         """Sizes and positions that leave the bound within reach."""
-        low, high = F.least(size_a, size_b), F.greatest(size_a, size_b)
-        left = F.lit(1) + F.least(size_a - pos_a, size_b - pos_b) - 1
-        return (low * self.den >= high * self.num) & (left * (self.den + self.num) >= (size_a + size_b) * self.num)
+        left = F.least(size_a - pos_a, size_b - pos_b)
+        return self._sizes_possible(size_a, size_b) & (left * (self.den + self.num) >= (size_a + size_b) * self.num)
 
     def links(self, docs: DataFrame, signed: DataFrame) -> DataFrame:
         """Verified links (a, b, overlap, n_union) between set names that connect all components of the join."""
@@ -180,19 +184,34 @@ class NgramJaccardJoin:
             rank[s["slice"] * _SLICE : (s["slice"] + 1) * _SLICE] = np.frombuffer(s["counts"], np.int64)
         counts = spark.sparkContext.broadcast(rank.astype(np.float32))
         postings = own.select("text").mapInArrow(_postings(self.n, self.num, self.den, counts), "shingle long, node long, size int, pos int")
-        entry = F.struct("node", "size", "pos")
-        columns = postings.groupBy("shingle").agg(F.min(entry).alias("low"), F.max("node").alias("high")).where("low.node < high").select("shingle", "low")
+        columns = postings.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("shingle", "n")
         members = cut(postings.join(columns, "shingle").distinct())
-
-        star = members.where(F.col("node") > F.col("low.node")).where(self._pairs_possible(F.col("low.size"), F.col("size"), F.col("low.pos"), F.col("pos")))
-        star = cut(star.select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct())
-        known = cut(self._verify(own, signed, star))
+        central = members.groupBy("node").agg(F.sum("n").alias("central"))
+        members = cut(members.join(central, "node").drop("n"))
+
+        # Each member against its column's most central one: the one whose columns have most members.
+        tops = members.groupBy("shingle").agg(F.max(F.struct("central", "node", "size", "pos")).alias("top"))
+        star = members.join(tops, "shingle").where(F.col("node") != F.col("top.node")).where(self._pairs_possible(F.col("top.size"), F.col("size"), F.col("top.pos"), F.col("pos")))
+        star = cut(star.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct())
+        known = cut(self._verify(self._sets(own, signed, star.select(F.explode(F.array("a", "b")).alias("node"))), star))
         found = connected_components(known, "a", "b")
 
-        labelled = members.join(found, "node", "left").select("shingle", "node", "size", "pos", F.coalesce("component", "node").alias("part"))
-        parts = labelled.groupBy("shingle", "part").agg(F.count("*").alias("n"))
-        main = parts.groupBy("shingle").agg(F.max(F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", F.col("main.part").alias("main"))
-        mixed = cut(labelled.join(main, "shingle"))
+        # Columns that still hold several components: members outside the largest one against some central ones of it.
+        mixed = cut(self._mixed(members, found))
+        sets = cut(self._sets(own, signed, mixed.select("node")))
+        main = F.col("part") == F.col("main")
+        ranks = [F.max(F.when(main, F.struct((F.col("central") * (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1024)) + 1024)).alias("h"), "node", "size"))).alias(f"r{k}") for k in range(REPRESENTATIVES)]
+        chosen = mixed.groupBy("shingle").agg(*ranks)
+        outside = mixed.where("part <> main").join(chosen, "shingle").groupBy("node", "size", "main").agg(*[F.max(f"r{k}").alias(f"r{k}") for k in range(REPRESENTATIVES)])
+        some = outside.select("node", "size", F.explode(F.array(*[f"r{k}" for k in range(REPRESENTATIVES)])).alias("r")).where(self._sizes_possible(F.col("size"), F.col("r.size")))
+        some = some.select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+        tried = cut(some)
+        more = cut(self._verify(sets, tried))
+        joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
+        found = connected_components(joined, "a", "b")
+
+        # What is still outside, against all other members of its columns.
+        mixed = cut(self._mixed(mixed.drop("part", "main"), found))
         one = mixed.where("part <> main").select("shingle", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("pos").alias("x_pos"), F.col("part").alias("x_part"))
         other = mixed.select("shingle", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("pos").alias("y_pos"), F.col("part").alias("y_part"))
         rest = (
@@ -201,16 +220,25 @@ class NgramJaccardJoin:
             .where(self._pairs_possible(F.col("x_size"), F.col("y_size"), F.col("x_pos"), F.col("y_pos")))
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
-            .join(star, ["a", "b"], "left_anti")
+            .join(star.unionByName(tried), ["a", "b"], "left_anti")
         )
-        return known.unionByName(self._verify(own, signed, cut(rest)))
+        last = self._verify(sets, cut(rest))
+        return known.unionByName(more).unionByName(last)
+
+    def _mixed(self, members: DataFrame, found: DataFrame) -> DataFrame:
+        """Members of the columns that hold several components, with their component and the column's largest one."""
+        labelled = members.join(found, "node", "left").select("shingle", "node", "size", "pos", "central", F.coalesce("component", "node").alias("part"))
+        parts = labelled.groupBy("shingle", "part").agg(F.count("*").alias("n"))
+        main = parts.groupBy("shingle").agg(F.max(F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", F.col("main.part").alias("main"))
+        return labelled.join(main, "shingle")
+
+    def _sets(self, own: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Whole shingle sets of the nodes, each from one document that has it."""
+        one_each = signed.where("node is not null and doc_id is not null").join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        return own.join(one_each, "doc_id").select("node", "text").mapInArrow(_sets(self.n), "node long, set binary").dropDuplicates(["node"])
 
-    def _verify(self, own: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    def _verify(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
         """Pairs whose whole sets reach the bound."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        one_each = signed.where("node is not null and doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        texts = own.join(one_each, "doc_id").select("node", "text")
-        sets = texts.mapInArrow(_sets(self.n), "node long, set binary").dropDuplicates(["node"])
         both = (
             pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
