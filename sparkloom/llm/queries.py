@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm.decontamination import Decontamination
 from sparkloom.llm.embedding_dedup import EmbeddingDedup
 from sparkloom.llm.ngram_join import NgramJaccardJoin
+from sparkloom.llm.packing import LengthBuckets
 from sparkloom.llm.recompression import SubstringDedup
+from sparkloom.llm.sharding import HilbertShards
 from sparkloom.llm.warc_zip import round_trip
 
 
@@ -17,6 +19,11 @@ def op1_subspace_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EmbeddingDedup(cosine=0.95).run(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op2_optimal_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 16 padding-minimal buckets, batches of 65536 padded words."""
+    return LengthBuckets(buckets=16, max_tokens=4096, token_budget=65536).run(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_warc_zip_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC records in ZIP packages, read back by range."""
     back = round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -28,6 +35,14 @@ def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SubstringDedup(window=20).run(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 runs of equal count along the curve."""
+    shards = HilbertShards(shards=40)
+    return shards.run(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+        "doc_id", "size", "text_crc32", F.lit(shards.law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+    )
+
+
 def op7_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words inside 10-word windows of benchmark items."""
     found = Decontamination(window=10).run(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -44,8 +59,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_subspace_pigeonhole_join": op1_subspace_pigeonhole_join,
+    "op2_optimal_length_buckets": op2_optimal_length_buckets,
     "op3_warc_zip_reader": op3_warc_zip_reader,
     "op4_recompression": op4_recompression,
+    "op5_hilbert_sharding": op5_hilbert_sharding,
     "op7_aho_corasick_decontamination": op7_aho_corasick_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
