@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.decontamination import Decontamination
 from sparkloom.llm.embedding_dedup import EmbeddingDedup
+from sparkloom.llm.licenses import LicenseScan
 from sparkloom.llm.ngram_join import NgramJaccardJoin
 from sparkloom.llm.packing import LengthBuckets
 from sparkloom.llm.recompression import SubstringDedup
@@ -52,6 +53,12 @@ def op7_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     )
 
 
+def op8_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license signatures of every document."""
+    found = LicenseScan().run(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by 4-word shingles at a Jaccard similarity of 0.85 or more."""
     return NgramJaccardJoin(n=4, percent=85).run(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -64,6 +71,7 @@ QUERIES = {
     "op4_recompression": op4_recompression,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op7_aho_corasick_decontamination": op7_aho_corasick_decontamination,
+    "op8_license_signatures": op8_license_signatures,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
