@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.decontamination import Decontamination
 from sparkloom.llm.embedding_dedup import EmbeddingDedup
+from sparkloom.llm.labelled import fold
 from sparkloom.llm.licenses import LicenseScan
 from sparkloom.llm.ngram_join import NgramJaccardJoin
 from sparkloom.llm.packing import LengthBuckets
+from sparkloom.llm.quality import QualityRanking
 from sparkloom.llm.recompression import SubstringDedup
 from sparkloom.llm.sharding import HilbertShards
+from sparkloom.llm.toxicity import ToxicityGrammar
 from sparkloom.llm.warc_zip import round_trip
 
 
@@ -44,6 +47,14 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned outside fold 0 of 5."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    grammar = ToxicityGrammar(folds=5, held_out=0)
+    scored = grammar.score(docs, grammar.fit(docs, labels))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words inside 10-word windows of benchmark items."""
     found = Decontamination(window=10).run(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -59,6 +70,14 @@ def op8_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
 
 
+def op9_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned outside fold 2 of 4."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ranking = QualityRanking(folds=4, held_out=2, at=0.7)
+    scored = ranking.score(docs, ranking.fit(docs, labels))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by 4-word shingles at a Jaccard similarity of 0.85 or more."""
     return NgramJaccardJoin(n=4, percent=85).run(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -70,8 +89,10 @@ QUERIES = {
     "op3_warc_zip_reader": op3_warc_zip_reader,
     "op4_recompression": op4_recompression,
     "op5_hilbert_sharding": op5_hilbert_sharding,
+    "op6_toxicity_grammar": op6_toxicity_grammar,
     "op7_aho_corasick_decontamination": op7_aho_corasick_decontamination,
     "op8_license_signatures": op8_license_signatures,
+    "op9_bradley_terry_quality": op9_bradley_terry_quality,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
