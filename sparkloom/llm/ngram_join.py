@@ -29,6 +29,10 @@ from sparkloom.llm.session import cut
 #: Shingles are counted in this many hash buckets; their counts only order the columns.
 COUNT_BUCKETS = 1 << 18
 _SLICE = 1 << 14
+#: Bits of the maps that tell which shingles may stand in several sets, and which documents' sets are wanted. A map is
+#: as large for any input: where it fills up, more rows pass than need to, and no others are lost.
+SHARED_BITS, WANTED_BITS = 27, 24
+_MAP_PARTS = 256
 #: Members of a column's largest component that each one outside is held against before the full comparison.
 REPRESENTATIVES = 8
 _SHORT = np.uint64(0xA24BAED4963EE407)
@@ -93,37 +97,104 @@ def _sum_slices(table):
     return pa.table({"slice": table.column("slice").slice(0, 1).cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _postings(n: int, num: int, den: int, counts: Broadcast):
+def _prefixes(column, n: int, num: int, den: int, rank: np.ndarray):
+    """The columns of each set that have to be multiplied, from rare to common: shingles, sets' names and sizes, positions."""
+    for _, size, first, grams in shingle_sets(column, n):
+        if not len(grams):
+            continue
+        doc = np.repeat(np.arange(len(size)), size)
+        common = rank[(grams >> np.uint64(8)).astype(np.int64) % COUNT_BUCKETS]
+        order = np.lexsort((grams, common, doc))
+        pos = np.arange(len(grams)) - np.repeat(first[:-1], size)
+        keep = pos < np.repeat(size - _ceil_share(size, num, den) + 1, size)
+        yield grams[order][keep], set_key(size, first, grams)[doc[keep]], size[doc[keep]], pos[keep]
+
+
+def _spread(shingles: np.ndarray) -> np.ndarray:
+    return K.mix(shingles ^ _SHORT)
+
+
+def _announce(n: int, num: int, den: int, counts: Broadcast):
+    """32 bits of the hash of each distinct prefix shingle of a batch, by the first 8 bits; and, once, of those of several sets of the batch."""
+    schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            found = [_spread(x[0]) for x in _prefixes(batch.column("text"), n, num, den, counts.value)]
+            if not found:
+                continue
+            unique, times = np.unique(np.concatenate(found), return_counts=True)
+            first = np.searchsorted(unique, np.arange(_MAP_PARTS, dtype=np.uint64) << np.uint64(56))
+            ends = np.concatenate([first[1:], [len(unique)]])
+            short = (unique >> np.uint64(24)).astype(np.uint32)
+            for part, (a, b) in enumerate(zip(first, ends)):
+                if a < b:
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.concatenate([short[a:b], short[a:b][times[a:b] > 1]]).tobytes()], pa.binary())], schema=schema)
+
+    return run
+
+
+def _shared(table):
+    """A part of the map: bits of hashes that were announced more than once."""
+    sent = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("blob").to_pylist()])
+    unique, times = np.unique(sent, return_counts=True)
+    bits = np.zeros(1 << (SHARED_BITS - 8), np.uint8)
+    bits[(unique[times > 1] >> np.uint32(32 - SHARED_BITS + 8)).astype(np.int64)] = 1
+    return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "blob": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _postings(n: int, num: int, den: int, counts: Broadcast, shared: Broadcast):
     schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
 
     def run(batches):
-        rank = counts.value
         for batch in batches:
-            for _, size, first, grams in shingle_sets(batch.column("text"), n):
-                if not len(grams):
-                    continue
-                node = set_key(size, first, grams)
-                doc = np.repeat(np.arange(len(size)), size)
-                common = rank[(grams >> np.uint64(8)).astype(np.int64) % COUNT_BUCKETS]
-                order = np.lexsort((grams, common, doc))
-                pos = np.arange(len(grams)) - np.repeat(first[:-1], size)
-                prefix = size - _ceil_share(size, num, den) + 1
-                keep = pos < np.repeat(prefix, size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[order][keep].view(np.int64)), pa.array(node[doc[keep]]), pa.array(size[doc[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], schema=schema
-                )
+            for grams, node, size, pos in _prefixes(batch.column("text"), n, num, den, counts.value):
+                keep = _has(shared.value, _spread(grams) >> np.uint64(64 - SHARED_BITS))
+                yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(node[keep]), pa.array(size[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], schema=schema)
 
     return run
 
 
-def _sets(n: int):
-    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at.astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _wanted(batches):
+    """A map of the doc_ids of a task, without its empty parts."""
+    bits = np.zeros(1 << WANTED_BITS, np.uint8)
+    for batch in batches:
+        bits[(K.mix(batch.column("doc_id").to_numpy().view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)] = 1
+    parts = np.packbits(bits).reshape(_MAP_PARTS, -1)
+    used = [k for k in range(_MAP_PARTS) if parts[k].any()]
+    if used:
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names=["part", "blob"])
+
+
+def _either(table):
+    bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("blob").to_pylist()])
+    return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "blob": pa.array([bits.tobytes()], pa.binary())})
+
+
+def _map(parts: DataFrame, combine, bits: int) -> Broadcast:
+    """The whole map, 2 ** bits / 8 bytes, on every executor."""
+    whole = np.zeros((_MAP_PARTS, (1 << bits) // 8 // _MAP_PARTS), np.uint8)
+    for r in parts.groupBy("part").applyInArrow(combine, "part int, blob binary").collect():
+        whole[r["part"]] = np.frombuffer(r["blob"], np.uint8)
+    return parts.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+
+
+def _sets(n: int, wanted: Broadcast):
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("set", pa.binary())])
 
     def run(batches):
         for batch in batches:
+            ids = batch.column("doc_id")
+            keep = ids.is_valid().to_numpy(zero_copy_only=False)
+            keep &= _has(wanted.value, K.mix(ids.fill_null(0).to_numpy().view(np.uint64)) >> np.uint64(64 - WANTED_BITS))
+            batch = batch.filter(pa.array(keep))
             for row, size, first, grams in shingle_sets(batch.column("text"), n):
-                own = batch.column("node").slice(row, len(size))
-                yield pa.RecordBatch.from_arrays([own, pa.array([grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(size)), pa.array(set_key(size, first, grams)), pa.array([grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], schema=schema)
 
     return run
 
@@ -183,7 +254,9 @@ class NgramJaccardJoin:
         for s in slices:
             rank[s["slice"] * _SLICE : (s["slice"] + 1) * _SLICE] = np.frombuffer(s["counts"], np.int64)
         counts = spark.sparkContext.broadcast(rank.astype(np.float32))
-        postings = own.select("text").mapInArrow(_postings(self.n, self.num, self.den, counts), "shingle long, node long, size int, pos int")
+        texts = own.select("text")
+        shared = _map(texts.mapInArrow(_announce(self.n, self.num, self.den, counts), "part int, blob binary"), _shared, SHARED_BITS)
+        postings = texts.mapInArrow(_postings(self.n, self.num, self.den, counts, shared), "shingle long, node long, size int, pos int")
         columns = postings.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("shingle", "n")
         members = cut(postings.join(columns, "shingle").distinct())
         central = members.groupBy("node").agg(F.sum("n").alias("central"))
@@ -234,8 +307,9 @@ class NgramJaccardJoin:
 
     def _sets(self, own: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
         """Whole shingle sets of the nodes, each from one document that has it."""
-        one_each = signed.where("node is not null and doc_id is not null").join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        return own.join(one_each, "doc_id").select("node", "text").mapInArrow(_sets(self.n), "node long, set binary").dropDuplicates(["node"])
+        one_each = cut(signed.where("node is not null and doc_id is not null").join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+        wanted = _map(one_each.select("doc_id").mapInArrow(_wanted, "part int, blob binary"), _either, WANTED_BITS)
+        return own.mapInArrow(_sets(self.n, wanted), "doc_id long, node long, set binary").join(one_each, ["doc_id", "node"]).select("node", "set").dropDuplicates(["node"])
 
     def _verify(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
         """Pairs whose whole sets reach the bound."""
