@@ -39,7 +39,7 @@ def _(t):
 
 
 def _counts_sql(cols, table):
-    return " UNION ALL ".join(f"SELECT '{c}' AS "column", {c} AS value FROM {table}" for c in cols)
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value FROM {table}" for c in cols)
 
 
 @query(
