@@ -28,5 +28,5 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of additions does not show."""
-    return df.select(*[F.round(F.col(f"`{c}`"), places).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    """Doubles rounded, so that the order of additions does not show; adding 0.0 makes -0.0 plain zero."""
+    return df.select(*[(F.round(F.col(f"`{c}`"), places) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
