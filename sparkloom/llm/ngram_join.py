@@ -185,7 +185,7 @@ def _map(parts: DataFrame, combine, bits: int) -> Broadcast:
 
 
 def _sets(n: int, wanted: Broadcast):
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -193,8 +193,8 @@ def _sets(n: int, wanted: Broadcast):
             keep = ids.is_valid().to_numpy(zero_copy_only=False)
             keep &= _has(wanted.value, K.mix(ids.fill_null(0).to_numpy().view(np.uint64)) >> np.uint64(64 - WANTED_BITS))
             batch = batch.filter(pa.array(keep))
-            for row, size, first, grams in shingle_sets(batch.column("text"), n):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(size)), pa.array(set_key(size, first, grams)), pa.array([grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], schema=schema)
+            for _, size, first, grams in shingle_sets(batch.column("text"), n):
+                yield pa.RecordBatch.from_arrays([pa.array(set_key(size, first, grams)), pa.array([grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], schema=schema)
 
     return run
 
@@ -266,12 +266,11 @@ class NgramJaccardJoin:
         tops = members.groupBy("shingle").agg(F.max(F.struct("central", "node", "size", "pos")).alias("top"))
         star = members.join(tops, "shingle").where(F.col("node") != F.col("top.node")).where(self._pairs_possible(F.col("top.size"), F.col("size"), F.col("top.pos"), F.col("pos")))
         star = cut(star.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct())
-        known = cut(self._verify(self._sets(own, signed, star.select(F.explode(F.array("a", "b")).alias("node"))), star))
+        known = cut(self._verify(own, signed, star))
         found = connected_components(known, "a", "b")
 
         # Columns that still hold several components: members outside the largest one against some central ones of it.
         mixed = cut(self._mixed(members, found))
-        sets = cut(self._sets(own, signed, mixed.select("node")))
         main = F.col("part") == F.col("main")
         ranks = [F.max(F.when(main, F.struct((F.col("central") * (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1024)) + 1024)).alias("h"), "node", "size"))).alias(f"r{k}") for k in range(REPRESENTATIVES)]
         chosen = mixed.groupBy("shingle").agg(*ranks)
@@ -279,7 +278,7 @@ class NgramJaccardJoin:
         some = outside.select("node", "size", F.explode(F.array(*[f"r{k}" for k in range(REPRESENTATIVES)])).alias("r")).where(self._sizes_possible(F.col("size"), F.col("r.size")))
         some = some.select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
         tried = cut(some)
-        more = cut(self._verify(sets, tried))
+        more = cut(self._verify(own, signed, tried))
         joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
         found = connected_components(joined, "a", "b")
 
@@ -295,7 +294,7 @@ class NgramJaccardJoin:
             .distinct()
             .join(star.unionByName(tried), ["a", "b"], "left_anti")
         )
-        last = self._verify(sets, cut(rest))
+        last = self._verify(own, signed, cut(rest))
         return known.unionByName(more).unionByName(last)
 
     def _mixed(self, members: DataFrame, found: DataFrame) -> DataFrame:
@@ -305,20 +304,20 @@ class NgramJaccardJoin:
         main = parts.groupBy("shingle").agg(F.max(F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", F.col("main.part").alias("main"))
         return labelled.join(main, "shingle")
 
-    def _sets(self, own: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Whole shingle sets of the nodes, each from one document that has it."""
-        one_each = cut(signed.where("node is not null and doc_id is not null").join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    def _verify(self, own: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Pairs whose whole sets reach the bound. Only documents that stand for a set in a pair send it, one for each set (and a few more, where the map of wanted ones says so by chance)."""
+        if pairs.isEmpty():
+            return pairs.select("a", "b", F.lit(0).cast("long").alias("overlap"), F.lit(0).cast("long").alias("n_union"))
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        one_each = signed.where("node is not null and doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         wanted = _map(one_each.select("doc_id").mapInArrow(_wanted, "part int, blob binary"), _either, WANTED_BITS)
-        return own.mapInArrow(_sets(self.n, wanted), "doc_id long, node long, set binary").join(one_each, ["doc_id", "node"]).select("node", "set").dropDuplicates(["node"])
-
-    def _verify(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Pairs whose whole sets reach the bound."""
+        sets = own.mapInArrow(_sets(self.n, wanted), "node long, set binary")
         both = (
             pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
             .select("a", "b", "set_a", "set_b")
         )
-        return both.mapInArrow(_overlaps(self.num, self.den), "a long, b long, overlap long, n_union long")
+        return both.mapInArrow(_overlaps(self.num, self.den), "a long, b long, overlap long, n_union long").distinct()
 
     def run(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row of docs; component_id is the smallest doc_id reachable by links."""
