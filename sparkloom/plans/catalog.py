@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import quality, stats
-from sparkloom.plans import model_queries, profile_queries, series_queries, stat_queries  # noqa: F401  they register their queries
+from sparkloom.plans import model_queries, profile_queries, series_queries, source_queries, stat_queries  # noqa: F401  they register their queries
 from sparkloom.plans.registry import ORACLES, QUERIES, rounded
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -1 +1 @@
-
+"""Sources, sinks and the dataset store."""

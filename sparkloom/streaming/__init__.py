@@ -1 +1 @@
-
+"""Streams: there are none to express; every operator here works on bounded tables."""
