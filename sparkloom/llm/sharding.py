@@ -43,7 +43,7 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
 
         return F.transform(x, moved)
 
-    turned = F.aggregate(levels, start, turn)
+    turned = F.aggregate(levels, start, turn) if bits > 1 else start
 
     def gray(x: Column) -> Column:
         """Each coordinate xor all before it, then all xor the parity that the last one leaves."""
@@ -51,7 +51,7 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
 
     def finish(x: Column) -> Column:
         last = F.element_at(x, dims)
-        parity = F.aggregate(F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)]), F.lit(0).cast("long"), lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+        parity = F.aggregate(F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, -1, -1)]), F.lit(0).cast("long"), lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
         return F.transform(x, lambda v: v.bitwiseXOR(parity))
 
     bit_places = F.array(*[F.struct(F.lit(1 << b).cast("long").alias("q"), F.lit(d + 1).alias("d")) for b in range(bits - 1, -1, -1) for d in range(dims)])
