@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from sparkloom.config import AMBIGUOUS_FORMATS, DATETIME_FORMATS, DEFAULT, FALSE_WORDS, TRUE_WORDS, Config
 from sparkloom.functions import columns as C
-from sparkloom.operators.common import per_column
 from sparkloom.operators.stats import distinct_counts
 
 
@@ -44,42 +43,39 @@ def name_looks_like_id(name: str) -> bool:
     return "identifier" in words or bool({"id", "uuid", "guid"} & set(re.findall(r"[a-z0-9]+", words)))
 
 
-def _measures() -> dict:
-    share = lambda cond: F.avg(cond.cast("double"))
-    key = lambda c: F.lower(C.strip(c))
-    bit = lambda c, words: F.coalesce(*[F.when(key(c) == w, F.lit(1 << k)) for k, w in enumerate(words)], F.lit(0))
-    words_used = lambda c, words: F.bit_count(F.coalesce(F.bit_or(bit(c, words)), F.lit(0)))
-    number = lambda c: F.coalesce(C.parse_plain(c), C.parse_formatted(c))
-    return {
-        "n": lambda c: F.count(c),
-        "plain": lambda c: share(F.when(c.isNotNull(), C.parse_plain(c).isNotNull())),
-        "shaped": lambda c: share(C.strip(c).rlike(C.FORMATTED_NUMBER)),
-        "zeros": lambda c: share(c.rlike(C.LEADING_ZERO)),
-        "integral_plain": lambda c: F.min(C.parse_plain(c) % 1 == 0), "integral_shaped": lambda c: F.min(C.parse_formatted(c) % 1 == 0),
-        "low": lambda c: F.min(number(c)), "high": lambda c: F.max(number(c)),
-        "bools": lambda c: F.min(key(c).isin(*TRUE_WORDS, *FALSE_WORDS)),
-        "first_true": lambda c: F.min(F.when(key(c).isin(*TRUE_WORDS), C.strip(c))), "first_false": lambda c: F.min(F.when(key(c).isin(*FALSE_WORDS), C.strip(c))),
-        "trues": lambda c: words_used(c, TRUE_WORDS), "falses": lambda c: words_used(c, FALSE_WORDS),
-        "digits": lambda c: share(c.rlike(r"\d")), "avg_len": lambda c: F.avg(F.length(c).cast("double")), "med_len": lambda c: F.percentile(F.length(c).cast("double"), F.lit(0.5)),
-        "med_tokens": lambda c: F.percentile(F.size(F.filter(F.split(c, r"(?U)\s+"), lambda t: t != "")).cast("double"), F.lit(0.5)),
-        "datish": lambda c: share(c.rlike(r"[-/:]|[A-Za-z]{3}")),
-    }
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value) of every cell: the expressions over it are written, and compiled, once for all columns."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])))
 
 
 def column_evidence(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per string column with the counts and shares that types are decided on, from one read."""
+    """One row per string column with the counts and shares that types are decided on, from one read; partial sums are one row per column and task."""
     names = columns or [c for c, t in df.dtypes if t == "string"]
-    return per_column(df, names, _measures())
+    v = F.col("value")
+    cells = _cells(df, names).withColumns({"bare": C.strip(v)})
+    cells = cells.withColumns({"key": F.lower("bare"), "plain_": C.parse_plain(v), "shaped_": F.when(F.col("bare").rlike(C.FORMATTED_NUMBER), C.parse_formatted(v)), "tokens": F.size(F.filter(F.split(v, r"(?U)\s+"), lambda t: t != ""))})
+    share = lambda cond: F.avg(cond.cast("double"))
+    present, key, number = v.isNotNull(), F.col("key"), F.coalesce("plain_", "shaped_")
+    used = lambda words: F.bit_count(F.coalesce(F.bit_or(F.coalesce(*[F.when(key == w, F.lit(1 << k)) for k, w in enumerate(words)], F.lit(0))), F.lit(0)))
+    return cells.groupBy("column").agg(
+        F.count("value").alias("n"), share(F.when(present, F.col("plain_").isNotNull())).alias("plain"), share(F.when(present, F.col("shaped_").isNotNull())).alias("shaped"), share(v.rlike(C.LEADING_ZERO)).alias("zeros"),
+        F.min(F.col("plain_") % 1 == 0).alias("integral_plain"), F.min(F.col("shaped_") % 1 == 0).alias("integral_shaped"), F.min(number).alias("low"), F.max(number).alias("high"),
+        F.min(key.isin(*TRUE_WORDS, *FALSE_WORDS)).alias("bools"), F.min(F.when(key.isin(*TRUE_WORDS), F.col("bare"))).alias("first_true"), F.min(F.when(key.isin(*FALSE_WORDS), F.col("bare"))).alias("first_false"),
+        used(TRUE_WORDS).alias("trues"), used(FALSE_WORDS).alias("falses"), share(v.rlike(r"\d")).alias("digits"), F.avg(F.length(v).cast("double")).alias("avg_len"),
+        F.percentile(F.length(v).cast("double"), F.lit(0.5)).alias("med_len"), F.percentile(F.when(present, F.col("tokens")).cast("double"), F.lit(0.5)).alias("med_tokens"),
+    )
 
 
 def datetime_format(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, bool]]:
     """Format name (or 'mixed') and whether day and month may be swapped, for columns that parse as datetimes in 95 % of values."""
     if not columns:
         return {}
-    ways = {f"f{k}": (lambda p: lambda c: F.avg(F.when(c.isNotNull(), F.try_to_timestamp(c, F.lit(p)).isNotNull()).cast("double")))(p) for k, (_, p) in enumerate(DATETIME_FORMATS)}
-    ways["free"] = lambda c: F.avg(F.when(c.isNotNull(), C.parse_datetime(c, None).isNotNull()).cast("double"))
+    v = F.col("value")
+    ways = {f"f{k}": F.try_to_timestamp(v, F.lit(p)) for k, (_, p) in enumerate(DATETIME_FORMATS)}
+    ways["free"] = C.parse_datetime(v, None)
+    rows = _cells(df, columns).where(v.isNotNull()).groupBy("column").agg(*[F.avg(w.isNotNull().cast("double")).alias(k) for k, w in ways.items()])
     out = {}
-    for r in per_column(df, columns, ways).collect():
+    for r in rows.collect():
         passing = [name for k, (name, _) in enumerate(DATETIME_FORMATS) if (r[f"f{k}"] or 0) >= 0.95]
         if passing:
             out[r["column"]] = (passing[0], any(set(pair) <= set(passing) for pair in AMBIGUOUS_FORMATS))
