@@ -262,11 +262,13 @@ class NgramJaccardJoin:
         central = members.groupBy("node").agg(F.sum("n").alias("central"))
         members = cut(members.join(central, "node").drop("n"))
 
+        prefixes = cut(members.groupBy("node", "size").agg(F.collect_list("shingle").alias("prefix")))  # at most a share of one set's shingles
+
         # Each member against its column's most central one: the one whose columns have most members.
         tops = members.groupBy("shingle").agg(F.max(F.struct("central", "node", "size", "pos")).alias("top"))
         star = members.join(tops, "shingle").where(F.col("node") != F.col("top.node")).where(self._pairs_possible(F.col("top.size"), F.col("size"), F.col("top.pos"), F.col("pos")))
         star = cut(star.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct())
-        known = cut(self._verify(own, signed, star))
+        known = cut(self._verify(own, signed, prefixes, star))
         found = connected_components(known, "a", "b")
 
         # Columns that still hold several components: members outside the largest one against some central ones of it.
@@ -278,7 +280,7 @@ class NgramJaccardJoin:
         some = outside.select("node", "size", F.explode(F.array(*[f"r{k}" for k in range(REPRESENTATIVES)])).alias("r")).where(self._sizes_possible(F.col("size"), F.col("r.size")))
         some = some.select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
         tried = cut(some)
-        more = cut(self._verify(own, signed, tried))
+        more = cut(self._verify(own, signed, prefixes, tried))
         joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
         found = connected_components(joined, "a", "b")
 
@@ -294,7 +296,7 @@ class NgramJaccardJoin:
             .distinct()
             .join(star.unionByName(tried), ["a", "b"], "left_anti")
         )
-        last = self._verify(own, signed, cut(rest))
+        last = self._verify(own, signed, prefixes, cut(rest))
         return known.unionByName(more).unionByName(last)
 
     def _mixed(self, members: DataFrame, found: DataFrame) -> DataFrame:
@@ -304,8 +306,22 @@ class NgramJaccardJoin:
         main = parts.groupBy("shingle").agg(F.max(F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", F.col("main.part").alias("main"))
         return labelled.join(main, "shingle")
 
-    def _verify(self, own: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    def _within_reach(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+        """Pairs whose overlap in the multiplied columns leaves the bound within reach.
+
+        Shared shingles that do not stand in both prefixes lie behind the prefix that ends
+        first, so there are at most as many as the longer rest has.
+        """
+        side = lambda name: prefixes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("prefix").alias(f"prefix_{name}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        size_a, size_b = F.col("size_a").cast("long"), F.col("size_b").cast("long")
+        rest = F.ceil(F.greatest(size_a, size_b) * self.num / F.lit(self.den)) - 1
+        overlap = F.size(F.array_intersect("prefix_a", "prefix_b"))
+        return both.where((overlap + rest) * (self.den + self.num) >= (size_a + size_b) * self.num).select("a", "b")
+
+    def _verify(self, own: DataFrame, signed: DataFrame, prefixes: DataFrame, pairs: DataFrame) -> DataFrame:
         """Pairs whose whole sets reach the bound. Only documents that stand for a set in a pair send it, one for each set (and a few more, where the map of wanted ones says so by chance)."""
+        pairs = cut(self._within_reach(pairs, prefixes))
         if pairs.isEmpty():
             return pairs.select("a", "b", F.lit(0).cast("long").alias("overlap"), F.lit(0).cast("long").alias("n_union"))
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
