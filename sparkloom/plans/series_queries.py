@@ -38,7 +38,7 @@ def _(t):
 
 @query("prepare_series", f"WITH {_FULL} SELECT ts, round(y, 6) AS y, filled FROM s")
 def _(t):
-    return rounded(TS.prepare(t("orders"), "o_orderdate", "o_totalprice")[0])
+    return rounded(TS.prepare(t("orders"), "o_orderdate", "o_totalprice", freq="D")[0])
 
 
 @query("median_gap", f"WITH {_DAILY}, x AS (SELECT date_diff('second', lag(ts) OVER (ORDER BY ts), ts) / 86400.0 AS days FROM d) SELECT CAST(median(days) AS DOUBLE) AS median, CAST(max(days) AS DOUBLE) AS longest FROM x")
@@ -46,7 +46,11 @@ def _(t):
     return TS.gaps(t("orders"), "o_orderdate").agg(F.percentile("days", F.lit(0.5), F.col("n")).alias("median"), F.max("days").alias("longest"))
 
 
-@query("infer_frequency", f"WITH {_DAILY} SELECT 'D' AS freq, 'daily' AS label, date_diff('day', min(ts), max(ts)) + 1 - count(*) AS gaps, date_diff('day', min(ts), max(ts)) + 1 = count(*) AS regular FROM d")
+@query(
+    "infer_frequency",
+    f"""WITH {_DAILY}, m AS (SELECT median(days) AS s FROM (SELECT date_diff('second', lag(ts) OVER (ORDER BY ts), ts) AS days FROM d)), g AS (SELECT CAST(s AS BIGINT) AS s, (SELECT date_diff('second', min(ts), max(ts)) FROM d) // CAST(s AS BIGINT) + 1 AS grid, (SELECT count(*) FROM d) AS n FROM m)
+SELECT CASE WHEN s = 86400 THEN 'D' ELSE 'S' || s END AS freq, CASE WHEN s = 86400 THEN 'daily' ELSE 'custom (S' || s || ')' END AS label, greatest(grid - n, 0) AS gaps, grid <= n AS regular FROM g""",
+)
 def _(t):
     df = t("orders")
     i = TS.frequency(df, "o_orderdate")
