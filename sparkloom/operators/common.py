@@ -43,7 +43,7 @@ def cumulative(df: DataFrame, key: str, sums: list[str], partition: str | None =
     up over at most RANGES rows, and a window runs only within a range. No task holds the
     whole order.
     """
-    cuts = sorted(set(df.approxQuantile(key, [k / RANGES for k in range(1, RANGES)], 1 / RANGES))) if df.columns else []
+    cuts = sorted(set(df.approxQuantile(key, [k / RANGES for k in range(1, RANGES)], 1 / RANGES)))
     bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     own = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col(key))))
     groups = ["_range"] if partition is None else [partition, "_range"]

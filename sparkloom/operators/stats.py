@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkloom.config import DEFAULT, STOP_WORDS, Config
 from sparkloom.functions import columns as C
@@ -203,18 +202,3 @@ def overview(df: DataFrame) -> DataFrame:
     width = len(df.columns)
     head = cells.select("rows", F.lit(width).cast("long").alias("columns"), missing.alias("missing_cells"), F.round(missing / F.greatest(F.col("rows") * width, F.lit(1)).cast("double") * 100, 3).alias("missing_cell_pct"))
     return head.crossJoin(F.broadcast(duplicate_count(df).select(F.col("duplicates").alias("duplicate_rows"))))
-
-
-def numeric_types(df: DataFrame) -> dict[str, list[str]]:
-    """Column names by kind of Spark type."""
-    kinds: dict[str, list[str]] = {"numeric": [], "bool": [], "datetime": [], "string": []}
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.NumericType):
-            kinds["numeric"].append(f.name)
-        elif isinstance(f.dataType, T.BooleanType):
-            kinds["bool"].append(f.name)
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            kinds["datetime"].append(f.name)
-        else:
-            kinds["string"].append(f.name)
-    return kinds
