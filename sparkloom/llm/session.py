@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset (tests on one machine), one of its own."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
-    return sc.getCheckpointDir().rstrip("/")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
