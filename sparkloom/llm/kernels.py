@@ -16,7 +16,7 @@ _GOLD = U64(0x9E3779B97F4A7C15)
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _BASE = 0x2545F4914F6CDD1D
 #: Text bytes handled at a time; a longer document is handled on its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -47,7 +47,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64; kept, as each batch needs them."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 19)
         steps = np.full(size, base % 2**64, dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
