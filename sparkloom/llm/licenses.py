@@ -22,7 +22,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature: a pattern of words, tried where the keyword stands; priority decides overlaps, confidence the score."""
+    """A signature: a pattern of words, tried where the keyword stands, which every match must contain; priority decides overlaps, confidence the score."""
 
     label: str
     keyword: str
@@ -124,12 +124,18 @@ def _rules() -> list[Rule]:
     add("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", priority=95, confidence=0.99)
     add("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", priority=95, confidence=0.99)
     add("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", priority=95, confidence=0.98)
-    add("warranty-disclaimer", "warranty", "without warranty of any kind", "without warranties or conditions of any kind", "without any warranty", priority=30, confidence=0.5)
+    add("warranty-disclaimer", "warranty", "without warranty of any kind", priority=30, confidence=0.5)
+    add("warranty-disclaimer", "warranties", "without warranties or conditions of any kind", priority=30, confidence=0.5)
+    add("warranty-disclaimer", "warranty", "without any warranty", priority=30, confidence=0.5)
     add("warranty-disclaimer", "provided", "provided as is without", priority=30, confidence=0.5)
     add("proprietary", "proprietary", "proprietary and confidential", "confidential and proprietary", priority=65, confidence=0.9)
-    add("proprietary", "permission", "may not be reproduced without permission", "no part of this * may be reproduced", "reproduction without permission is prohibited", priority=60, confidence=0.85)
-    add("proprietary", "commercial", "not for commercial use", "non commercial use only", "for personal use only", priority=55, confidence=0.7)
-    add("all-purpose", "license", "see the? license|licence file? for details", "licensed under", priority=10, confidence=0.3)
+    add("proprietary", "permission", "may not be reproduced without permission", priority=60, confidence=0.85)
+    add("proprietary", "reproduced", "no part of this * may be reproduced", priority=60, confidence=0.85)
+    add("proprietary", "permission", "reproduction without permission is prohibited", priority=60, confidence=0.85)
+    add("proprietary", "commercial", "not for commercial use", "non commercial use only", priority=55, confidence=0.7)
+    add("proprietary", "personal", "for personal use only", priority=55, confidence=0.7)
+    add("all-purpose", "details", "see the? license|licence file? for details", priority=10, confidence=0.3)
+    add("all-purpose", "licensed", "licensed under", priority=10, confidence=0.3)
     return rules
 
 

@@ -133,5 +133,16 @@ def test_license_overlaps(spark, empty):
     assert got == {1: ["apache-2.0"], 2: ["cc-by", "cc-by-nc-sa-4.0"], 3: ["mit"], 4: ["gpl-3-or-later"], 5: []}
 
 
+def test_license_keywords_lose_no_match(spark):
+    for r in RULES:
+        assert r.keyword in {w for w in r.pattern.split() if not w.endswith("?") and "|" not in w and "*" not in w}, r
+    rows = [
+        (1, "distributed on an as is basis, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"), (2, "No part of this book may be reproduced"), (3, "For personal use only."), (4, "see the LICENCE file for details"),
+        (5, "Licensed under terms below"), (6, "see license for details"), (7, "warranties reproduced personal details licensed"),
+    ]
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 6)) for r in LicenseScan().run(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (["warranty-disclaimer"], 0.5), 2: (["proprietary"], 0.85), 3: (["proprietary"], 0.7), 4: (["all-purpose"], 0.3), 5: (["all-purpose"], 0.3), 6: (["all-purpose"], 0.3), 7: ([], 0.0)}
+
+
 def test_queries_have_contract_columns():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
