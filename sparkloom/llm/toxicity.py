@@ -2,11 +2,12 @@
 
 A lexical transducer rewrites words to classes with weights: insults, threats, targets,
 negations and verbs of reported speech. It holds hand-written entries and, for insults,
-words and word beginnings learned from labelled rows. Five small transducers over
-classes, one for each kind of context, are composed into one deterministic machine; it
-reads each clause that has an insult or a threat, and scores the match in its context:
-more with a target near, less under negation or in reported speech, a threat only with a
-target. Clause scores and the length of the text give a document's score by a logistic
+words and word beginnings learned from labelled rows. A first machine reads a clause from
+the right and marks insults and threats with a target after them. Five small transducers
+over classes, one for each kind of context, are composed into one deterministic machine;
+it then reads each clause that has an insult or a threat from the left, and scores the
+match in its context: more with a target near on either side, less under negation or in
+reported speech, a threat only with a target before or after it. Clause scores and the length of the text give a document's score by a logistic
 curve.
 """
 
@@ -25,7 +26,11 @@ from pyspark.sql import functions as F
 from sparkloom.llm.labelled import sample
 from sparkloom.llm.session import cut
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END = range(7)
+INSULT, THREAT, AIMED_INSULT, AIMED_THREAT, TARGET, NEGATION, REPORT, OTHER, END = range(9)
+#: AIMED_ classes are what the reading from the right makes of insults and threats with a target after them.
+INSULTS, THREATS = (INSULT, AIMED_INSULT), (THREAT, AIMED_THREAT)
+#: Words on each side of a target in which an insult weighs more.
+NEAR = 5
 
 #: Hand-written entries, by class.
 LEXICON = {
@@ -62,23 +67,36 @@ class Transducer:
         return Transducer(arcs, self.states * other.states)
 
 
-def _countdown(opens: int, reach: int, symbol: int, factor: float) -> dict:
-    """After `opens`, the next `reach` words are in its scope, in which `symbol` has `factor`."""
+def _countdown(opens: int, reach: int, symbols: tuple[int, ...], factor: float) -> dict:
+    """After `opens`, the next `reach` words are in its scope, in which `symbols` have `factor`."""
     arcs = {(s, opens): (reach, 1.0) for s in range(reach + 1)}
     for s in range(1, reach + 1):
         for c in range(END):
             if c != opens:
-                arcs[s, c] = (s - 1, factor if c == symbol else 1.0)
+                arcs[s, c] = (s - 1, factor if c in symbols else 1.0)
     return arcs
 
 
+def marking() -> list[list[tuple[int, int]]]:
+    """The machine that reads from the right: (next state, class) by state and class. An insult is aimed with a target in the NEAR words after it, a threat with one later in its clause."""
+    later = Transducer({(0, TARGET): (1, 1.0)}, 2)
+    near = Transducer(_countdown(TARGET, NEAR, (), 1.0), NEAR + 1)
+    both = later.compose(near)
+
+    def mark(state: int, symbol: int) -> int:
+        seen, left = divmod(state, near.states)
+        return AIMED_INSULT if symbol == INSULT and left else AIMED_THREAT if symbol == THREAT and seen else symbol
+
+    return [[(both.step(s, c)[0], mark(s, c)) for c in range(END + 1)] for s in range(both.states)]
+
+
 def grammar() -> Transducer:
-    """The composition of the five context machines."""
-    insult = Transducer({(0, INSULT): (1, 1.0), (1, INSULT): (1, 1.25)}, 2)  # insults that come together weigh more
-    threat = Transducer({(0, THREAT): (0, 0.0), (0, TARGET): (1, 1.0), (1, THREAT): (1, 1.0)}, 2)  # without a target it is no threat
-    target = Transducer(_countdown(TARGET, 5, INSULT, 1.5), 6)
-    negation = Transducer(_countdown(NEGATION, 3, INSULT, 0.3), 4)
-    report = Transducer({(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.6), (1, THREAT): (1, 0.4)}, 2)
+    """The composition of the five context machines, over marked classes."""
+    insult = Transducer({(0, c): (1, 1.0) for c in INSULTS} | {(1, c): (1, 1.25) for c in INSULTS}, 2)  # insults that come together weigh more
+    threat = Transducer({(0, THREAT): (0, 0.0), (0, TARGET): (1, 1.0), (1, THREAT): (1, 1.0)}, 2)  # without a target on either side it is no threat
+    target = Transducer(_countdown(TARGET, NEAR, INSULTS, 1.5) | {(0, AIMED_INSULT): (0, 1.5)}, NEAR + 1)
+    negation = Transducer(_countdown(NEGATION, 3, INSULTS + THREATS, 0.3), 4)
+    report = Transducer({(0, REPORT): (1, 1.0)} | {(1, c): (1, 0.6) for c in INSULTS} | {(1, c): (1, 0.4) for c in THREATS}, 2)
     return insult.compose(threat).compose(target).compose(negation).compose(report)
 
 
@@ -97,6 +115,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.classes = {w: (c, 2.0) for c, words in LEXICON.items() for w in words.split()}
+        self.marking = marking()
         machine = grammar()
         self.table = [[machine.step(s, c) for c in range(END + 1)] for s in range(machine.states)]
         self.memo: dict[str, tuple[int, float] | None] = {}
@@ -126,12 +145,15 @@ class Scorer:
         words = sum(1 for w in marks if w is None or w[0] != END)
         if not any(m is not None and m[0] <= THREAT for m in marks):
             return [], words
+        symbols, state = [], 0
+        for m in reversed(marks):
+            state, symbol = self.marking[state][OTHER if m is None else m[0]]
+            symbols.append(symbol)
         out, state, score = [], 0, 0.0
-        for m in marks:
-            symbol, weight = m if m is not None else (OTHER, 0.0)
+        for m, symbol in zip(marks, reversed(symbols)):
             state, factor = self.table[state][symbol]
-            if symbol <= THREAT:
-                score += weight * factor
+            if symbol <= AIMED_THREAT:
+                score += m[1] * factor
             elif symbol == END:
                 if score:
                     out.append(score)

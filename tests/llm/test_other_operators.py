@@ -151,6 +151,32 @@ def test_grammar_contexts():
     assert scorer.clauses(None) == ([], 0) and scorer.clauses("") == ([], 0)
 
 
+def test_grammar_reads_targets_on_both_sides():
+    scorer = toxicity.Scorer(toxicity.Model())
+    total = lambda t: sum(scorer.clauses(t)[0])
+    for text in ("I will kill you.", "we will destroy them", "Wir vernichten euch!", "Ich werde dich töten.", "Je vais tuer toi et les autres.", "Je vais te tuer.", "Voy a matar a ustedes.", "Te voy a matar."):
+        assert total(text) == 2.0, text
+    assert total("I will kill. You stay.") == total("I will kill time.") == 0 < total("I will not kill you.") < total("I will kill you.")
+    assert total("idiot, you are") == total("you are an idiot") == total("you idiot you") == 3.0 and total("idiot a b c d e you") == total("you a b c d e idiot") == 2.0
+
+    rng = random.Random(6)
+    words = {"idiot": toxicity.INSULT, "kill": toxicity.THREAT, "you": toxicity.TARGET, "not": toxicity.NEGATION, "said": toxicity.REPORT, "a": toxicity.OTHER}
+    for _ in range(500):
+        clauses = [rng.choices(list(words), (2, 2, 1, 1, 0.5, 8), k=rng.randrange(1, 16)) for _ in range(3)]
+        want = 0.0
+        for clause in clauses:
+            classes = [words[w] for w in clause]
+            for i, c in enumerate(classes):
+                less = 0.3 if toxicity.NEGATION in classes[max(0, i - 3) : i] else 1.0
+                told = toxicity.REPORT in classes[:i]
+                if c == toxicity.INSULT:
+                    want += 2 * less * (1.25 if c in classes[:i] else 1.0) * (1.5 if toxicity.TARGET in classes[max(0, i - 5) : i + 6] else 1.0) * (0.6 if told else 1.0)
+                elif c == toxicity.THREAT and toxicity.TARGET in classes:
+                    want += 2 * less * (0.4 if told else 1.0)
+        text = ". ".join(" ".join(c) for c in clauses)
+        assert total(text) == pytest.approx(want), text
+
+
 def labelled(spark, seed=4, n=700):
     rng = random.Random(seed)
     docs, labels = [], []
