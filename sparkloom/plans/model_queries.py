@@ -262,4 +262,4 @@ def _(t):
 
 @query("shapiro")
 def _(t):
-    return shapiro(t("events"), "value")
+    return shapiro(t("events"), "value", key="event_id")

@@ -164,6 +164,22 @@ def test_shapiro(spark):
     assert shapiro(df, "e").first()["verdict"] == "normality rejected" and shapiro(df.limit(3), "e").count() == 0
 
 
+def test_shapiro_samples_rows(spark, monkeypatch):
+    """Repeated values stand in the sample as often as in the table, above SAMPLE rows."""
+    monkeypatch.setattr("sparkloom.operators.normality.SAMPLE", 500)
+    rng = np.random.default_rng(4)
+    few = rng.binomial(2, 0.5, size=4000).astype(float)
+    hot = np.where(rng.random(4000) < 1 / 3, 0.0, rng.normal(5, 1, size=4000))
+    rare = np.array([0.0] * 3998 + [1.0, 2.0])
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(zip(few, hot, rare))], "id long, few double, hot double, rare double")
+    for column, values in (("few", few), ("hot", hot)):
+        for key in ("id", None):
+            r = shapiro(df, column, key=key).first()
+            assert r["n"] == 500 and abs(r["w"] - shapiro_wilk(values)[0]) < 0.03, (column, key)
+        assert shapiro(df.repartition(5), column, key="id").first()["w"] == pytest.approx(shapiro(df, column, key="id").first()["w"], abs=1e-12)
+    assert shapiro(df, "rare", key="id").count() == 1 and shapiro(df.where("rare < 2"), "rare", key="id").count() == 0
+
+
 def test_uploads(spark, tmp_path):
     assert tables.safe_filename("../../x/ev*il?.csv") == "ev_il_.csv" and tables.sniff("a;b;c\né;1,2;3".encode("latin-1")) == ("ISO-8859-1", ";")
     assert tables.clean_names([" a ", "", "a"]) == ["a", "unnamed_1", "a.1"]
