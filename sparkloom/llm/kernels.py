@@ -6,20 +6,22 @@ work on the UTF-8 bytes of a batch with numpy, so no Python code runs per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_GOLD = U64(0x9E3779B97F4A7C15)
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-_BASE = 0x2545F4914F6CDD1D
+#: Names are 128 bits wide: two lanes of 64 bits, each with constants of its own, that never see each other.
+_SEEDS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
+_FACTORS = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
 #: Text bytes handled at a time; a longer document is handled on its own.
 STEP_BYTES = 1 << 19
-
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+#: Words of more bytes are named one by one.
+_LONG_WORD = 256
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # keeps the first k of 8 bytes
 
 IDENTITY = np.arange(256, dtype=np.uint8)
 ASCII_LOWER = IDENTITY.copy()
@@ -40,36 +42,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_powers: dict[int, np.ndarray] = {}
+Name = tuple[np.ndarray, np.ndarray]
+
+
+def pick(name: Name, at) -> Name:
+    return name[0][at], name[1][at]
+
+
+def join(left: Name, right: Name) -> Name:
+    """Names of ordered pairs. In each lane, no two rights give the same name after one left, and no two lefts before one right."""
+    return tuple(mix(mix(a ^ seed) * factor + b) for a, b, seed, factor in zip(left, right, _SEEDS, _FACTORS))
+
+
+def tagged(name: Name, tag) -> Name:
+    """Names of (name, number)."""
+    number = np.atleast_1d(tag).astype(np.uint64)
+    return join(name, tuple(mix(number + seed) for seed in _SEEDS))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; kept, as each batch needs them."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        size = max(n + 1, 1 << 19)
-        steps = np.full(size, base % 2**64, dtype=np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if size > 1 << 22:
-            return have
-        _powers[base] = have
-    return have[: n + 1]
+def total(name: Name, first: np.ndarray) -> Name:
+    """Names of the sets name[first[k]:first[k + 1]] of distinct names, in any order: sums of the mixed names."""
+    out = []
+    for lane, factor in zip(name, _FACTORS):
+        sums = np.zeros(len(lane) + 1, dtype=np.uint64)
+        np.cumsum(mix(lane ^ factor), out=sums[1:])
+        out.append(sums[first[1:]] - sums[first[:-1]])
+    return tagged(tuple(out), np.diff(first))
 
 
-def range_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Hash of codes[start:end] for each range, the same wherever it stands."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    inverse = pow(base, -1, 2**64)
-    total = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum(codes * _power(base, len(codes))[:-1], out=total[1:])
-    value = (total[ends] - total[starts]) * _power(inverse, len(codes))[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * _GOLD)
+def _word_names(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Name:
+    """Names of folded[start:end], taken 8 bytes at a time."""
+    sizes = ends - starts
+    lanes = [mix(sizes.astype(np.uint64) * factor + seed) for seed, factor in zip(_SEEDS, _FACTORS)]
+    padded = np.concatenate([folded, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(folded) + 1,), np.dtype("<u8"), padded, 0, (1,))
+    long = np.flatnonzero(sizes > _LONG_WORD)
+    short = np.where(sizes > _LONG_WORD, 0, sizes)
+    done, active = 0, np.flatnonzero(short > 0)
+    while len(active):
+        chunk = eight[starts[active] + done] & _HEAD[np.minimum(short[active] - done, 8)]
+        for lane, seed in zip(lanes, _SEEDS):
+            lane[active] = mix(lane[active] ^ mix(chunk + seed))
+        done += 8
+        active = active[short[active] > done]
+    if len(long):
+        digests = b"".join(hashlib.blake2b(folded[a:b].tobytes(), digest_size=16).digest() for a, b in zip(starts[long], ends[long]))
+        for lane, part in zip(lanes, np.frombuffer(digests, "<u8").reshape(-1, 2).T):
+            lane[long] = mix(lane[long] ^ part)
+    return tuple(lanes)
 
 
 class Words:
-    """Words of some documents: where each starts and ends in data, its document and its hash."""
+    """Words of some documents: where each starts and ends in data, its document and its name."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray):
         self.data, self.offsets = data, offsets
@@ -88,14 +112,22 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)  # first word of each document, and the end
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
-        self.hash = range_hash(_BYTE_CODE[folded], self.starts, self.ends)
-
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of each run of n words that stays within a document."""
-        if len(self.hash) < n:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        at = np.flatnonzero(self.doc[: len(self.doc) - n + 1] == self.doc[n - 1 :])
-        return at, range_hash(self.hash, at, at + n, 0x5851F42D4C957F2D)
+        self.name = _word_names(folded, self.starts, self.ends)
+
+    def windows(self, n: int) -> tuple[np.ndarray, Name]:
+        """First word and name of each run of n words that stays within a document.
+
+        A run of 2 m words is a pair of runs of m words, one of n a pair that may overlap.
+        """
+        count = len(self.doc) - n + 1
+        if count <= 0:
+            return np.zeros(0, dtype=np.int64), (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        name, m = self.name, 1
+        while 2 * m <= n:
+            name, m = join(pick(name, slice(0, len(name[0]) - m)), pick(name, slice(m, None))), 2 * m
+        at = np.flatnonzero(self.doc[:count] == self.doc[n - 1 :])
+        name = join(pick(name, at), pick(name, at + (n - m))) if m < n else pick(name, at)
+        return at, tagged(name, n)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,23 +1,30 @@
 """Substring dedup by recompression.
 
-Texts are rewritten in rounds: equal neighbours become one run symbol, then
-neighbouring symbols whose names fall into the left and the right half of a coin
-become one pair symbol. A symbol's name is a hash of what it stands for, so every
-executor gives equal runs and pairs the same name, and equal substrings get equal
-symbols away from their edges. One exchange finds which top symbols stand in more
-than one place; only windows whose inner symbols all do can repeat. Those windows
-are then named by all their words, and a second exchange finds where each stands
-first.
-
-Documents are dealt into chunks by doc_id once; the three passes over a chunk (name,
-propose, remove) reuse that exchange. Between passes a chunk sends each distinct name
-once, packed by hash bucket, so a name that stands everywhere costs one entry per
-chunk, and gets one bit back.
+Texts are rewritten in rounds. In each, a maximal run of equal symbols becomes one
+symbol, and then neighbouring symbols whose coins show left and right become one pair
+symbol. The name of a symbol is a 128-bit digest of what it stands for, so every
+executor gives equal runs and pairs the same name without asking, and equal substrings
+get equal symbols but for some at their edges: a run may go on outside, and a symbol at
+the edge may have its partner outside.
+
+A window is what the rounds leave of it: the runs and symbols that each round takes
+from its two ends, and the top symbols between them. Equal windows, wherever they stand,
+are taken apart in the same way, so this sequence is the same, and it spells the window.
+One exchange finds which top symbols stand in more than one place; only windows whose
+top symbols all do can repeat, and only those are spelled. A second exchange finds where
+each spelling stands first.
+
+Documents are dealt into chunks once; the three passes over a chunk (name, propose,
+remove) reuse that exchange. Between passes a chunk sends each distinct name once,
+packed by hash bucket, so a name that stands everywhere costs one entry per chunk, and
+gets one bit back. Entries, and rows that hold them, are at most as many as the distinct
+names of the chunks, whatever the number of buckets.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,50 +36,127 @@ from sparkloom.llm import kernels as K
 
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
-_RUN, _PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157)
 _LAST = np.iinfo(np.int64).max
-
-
-def plan_rounds(window: int) -> tuple[int, int]:
-    """Pair rounds after the run round, and words at each end of a window whose symbols may depend on what stands outside.
-
-    A run symbol spans at most 2 words, and 2 at each end may be cut; each pair round
-    may cut one more symbol at each end and doubles the span. At least 4 words are left.
-    """
-    rounds, edge, span = 0, 2, 2
-    if window < 8:
-        return -1, 0
-    while window - 2 * (edge + span) >= 4:
-        rounds, edge, span = rounds + 1, edge + span, 2 * span
-    return rounds, edge
-
-
-def symbols(name: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the top symbols and how many words each spans. rounds < 0: the words themselves."""
-    span = np.ones(len(name), dtype=np.int64)
-    for level in range(rounds + 1):
-        if len(name) < 2:
-            break
-        near = doc[1:] == doc[:-1]
-        if level == 0:
-            same = near & (name[1:] == name[:-1])
-            longer = np.zeros(len(same), bool)  # runs of 3 and more stay as they are
-            longer[1:] |= same[:-1]
-            longer[:-1] |= same[1:]
-            merge = same & ~longer
-            joined = K.mix(name[:-1] * _RUN + np.uint64(2))
-        else:
-            coin = (K.mix(name + np.uint64(level)) & np.uint64(1)).astype(bool)
-            merge = near & ~coin[:-1] & coin[1:]
-            joined = K.mix(name[:-1] * _PAIR + name[1:] * _RUN + np.uint64(level))
-        head = np.flatnonzero(merge)
-        name, span = name.copy(), span.copy()
-        name[head] = joined[head]
-        span[head] += span[head + 1]
-        stay = np.ones(len(name), bool)
-        stay[head + 1] = False
-        name, span, doc = name[stay], span[stay], doc[stay]
-    return name, span
+_EMPTY = (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
+
+
+def plan_rounds(window: int) -> int:
+    """Rounds after which a window usually still holds top symbols: each takes about three symbols from its ends and leaves symbols a third longer."""
+    rounds = 0
+    while 9 * ((4 / 3) ** (rounds + 1) - 1) <= 0.65 * window:
+        rounds += 1
+    return rounds
+
+
+@dataclass
+class Round:
+    """One round over the symbols of some documents."""
+
+    name: K.Name  # the symbols that come in
+    first: np.ndarray  # where the run of each begins
+    last: np.ndarray  # and ends
+    run: np.ndarray  # its place among the runs
+    run_name: K.Name
+    coin: np.ndarray  # of each run: whether it is a right half
+    into: np.ndarray  # its place among the symbols that go out
+
+
+def recompress(name: K.Name, doc: np.ndarray, rounds: int) -> tuple[list[Round], K.Name]:
+    """The rounds, and the names of the top symbols."""
+    out = []
+    for level in range(rounds):
+        head = np.ones(len(doc), bool)
+        head[1:] = (name[0][1:] != name[0][:-1]) | (name[1][1:] != name[1][:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], len(doc))
+        run = np.cumsum(head) - 1
+        runs, doc = K.pick(name, first), doc[first]
+        many = np.flatnonzero(last - first > 1)
+        if len(many):
+            runs = tuple(x.copy() for x in runs)
+            for lane, value in zip(runs, K.tagged(K.pick(runs, many), (last - first)[many])):
+                lane[many] = value
+        coin = (K.mix(runs[0] + np.uint64(level)) >> np.uint64(40) & np.uint64(1)).astype(bool)
+        merge = np.zeros(len(doc), bool)
+        merge[:-1] = ~coin[:-1] & coin[1:] & (doc[1:] == doc[:-1])
+        stay = np.ones(len(doc), bool)
+        stay[1:] = ~merge[:-1]
+        left = np.flatnonzero(merge)
+        pairs = K.join(K.pick(runs, left), K.pick(runs, left + 1))
+        top = tuple(x.copy() for x in runs)
+        for lane, value in zip(top, pairs):
+            lane[left] = value
+        out.append(Round(name, first[run], last[run], run, runs, coin, np.cumsum(stay) - 1))
+        name, doc = K.pick(top, stay), doc[stay]
+    return out, name
+
+
+def inner(rounds: list[Round], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The top symbols [left, right) that each window of words [left, right) is left with."""
+    for r in rounds:
+        _, left, right, _ = _off_runs(r, left, right)
+        _, left, right, _ = _off_halves(r, left, right)
+    return left, right
+
+
+def _moved(left: np.ndarray, right: np.ndarray, into: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same stretches, counted in the symbols that `into` leads to; an empty one is [0, 0)."""
+    some = left < right
+    begin, end = np.where(some, left, 0), np.where(some, right - 1, 0)
+    return np.where(some, into[begin], 0), np.where(some, into[end] + 1, 0)
+
+
+def _off_runs(r: Round, left: np.ndarray, right: np.ndarray):
+    """Takes a run off each end, as far as it lies in the window: (how many symbols on the left, new stretch in runs, how many on the right)."""
+    if not len(r.run):
+        return left * 0, left * 0, left * 0, left * 0
+    some = left < right
+    begin = np.where(some, np.minimum(r.last[np.where(some, left, 0)], right), left)
+    some = begin < right
+    end = np.where(some, np.maximum(r.first[np.where(some, right - 1, 0)], begin), right)
+    taken, after = begin - left, right - end
+    begin, end = _moved(begin, end, r.run)
+    return taken, begin, end, after
+
+
+def _off_halves(r: Round, left: np.ndarray, right: np.ndarray):
+    """Takes off a right half at the left end and a left half at the right end, whose partners may stand outside."""
+    if not len(r.coin):
+        return left * 0, left * 0, left * 0, left * 0
+    taken = ((left < right) & r.coin[np.where(left < right, left, 0)]).astype(np.int64)
+    begin = left + taken
+    after = ((begin < right) & ~r.coin[np.where(begin < right, right - 1, 0)]).astype(np.int64)
+    begin, end = _moved(begin, right - after, r.into)
+    return taken, begin, end, after
+
+
+def spell(rounds: list[Round], top: K.Name, left: np.ndarray, right: np.ndarray) -> K.Name:
+    """Names of windows of words [left, right) by what the rounds take from their ends and the top symbols that are left."""
+    heads, tails = ([np.full(len(left), seed) for seed in _EMPTY] for _ in range(2))
+
+    def put(chain, own, name):
+        for lane, value in zip(chain, K.join(tuple(lane[own] for lane in chain), name)):
+            lane[own] = value
+
+    for r in rounds:
+        taken, begin, end, after = _off_runs(r, left, right)
+        own = np.flatnonzero(taken)
+        put(heads, own, K.tagged(K.pick(r.name, left[own]), taken[own]))
+        own = np.flatnonzero(after)
+        put(tails, own, K.tagged(K.pick(r.name, right[own] - 1), after[own]))
+        left, right = begin, end
+        taken, begin, end, after = _off_halves(r, left, right)
+        own = np.flatnonzero(taken)
+        put(heads, own, K.pick(r.run_name, left[own]))
+        own = np.flatnonzero(after)
+        put(tails, own, K.pick(r.run_name, right[own] - 1))
+        left, right = begin, end
+    at, own = left.copy(), np.flatnonzero(left < right)
+    while len(own):
+        put(heads, own, K.pick(top, at[own]))
+        at[own] += 1
+        own = own[at[own] < right[own]]
+    return K.join(tuple(heads), tuple(tails))
 
 
 class _Chunk:
@@ -84,37 +168,30 @@ class _Chunk:
         self.table = table.take(pa.array(order))
         self.ids = ids[order]
         self.window = window
-        self.rounds, self.edge = plan_rounds(window)
         self.parts = list(K.steps(self.table.column("text"), K.BLANK_WORD, K.IDENTITY))
-        named = [symbols(w.hash, w.doc, self.rounds) for _, w in self.parts]
-        self.spans = [s for _, s in named]
-        self.names = np.concatenate([n for n, _ in named] or [np.zeros(0, np.uint64)])
-        self.unique, self.of = np.unique(self.names, return_inverse=True)
+        self.rounds = [recompress(w.name, w.doc, plan_rounds(window)) for _, w in self.parts]
+        names = np.concatenate([top[0] for _, top in self.rounds] or [np.zeros(0, np.uint64)])
+        self.unique, self.of = np.unique(names, return_inverse=True)
         self.times = np.bincount(self.of, minlength=len(self.unique))
 
     def proposed(self, repeated: np.ndarray):
-        """Windows whose inner symbols all stand in several places: for each, its name, doc_id, start in the document, step, and start in the step. Sorted by document and start."""
-        names, ids, starts, step, word = [], [], [], [], []
-        flags, k = repeated[self.of], 0
-        for n, ((row, w), span) in enumerate(zip(self.parts, self.spans)):
-            own = np.repeat(flags[k : k + len(span)], span)
-            k += len(span)
-            at, name = w.windows(self.window)
-            if len(at):
-                seen = np.zeros(len(own) + 1, dtype=np.int64)
-                np.cumsum(own, out=seen[1:])
-                inner = self.window - 2 * self.edge
-                keep = seen[at + self.edge + inner] - seen[at + self.edge] == inner
-                at, name = at[keep], name[keep]
-            names.append(name)
-            ids.append(self.ids[row + w.doc[at]])
-            starts.append(at - w.first[w.doc[at]])
-            step.append(np.full(len(at), n))
-            word.append(at)
-        kinds = (np.uint64, np.int64, np.int64, np.int64, np.int64)
-        out = [np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in zip((names, ids, starts, step, word), kinds)]
+        """Windows whose top symbols all stand in several places: for each, its name (in two columns), doc_id, start in the document, step, and start in the step. Sorted by document and start."""
+        found, flags, k = [], repeated[self.of], 0
+        for n, ((row, w), (rounds, top)) in enumerate(zip(self.parts, self.rounds)):
+            seen = np.concatenate([[0], np.cumsum(flags[k : k + len(top[0])])])
+            k += len(top[0])
+            count = len(w.doc) - self.window + 1
+            if count <= 0:
+                continue
+            at = np.flatnonzero(w.doc[:count] == w.doc[self.window - 1 :])
+            left, right = inner(rounds, at, at + self.window)
+            at = at[seen[right] - seen[left] == right - left]
+            low, high = spell(rounds, top, at, at + self.window)
+            found.append((low, high, self.ids[row + w.doc[at]], at - w.first[w.doc[at]], np.full(len(at), n), at))
+        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)
+        out = [np.concatenate(x).astype(t) for x, t in zip(zip(*found), kinds)] if found else [np.zeros(0, t) for t in kinds]
         if (self.ids[1:] == self.ids[:-1]).any():  # rows that share a doc_id
-            order = np.lexsort((out[2], out[1]))
+            order = np.lexsort((out[3], out[2]))
             out = [x[order] for x in out]
         return out
 
@@ -171,10 +248,16 @@ def _several(table):
     return _bits(table, 0, np.split(times[of] > 1, np.cumsum([len(b) for b in blobs])[:-1]))
 
 
-def _firsts(names, ids, starts):
-    """Of each distinct name, in order: where it stands first. The windows come in order of document and start."""
-    unique, at = np.unique(names, return_index=True)
-    return unique, ids[at], starts[at]
+def _firsts(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct name stands first, in order, and which of these each window has. The windows come in order of document and start."""
+    order = np.lexsort((high, low))
+    head = np.ones(len(order), bool)
+    head[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+    first, of = order[head], np.empty(len(order), dtype=np.int64)
+    place = np.empty(len(first), dtype=np.int64)
+    place[np.argsort(first)] = np.arange(len(first))
+    of[order] = place[np.cumsum(head) - 1]
+    return np.sort(first), of
 
 
 def _repeated(chunk: _Chunk, back, n: int) -> np.ndarray:
@@ -186,8 +269,9 @@ def _propose(window: int, n: int):
         if not table.num_rows:
             return _SENT.empty_table()
         chunk = _Chunk(table, window)
-        unique, ids, starts = _firsts(*chunk.proposed(_repeated(chunk, back, n))[:3])
-        return _pack(unique, n, [unique, ids, starts.astype(np.uint32)], table.column("chunk")[0].as_py(), _SENT)
+        low, high, ids, starts = chunk.proposed(_repeated(chunk, back, n))[:4]
+        first, _ = _firsts(low, high)
+        return _pack(low[first], n, [low[first], high[first], ids[first], starts[first].astype(np.uint32)], table.column("chunk")[0].as_py(), _SENT)
 
     return run
 
@@ -195,16 +279,18 @@ def _propose(window: int, n: int):
 def _earliest(table):
     """Which windows of each chunk stand first there of all places."""
     blobs = table.column("blob").to_pylist()
-    sizes = [len(b) // 20 for b in blobs]
-    names = np.concatenate([np.frombuffer(b, np.uint64, s) for b, s in zip(blobs, sizes)])
-    ids = np.concatenate([np.frombuffer(b, np.int64, s, 8 * s) for b, s in zip(blobs, sizes)])
-    starts = np.concatenate([np.frombuffer(b, np.uint32, s, 16 * s) for b, s in zip(blobs, sizes)])
-    order = np.lexsort((starts, ids, names))
-    names, ids, starts = names[order], ids[order], starts[order]
-    head = np.ones(len(names), bool)
-    head[1:] = names[1:] != names[:-1]
+    sizes = [len(b) // 28 for b in blobs]
+
+    def column(kind, at):
+        return np.concatenate([np.frombuffer(b, kind, s, at * s) for b, s in zip(blobs, sizes)])
+
+    low, high, ids, starts = column(np.uint64, 0), column(np.uint64, 8), column(np.int64, 16), column(np.uint32, 24)
+    order = np.lexsort((starts, ids, high, low))
+    low, high, ids, starts = low[order], high[order], ids[order], starts[order]
+    head = np.ones(len(low), bool)
+    head[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-    first = np.empty(len(names), bool)
+    first = np.empty(len(low), bool)
     first[order] = (ids == ids[lead]) & (starts == starts[lead])
     return _bits(table, 1, np.split(first, np.cumsum(sizes)[:-1]))
 
@@ -214,15 +300,15 @@ def _remove(window: int, n: int, schema: pa.Schema, carried: list[str], with_tex
         if not table.num_rows:
             return schema.empty_table()
         chunk = _Chunk(table, window)
-        names, ids, starts, step, word = chunk.proposed(_repeated(chunk, back, n))
-        unique, low_id, low_start = _firsts(names, ids, starts)
-        first = _answer(unique, n, back, 1)
-        of = np.searchsorted(unique, names)
-        again = ~(first[of] & (ids == low_id[of]) & (starts == low_start[of]))
+        low, high, ids, starts, step, word = chunk.proposed(_repeated(chunk, back, n))
+        lead, of = _firsts(low, high)
+        first = _answer(low[lead], n, back, 1)[of]
+        lead = lead[of]
+        again = ~(first & (ids == ids[lead]) & (starts == starts[lead]))
         step, word = step[again], word[again]
         n_words, n_removed, sha, texts = [], [], [], []
         for k, (_, w) in enumerate(chunk.parts):
-            cover = np.zeros(len(w.hash) + 1, dtype=np.int64)
+            cover = np.zeros(len(w.doc) + 1, dtype=np.int64)
             at = word[step == k]
             np.add.at(cover, at, 1)
             np.add.at(cover, at + window, -1)
@@ -265,7 +351,8 @@ class SubstringDedup:
     earlier. A null doc_id comes after all others. Tables may be empty, texts of any
     length; further columns are ignored unless carried.
 
-    Windows are compared by a 64-bit hash of their words.
+    Windows are told apart by 128-bit names. Rows of the same doc_id and text are held in
+    one chunk; others are spread, whatever their doc_id.
     """
 
     def __init__(self, window: int = 20):
@@ -279,7 +366,7 @@ class SubstringDedup:
         n_chunks, n_buckets = max(128, total // CHUNK_BYTES), max(64, total // BUCKET_BYTES)
         inner = [f"carried_{k}" for k in range(len(carry))]
         own = docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n_chunks)).alias("chunk"), *[F.col(c).alias(i) for c, i in zip(carry, inner)]
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(n_chunks)).alias("chunk"), *[F.col(c).alias(i) for c, i in zip(carry, inner)]
         )
         names = own.groupBy("chunk").applyInArrow(_name(self.window, n_buckets), _SENT_SQL)
         several = names.groupBy("bucket").applyInArrow(_several, _BACK_SQL)

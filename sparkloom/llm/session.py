@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset (tests on one machine), one of its own."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a session on one machine makes its own; on a cluster that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-"))
     return (named or sc.getCheckpointDir()).rstrip("/")
 
@@ -26,3 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once, keep it in the shared folder, and go on from there: lost executors cost no recomputation of what came before."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same as a table, for rows that are large or read more than once: it is compressed and read by column."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from sparkloom.llm import queries
 from sparkloom.llm.decontamination import Decontamination
 from sparkloom.llm.licenses import BASE, RULES, LicenseScan
 from sparkloom.llm.ngram_join import NgramJaccardJoin
-from sparkloom.llm.recompression import SubstringDedup, plan_rounds
+from sparkloom.llm.recompression import SubstringDedup, plan_rounds, recompress, spell
 from tests.llm import helpers as H
 
 CLASH = {"node": "1", "chunk": "'x'", "_part": "cast(null as string)", "size": "2.5", "t": "'t'", "score": "true"}
@@ -41,8 +42,55 @@ def test_jaccard_components(frame, docs, n, percent):
 
 def test_jaccard_links_are_exact(frame, docs):
     join = NgramJaccardJoin(4, 85)
-    for r in join.links(frame, join.signatures(frame)).collect():
-        assert r["overlap"] * 100 >= 85 * r["n_union"]
+    sets = {i: H.shingles(t, 4) for i, t in docs}
+    links = join.links(frame, join.rows(frame, join.signatures(frame))).collect()
+    assert links
+    for r in links:
+        a, b = sets[r["a"]], sets[r["b"]]
+        assert (r["overlap"], r["n_union"]) == (len(a & b), len(a | b)) and r["overlap"] * 100 >= 85 * r["n_union"]
+
+
+def test_jaccard_of_long_and_short_sets(spark):
+    """Sets of unlike size, so that their column blocks fold, with links on both sides of the bound."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 90, 105, 400, 1500]))]
+        for _ in range(4):
+            words = list(base)
+            for _ in range(rng.randrange(0, max(2, len(words) // 25))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((rng.randrange(10**9), " ".join(words[rng.randrange(1 + len(words) // 15) :])))
+    sets = {i: H.shingles(t, 4) for i, t in rows}
+    got = {r["doc_id"]: r["component_id"] for r in NgramJaccardJoin(4, 85).run(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == H.components(sets, 85, 100) and 60 < len(set(got.values())) < 240
+
+
+def test_jaccard_of_shared_passages(spark):
+    """Documents of common passages: many columns with the same rows, few links."""
+    rng = random.Random(4)
+    passages = [H.prose(rng, 40, 10**6) for _ in range(12)]
+    rows = [(k, " ".join(rng.sample(passages, 4))) for k in range(300)]
+    sets = {i: H.shingles(t, 4) for i, t in rows}
+    got = {r["doc_id"]: r["component_id"] for r in NgramJaccardJoin(4, 85).run(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == H.components(sets, 85, 100)
+
+
+THUE = ["ab", "ba"]
+for _ in range(11):
+    THUE = [THUE[0] + THUE[1], THUE[1] + THUE[0]]
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words are told apart, by their letters and by their words."""
+    common = [f"w{k}" for k in range(19)]
+    letters = [(1, " ".join([*common, THUE[0]])), (2, " ".join([*common, THUE[1]]))]
+    words = [(3, " ".join(THUE[0])), (4, " ".join(THUE[1]))]
+    for rows in (letters, words):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in SubstringDedup(20).run(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+        assert got == H.repeats(rows, 20)
+    whole = [(1, THUE[0]), (2, THUE[1])]
+    assert {r["doc_id"]: r["component_id"] for r in NgramJaccardJoin(4, 85).run(spark.createDataFrame(whole, "doc_id long, text string")).collect()} == {1: 1, 2: 2}
 
 
 def test_jaccard_odd_tables(spark, empty):
@@ -50,6 +98,8 @@ def test_jaccard_odd_tables(spark, empty):
     rows = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (3, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in NgramJaccardJoin().run(rows).collect() if r["doc_id"] is not None)
     assert got == [(False, 3, 3), (False, 7, 7), (False, 7, 7)]
+    versions = [(7, "a b c d e f"), (7, "one text of another kind"), (9, "one text of another kind"), (8, "no link to any of these"), (7, "")]
+    assert sorted((r["doc_id"], r["component_id"]) for r in NgramJaccardJoin().run(spark.createDataFrame(versions, "doc_id long, text string")).collect()) == [(7, 7), (7, 7), (7, 7), (8, 8), (9, 7)]
 
 
 @pytest.mark.parametrize("window", [1, 5, 20, 50])
@@ -60,10 +110,25 @@ def test_repeats(frame, docs, window):
     assert all(r["kept_sha256"] == hashlib.sha256(r["kept_text"].encode()).hexdigest() for r in rows)
 
 
-def test_repeats_rounds_leave_an_inner_symbol():
-    for window in range(8, 200):
-        rounds, edge = plan_rounds(window)
-        assert rounds >= 0 and window - 2 * edge >= 4
+def test_repeats_windows_are_spelled_alike_wherever_they_stand():
+    """Names of windows agree exactly where their words do, in texts with long runs and periods."""
+    import pyarrow as pa
+
+    from sparkloom.llm import kernels as K
+
+    rng = random.Random(8)
+    for window in (1, 2, 5, 8, 20, 33):
+        texts = [" ".join(rng.choice("ab" if k % 3 else "abcdefgh") * (1 if k % 2 else 1) for _ in range(rng.randrange(0, 150))) for k in range(40)] + ["a " * 90, "a b " * 60, "b a a " * 30]
+        names, words = {}, {}
+        for row, w in K.steps(pa.array(texts), K.BLANK_WORD, K.IDENTITY, 700):
+            rounds, top = recompress(w.name, w.doc, plan_rounds(window))
+            own = [x for t in texts[row : row + len(w.counts)] for x in t.split()]
+            at = [k for k in range(len(own) - window + 1) if w.doc[k] == w.doc[k + window - 1]]
+            if at:
+                low, high = spell(rounds, top, np.array(at), np.array(at) + window)
+                for k, name in zip(at, zip(low.tolist(), high.tolist())):
+                    key = tuple(own[k : k + window])
+                    assert names.setdefault(name, key) == key and words.setdefault(key, name) == name
 
 
 def test_repeats_many_periodic_texts(spark):
