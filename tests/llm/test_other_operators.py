@@ -141,40 +141,86 @@ def test_zip64_directory():
         warc_zip.members(Source(b"no archive"))
 
 
+def paid(scorer, text):
+    return sum(w * scorer.factors[kind][context] for clause in scorer.clauses(text)[0] for kind, context, w in clause)
+
+
 def test_grammar_contexts():
     scorer = toxicity.Scorer(toxicity.Model())
-    total = lambda t: sum(scorer.clauses(t)[0])
-    assert total("you are an idiot.") > total("an idiot.") > total("you said an idiot.") > 0
+    total = lambda t: paid(scorer, t)
+    assert total("you are an idiot.") > total("an idiot.") > total("someone said an idiot.") > total("someone said not an idiot.") > 0
     assert total("he is not an idiot.") < total("he is an idiot.")
-    assert total("they will kill time.") == total("we kill.") or total("we kill.") == 0
+    assert total("they will kill time.") > 0 == total("we kill time.") == total("we kill.")  # they are a target, whichever way the verb goes
     assert total("I will kill. You stay.") == 0 < total("you I will kill.")
     assert scorer.clauses(None) == ([], 0) and scorer.clauses("") == ([], 0)
 
 
 def test_grammar_reads_targets_on_both_sides():
     scorer = toxicity.Scorer(toxicity.Model())
-    total = lambda t: sum(scorer.clauses(t)[0])
+    total = lambda t: paid(scorer, t)
     for text in ("I will kill you.", "we will destroy them", "Wir vernichten euch!", "Ich werde dich töten.", "Je vais tuer toi et les autres.", "Je vais te tuer.", "Voy a matar a ustedes.", "Te voy a matar."):
-        assert total(text) == 2.0, text
+        assert total(text) == 2.0 and scorer.score(text) > 0.5, text
     assert total("I will kill. You stay.") == total("I will kill time.") == 0 < total("I will not kill you.") < total("I will kill you.")
+    assert scorer.score("I will kill time.") < 0.5
     assert total("idiot, you are") == total("you are an idiot") == total("you idiot you") == 3.0 and total("idiot a b c d e you") == total("you a b c d e idiot") == 2.0
 
+
+def test_grammar_against_a_plain_reader():
+    """Class, context and weight of every match, where words are looked at one by one."""
+    model = toxicity.Model(words={"lout": (toxicity.INSULT, 1.5), "smite": (toxicity.THREAT, 2.5)}, prefixes={"grob": (toxicity.INSULT, 1.25)})
+    scorer = toxicity.Scorer(model)
+    kinds = {"idiot": (toxicity.INSULT, 2.0), "lout": (toxicity.INSULT, 1.5), "grobx": (toxicity.INSULT, 1.25), "kill": (toxicity.THREAT, 2.0), "smite": (toxicity.THREAT, 2.5)}
+    others = {"you": toxicity.TARGET, "not": toxicity.NEGATION, "said": toxicity.REPORT, "a": toxicity.OTHER, "gro": toxicity.OTHER}
+    classes = {w: k for w, (k, _) in kinds.items()} | others
     rng = random.Random(6)
-    words = {"idiot": toxicity.INSULT, "kill": toxicity.THREAT, "you": toxicity.TARGET, "not": toxicity.NEGATION, "said": toxicity.REPORT, "a": toxicity.OTHER}
-    for _ in range(500):
-        clauses = [rng.choices(list(words), (2, 2, 1, 1, 0.5, 8), k=rng.randrange(1, 16)) for _ in range(3)]
-        want = 0.0
+    for _ in range(700):
+        clauses = [rng.choices(list(classes), (1, 1, 1, 2, 1, 1, 1, 0.5, 8, 1), k=rng.randrange(1, 16)) for _ in range(3)]
+        want = []
         for clause in clauses:
-            classes = [words[w] for w in clause]
-            for i, c in enumerate(classes):
-                less = 0.3 if toxicity.NEGATION in classes[max(0, i - 3) : i] else 1.0
-                told = toxicity.REPORT in classes[:i]
-                if c == toxicity.INSULT:
-                    want += 2 * less * (1.25 if c in classes[:i] else 1.0) * (1.5 if toxicity.TARGET in classes[max(0, i - 5) : i + 6] else 1.0) * (0.6 if told else 1.0)
-                elif c == toxicity.THREAT and toxicity.TARGET in classes:
-                    want += 2 * less * (0.4 if told else 1.0)
+            read = [classes[w] for w in clause]
+            found = []
+            for i, w in enumerate(clause):
+                if w in kinds:
+                    near = read[max(0, i - 5) : i + 6] if read[i] == toxicity.INSULT else read
+                    context = toxicity.AIMED * (toxicity.TARGET in near) | toxicity.NEGATED * (toxicity.NEGATION in read[max(0, i - 3) : i]) | toxicity.REPORTED * (toxicity.REPORT in read[:i])
+                    found.append((read[i], context, kinds[w][1]))
+            want += [found] * bool(found)
         text = ". ".join(" ".join(c) for c in clauses)
-        assert total(text) == pytest.approx(want), text
+        assert scorer.clauses(text) == (want, sum(map(len, clauses))), text
+        factors = {toxicity.INSULT: (1.5, 0.3, 0.6), toxicity.THREAT: (1.0, 0.3, 0.4)}
+        by_hand = [sum(w * (context & 1 or kind == toxicity.INSULT) * np.prod([f for k, f in enumerate(factors[kind]) if context >> k & 1]) for kind, context, w in clause) for clause in want]
+        x = scorer.features(text)
+        assert x[4] == pytest.approx(max(by_hand, default=0.0)) and np.expm1(x[1]) == pytest.approx(sum(by_hand))
+
+
+def test_toxicity_learns_contexts(spark):
+    """Labels that depend on contexts alone: a word that is toxic unless it is reported, and one that is toxic only at a target."""
+    rng = random.Random(12)
+    docs, labels = [], []
+    for i in range(900):
+        clauses = [H.prose(rng, rng.randrange(4, 9), 60) for _ in range(6)]
+        case = i % 12
+        if case in (0, 1, 4):
+            clauses[rng.randrange(6)] = f"{'someone said that ' * (case == 1)}w1 a zounder w2"
+        elif case in (2, 3, 6):
+            clauses[rng.randrange(6)] = f"w1 flimmer {'w2' if case == 3 else 'you'} w3"
+        docs.append((i, ". ".join(clauses)))
+        labels.append((i, int(case in (0, 2, 4, 6))))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.ToxicityGrammar().fit(docs, labels)
+    assert model.words["flimmer"][0] == toxicity.THREAT and model.words["zounder"][0] == toxicity.INSULT
+    scorer = toxicity.Scorer(model)
+    filler = ". w5 w6 w7 w8. w9 w10 w11 w12. w13 w14 w15"
+    assert scorer.score("w1 a zounder w2" + filler) > 0.5 > scorer.score("someone said that w1 a zounder w2" + filler)
+    assert scorer.score("w1 flimmer you w3" + filler) > 0.5 > scorer.score("w1 flimmer w2 w3" + filler)
+
+
+def test_toxicity_odd_rows(spark):
+    rows = [(1, "you idiot " * 30000), (1, "you idiot " * 30000), (None, "I will kill you"), (2, None), (3, ""), (4, "...!!!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("x"), "scored_text": F.lit(1), "carried_0": F.lit(None).cast("string")})
+    got = toxicity.ToxicityGrammar().score(df, toxicity.Model(), carry=("text",)).collect()
+    assert len(got) == 6 and [r["text"] for r in got] == [t for _, t in rows]
+    assert got[0]["score"] == got[1]["score"] > 0.5 and got[2]["score"] > 0.5 and got[3]["score"] == got[4]["score"] == got[5]["score"] < 0.5
 
 
 def labelled(spark, seed=4, n=700):
