@@ -22,26 +22,19 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
     end and links of a node to itself say nothing and are left out; no links give
     an empty frame.
     """
-    edges = cut(
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v")))
-        .distinct()
-    )
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v")))
+    edges = cut(edges.repartition("u").distinct())
     before = _digest(edges)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(ends)).repartition("u")  # what follows, up to the next repartition, needs no exchange
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = cut(
-            small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u > v")
-            .distinct()
-        )
+        small = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+        edges = cut(small.where("u > v").repartition("u").distinct())
         now = _digest(edges)
         if now == before:
             break

@@ -378,6 +378,11 @@ class NgramJaccardJoin:
 
     def links(self, docs: DataFrame, rows: DataFrame) -> DataFrame:
         """Verified links (a, b, overlap, n_union) between rows that connect all components of the join."""
+        first, more, last, _ = self._search(docs, rows)
+        return first.unionByName(more).unionByName(last)
+
+    def _search(self, docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Links of the three comparisons, and the components after the first two."""
         members = self.columns(rows)
 
         # Each row against its column's most central one: the one whose columns have most rows.
@@ -412,8 +417,7 @@ class NgramJaccardJoin:
             .distinct()
             .join(star.unionByName(tried), ["a", "b"], "left_anti")
         )
-        last = self._linked(docs, rows, self._within_bounds(rows, rest))
-        return known.unionByName(more).unionByName(last)
+        return known, more, cut(self._linked(docs, rows, self._within_bounds(rows, rest))), found
 
     def _mixed(self, members: DataFrame, found: DataFrame) -> DataFrame:
         """Entries of the columns that hold several components, with their component and the column's largest one."""
@@ -425,7 +429,7 @@ class NgramJaccardJoin:
     def _within_bounds(self, rows: DataFrame, pairs: DataFrame) -> DataFrame:
         """Pairs whose shingles by column block leave a link within reach."""
         side = lambda name: rows.select(F.col("row").alias(name), F.col("size").alias(f"size_{name}"), F.col("blocks").alias(f"blocks_{name}"))
-        return cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(self.num, self.den), "a long, b long").distinct())
+        return cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(self.num, self.den), "a long, b long"))
 
     def _linked(self, docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
         """Pairs whose whole sets link. Only documents that stand for a row in a pair send their set (and a few more, where the map of wanted ones says so by chance)."""
@@ -436,7 +440,7 @@ class NgramJaccardJoin:
         bits = _map(wanted.mapInArrow(_wanted, "part int, blob binary"), _either, WANTED_BITS)
         sets = written(_own(docs).mapInArrow(_sets(self.n, bits), "low long, high long, set binary").join(names, ["low", "high"]).select("row", "set"))
         both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-        return both.mapInArrow(_product(self.num, self.den), "a long, b long, overlap long, n_union long").distinct()
+        return both.mapInArrow(_product(self.num, self.den), "a long, b long, overlap long, n_union long")
 
     def run(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row of docs; component_id is the smallest doc_id reachable by links."""
@@ -450,8 +454,10 @@ class NgramJaccardJoin:
         several = mapped.groupBy("doc_id").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("doc_id")
         versions = mapped.join(several, "doc_id", "left_semi").where("row is not null").select(F.col("doc_id").alias("a"), F.col("row").alias("b"))
 
-        links = self.links(docs, self.rows(docs, signed)).select("a", "b").unionByName(versions)
-        found = connected_components(links, "a", "b")
+        _, _, last, found = self._search(docs, self.rows(docs, signed))
+        late = cut(last.select("a", "b").unionByName(versions))
+        if not late.isEmpty():
+            found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late), "a", "b")
         labels = named.join(found, named["row"] == found["node"], "left").select("low", "high", "part", F.coalesce("component", "row").alias("component_id"))
         return every.join(labels, ["low", "high", "part"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -166,11 +166,21 @@ def test_leaks_in_rounds(spark, frame, docs, monkeypatch):
     items = [(k, " ".join(t.split()[:15])) for k, (_, t) in enumerate(docs) if t]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = H.leaks(docs, items, 10)
-    monkeypatch.setattr(decontamination, "ROUND_BYTES", 3000)
+    monkeypatch.setattr(decontamination, "ROUND_NODES", 2000)
+    monkeypatch.setattr(decontamination, "PIECE_WORDS", 4)
     rows = Decontamination(10).run(frame, bench).collect()
     assert {r["doc_id"]: (r["n_words"], sum(s["last_word"] - s["first_word"] + 1 for s in r["spans"]), r["items"]) for r in rows} == want
 
 
+def test_leaks_of_a_benchmark_with_very_many_words():
+    """More distinct words than there are characters."""
+    from sparkloom.llm.decontamination import Automaton
+
+    n = 1_150_000
+    machine = Automaton([(k, f"q{k}") for k in range(n)] + [(n, "one two three four")], 3)
+    assert machine.scan([b"q7", b"x", f"q{n - 1}".encode(), b"two", b"three", b"four"]) == ([(0, 1), (2, 6)], {7, n - 1, n})
+
+
 def test_leaks_odd_tables(spark, empty, frame, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert Decontamination().run(empty, bench).count() == 0
