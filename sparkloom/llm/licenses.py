@@ -4,7 +4,9 @@ Texts are lower-cased and brought to words that each have a blank on both sides.
 is a regex over such text, gated by a keyword: only rules whose keyword stands in a text are
 tried on it. Each match is an interval; an interval inside another one of higher
 priority (or of the same priority and longer, or the same and from an earlier rule) is
-suppressed, and what is left gives the labels. DataFrame functions only.
+suppressed, and what is left gives the labels. Matches are swept once, by start: what is
+kept along the way is how far the matches so far of each priority reach. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -153,6 +155,10 @@ def _words(spaced: Column) -> Column:
     return F.floor((F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
+_PLACES = "array<struct<start:int,back:int,rank:int,rule:int,label:string,priority:int,confidence:double,end:int>>"
+_KEPT = "array<struct<first_word:bigint,last_word:bigint,label:string,priority:int,confidence:double>>"
+
+
 class LicenseScan:
     """Licenses, with their places, in whole texts.
 
@@ -169,17 +175,44 @@ class LicenseScan:
 
         def places(rule: Column) -> Column:
             pieces, hits = F.split(t, rule["regex"], -1), F.regexp_extract_all(t, rule["regex"], F.lit(0))
-            size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-            return F.transform(
-                F.arrays_zip(hits.alias("hit")),
-                lambda h, i: F.struct(
-                    rule["id"].alias("rule"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["confidence"].alias("confidence"),
-                    (size(pieces, i + 1) + size(hits, i)).alias("start"), (size(pieces, i + 1) + size(hits, i + 1)).alias("end"),
-                ),
-            )
+            none = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("done"))
+
+            def add(state: Column, pair: Column) -> Column:
+                start = state["at"] + F.length(pair["piece"])
+                end = start + F.length(pair["hit"])
+                place = F.struct(
+                    start.alias("start"), (-end).alias("back"), (-rule["priority"]).alias("rank"), rule["id"].alias("rule"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["confidence"].alias("confidence"), end.alias("end")
+                )
+                return F.struct(end.alias("at"), F.concat(state["done"], F.array(place)).alias("done"))
+
+            pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"))
+            return F.aggregate(pairs, none, add, lambda state: state["done"])
 
         return F.flatten(F.transform(gated, places))
 
+    def _left(self, t: Column, every: Column) -> Column:
+        """Places that no other one suppresses, by start, with their first and last word.
+
+        Sorted by start and then from the longest down, whatever holds a place comes before
+        it, so a place goes if a match of its priority or a higher one reached its end.
+        """
+        levels = sorted({r.priority for r in self.rules})
+        none = F.struct(
+            F.array(*[F.lit(-1) for _ in levels]).alias("reach"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("word"), F.array().cast(_KEPT).alias("done")
+        )
+        priorities = F.array(*[F.lit(p) for p in levels])
+
+        def add(state: Column, m: Column) -> Column:
+            held = F.exists(F.arrays_zip(priorities.alias("priority"), state["reach"].alias("reach")), lambda x: (x["priority"] >= m["priority"]) & (x["reach"] >= m["end"]))
+            word = state["word"] + _words(F.substring(t, state["at"] + 1, m["start"] - state["at"]))
+            place = F.struct(word.alias("first_word"), (word + _words(F.substring(t, m["start"] + 1, m["end"] - m["start"])) - 1).alias("last_word"), m["label"].alias("label"), m["priority"].alias("priority"), m["confidence"].alias("confidence"))
+            return F.struct(
+                F.transform(state["reach"], lambda end, k: F.when(F.get(priorities, k) == m["priority"], F.greatest(end, m["end"])).otherwise(end)).alias("reach"),
+                F.when(held, state["at"]).otherwise(m["start"]).alias("at"), F.when(held, state["word"]).otherwise(word).alias("word"), F.when(held, state["done"]).otherwise(F.concat(state["done"], F.array(place))).alias("done"),
+            )
+
+        return F.aggregate(F.array_sort(every), none, add, lambda state: state["done"])
+
     def run(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_words, n_base, first_word, last_word, base_labels, found, labels, score).
 
@@ -198,7 +231,7 @@ class LicenseScan:
         times = F.aggregate("base", F.lit(0).cast("long"), lambda n, b: n + F.floor((F.length(t) - F.length(F.replace(t, b["phrase"], F.lit("")))) / F.length(b["phrase"])).cast("long"))
 
         keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in self.rules})])
-        present = F.filter(keywords, lambda k: t.contains(F.concat(F.lit(" "), k, F.lit(" "))))
+        present = F.array_intersect(F.split(F.trim(t), "  "), keywords)
         rules = F.array(
             *[F.struct(F.lit(k).alias("id"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence")) for k, r in enumerate(self.rules)]
         )
@@ -206,20 +239,10 @@ class LicenseScan:
         gated = F.when(F.size("present") > 0, F.filter(rules, lambda r: F.array_contains("present", r["keyword"]))).otherwise(F.filter(rules, lambda r: F.lit(False)))
         own = own.withColumn("every", self._found(t, gated))
 
-        def beats(a: Column, b: Column) -> Column:
-            """a holds b and comes before it."""
-            holds = (a["start"] <= b["start"]) & (a["end"] >= b["end"])
-            longer = a["end"] - a["start"] > b["end"] - b["start"]
-            same = a["end"] - a["start"] == b["end"] - b["start"]
-            return holds & ((a["priority"] > b["priority"]) | (a["priority"] == b["priority"]) & (longer | same & (a["rule"] < b["rule"])))
-
-        left = F.filter("every", lambda m: ~F.exists("every", lambda o: beats(o, m)))
-        own = own.withColumn("left", left)
-        word = lambda at: _words(F.substring(t, F.lit(1), at))
-        found = F.transform("left", lambda m: F.struct(word(m["start"]).alias("first_word"), (word(m["end"]) - 1).alias("last_word"), m["label"].alias("label"), m["priority"].alias("priority"), m["confidence"].alias("confidence")))
+        own = own.withColumn("left", F.when(F.size("every") > 0, self._left(t, F.col("every"))).otherwise(F.array().cast(_KEPT)))
         base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
         doubt = F.aggregate("left", F.when(F.size("base") > 0, F.lit(0.2)).otherwise(F.lit(1.0)), lambda p, m: p * (1 - m["confidence"]))
         return own.select(
-            "doc_id", _words(t).alias("n_words"), times.alias("n_base"), F.array_min(first).alias("first_word"), F.array_max(last).alias("last_word"), base_labels.alias("base_labels"), F.array_sort(found).alias("found"),
+            "doc_id", _words(t).alias("n_words"), times.alias("n_base"), F.array_min(first).alias("first_word"), F.array_max(last).alias("last_word"), base_labels.alias("base_labels"), F.array_sort("left").alias("found"),
             F.array_sort(F.array_union(base_labels, F.array_distinct(F.transform("left", lambda m: m["label"])))).alias("labels"), (1 - doubt).alias("score"),
         )

@@ -221,3 +221,68 @@ def test_license_keywords_lose_no_match(spark):
 
 def test_queries_have_contract_columns():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+
+
+def suppressed(text, rules):
+    """Places of rules in a text, read one by one, without those that another one beats."""
+    import re
+
+    words = H.ALNUM.findall(H.lower(text))
+    spaced = "".join(f" {w} " for w in words)
+    found = [(m.start(), m.end(), k, r) for k, r in enumerate(rules) if r.keyword in words for m in re.finditer(r.regex, spaced)]
+    beats = lambda o, m: o[0] <= m[0] and o[1] >= m[1] and (o[3].priority > m[3].priority or (o[3].priority == m[3].priority and (o[1] - o[0] > m[1] - m[0] or (o[:2] == m[:2] and o[2] < m[2]))))
+    left = [m for m in found if not any(beats(o, m) for o in found)]
+    at = lambda x: spaced[:x].count(" ") // 2
+    return sorted((at(a), at(b) - 1, r.label, r.priority, r.confidence) for a, b, _, r in left)
+
+
+def test_license_suppression_against_all_pairs(spark):
+    """Texts of fragments of notices, with many overlaps, and every rule's own pattern."""
+    rng = random.Random(21)
+    parts = sorted({r.pattern.replace("?", "").replace("*", "any") for r in RULES})
+    plain = [" ".join(w.split("|")[0] for w in p.split()) for p in parts]
+    bits = plain + ["gnu general public license version 2 or later", "cc by nc sa 4 0", "all rights reserved", "mit", "license", "the", "under", "é"]
+    rows = [(k, "; ".join(rng.choices(bits, k=rng.randrange(0, 14)))) for k in range(120)] + [(1000 + k, p) for k, p in enumerate(plain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"left": F.lit(1), "every": F.lit("x"), "present": F.lit(True), "base": F.lit(None).cast("int")}).repartition(4)
+    got = {r["doc_id"]: [tuple(x) for x in r["found"]] for r in LicenseScan().run(df).collect()}
+    for i, text in rows:
+        assert got[i] == suppressed(text, RULES), (i, text)
+
+
+def test_license_long_text_of_notices(spark):
+    """Thousands of matches in one text take time in proportion."""
+    import time
+
+    notice = "Licensed under the Apache License, Version 2.0. GPL-3.0-or-later. CC BY-SA 4.0; all rights reserved. "
+    rows = spark.createDataFrame([(1, notice * 1200), (2, notice * 1200)], "doc_id long, text string")
+    began = time.perf_counter()
+    for r in LicenseScan().run(rows).collect():
+        assert r["n_words"] == 1200 * 21 and r["labels"] == ["apache-2.0", "cc-by", "cc-by-sa-4.0", "gpl-3-or-later", "reserved"] and len(r["found"]) == 1200 * 4
+    assert time.perf_counter() - began < 60
+
+
+def test_queries_of_text_operators_on_small_tables(spark, tmp_path, docs):
+    """Each opN_ query on a fixture, with the columns and types of its contract."""
+    spark.createDataFrame(docs, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}).write.parquet(f"{tmp_path}/documents.parquet")
+    item = [t for _, t in docs if t and len(t.split()) > 30][2]
+    spark.createDataFrame([(5, item), (44, item.upper()), (6, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path))
+
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in run("op4_recompression").collect()}
+    assert got == {i: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, (n, gone, kept) in H.repeats(docs, 20).items()}
+
+    out = run("op7_aho_corasick_decontamination")
+    assert dict(out.dtypes) == {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"}
+    got = {r["doc_id"]: tuple(r)[1:] for r in out.collect()}
+    assert got == {i: (n, hit, len(who), hashlib.sha256(",".join(who).encode()).hexdigest(), hit > 0) for i, (n, hit, who) in H.leaks(docs, [(5, item), (44, item)], 10).items()}
+
+    out = run("op10_ngram_jaccard_join")
+    sets = {i: H.shingles(t, 4) for i, t in docs}
+    want = H.components(sets, 85, 100)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == {i: (len(sets[i]), want[i]) for i in sets}
+
+    out = run("op8_license_signatures")
+    assert [c for c, _ in out.dtypes] == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"] and out.count() == len(docs)
+
+    out = run("op5_hilbert_sharding").toPandas()
+    assert set(out.columns) >= {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"} and set(out["shard"]) == set(range(40)) and (out["law"] == "rows").all()
