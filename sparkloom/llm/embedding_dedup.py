@@ -107,16 +107,17 @@ def _deal(blocks: Blocks, slab_tiles, kind):
             at, key, side = [], [], []
             for b in range(blocks.count):
                 slab = np.floor(turned[:, blocks.edges[b]] / blocks.radii[b]).astype(np.int64)
-                for k, s in enumerate(slab):
-                    own = counts[b].get(int(s), 1)
-                    mine = int(spread[k] % np.uint64(own))
-                    for t in range(own):
-                        at.append(k), key.append(_key(b, int(s), min(mine, t), int(s), max(mine, t))), side.append(0 if mine <= t else 1)
-                    for t in range(counts[b].get(int(s) + 1, 1)):
-                        at.append(k), key.append(_key(b, int(s), mine, int(s) + 1, t)), side.append(0)
-                    for t in range(counts[b].get(int(s) - 1, 1)):
-                        at.append(k), key.append(_key(b, int(s) - 1, t, int(s), mine)), side.append(1)
-            at = np.array(at, dtype=np.int64)
+                tiles = {s: counts[b].get(s, 1) for x in np.unique(slab).tolist() for s in (x - 1, x, x + 1)}
+                own, above, below = (np.array([tiles[s + d] for s in slab.tolist()], dtype=np.int64) for d in (0, 1, -1))
+                mine = (spread % own.astype(np.uint64)).astype(np.int64)
+                for many, step in ((own, 0), (above, 1), (below, -1)):  # its slab's tiles, and those of the slabs beside it
+                    who = np.repeat(np.arange(len(slab)), many)
+                    tile = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+                    first, second = (np.minimum(mine[who], tile), np.maximum(mine[who], tile)) if step == 0 else (mine[who], tile) if step > 0 else (tile, mine[who])
+                    at.append(who)
+                    key.append(_key(b, slab[who] + min(step, 0), first, slab[who] + max(step, 0), second))
+                    side.append((mine[who] > tile).astype(np.int32) if step == 0 else np.full(len(who), int(step < 0), np.int32))
+            at, key, side = (np.concatenate(x) for x in (at, key, side))
             for k in range(0, len(at), 4096):
                 a = at[k : k + 4096]
                 yield pa.RecordBatch.from_arrays(
@@ -127,7 +128,8 @@ def _deal(blocks: Blocks, slab_tiles, kind):
     return run
 
 
-def _key(block: int, slab_a: int, tile_a: int, slab_b: int, tile_b: int) -> int:
+def _key(block: int, slab_a, tile_a, slab_b, tile_b):
+    """Numbers the pairs of tiles, one by one or as arrays."""
     return (((block << 12 | (slab_a + 2048)) << 1 | (slab_b - slab_a)) << 21 | tile_a) << 21 | tile_b
 
 
@@ -178,16 +180,17 @@ def _compare(blocks: Blocks, kind):
         na = int(np.searchsorted(side, 1)) if not within else len(node)
         first_b = 0 if within else na
         lo, hi = blocks.edges[b], blocks.edges[b + 1]
-        own = np.ascontiguousarray(turned[:, lo:hi])
-        norms = (own * own).sum(axis=1)
+        own = turned[:, lo:hi]
+        norms, ones = (own * own).sum(axis=1, keepdims=True), np.ones((len(own), 1), np.float32)
+        rows_of, columns_of = np.hstack([own, norms, ones]), np.ascontiguousarray(np.hstack([-2 * own, ones, norms]).T)  # their product is the squared distance
         limit = np.float32(blocks.shares[b] + _SLACK)
         links = np.zeros(len(node), dtype=np.int64)
         forest, edges = _Forest(len(node)), []
         for k in range(0, na, _STEP):
             rows = slice(k, min(na, k + _STEP))
             from_b = k if within else first_b
-            near = norms[rows, None] + norms[None, from_b:] - 2 * (own[rows] @ own[from_b:].T) <= limit
-            i, j = np.nonzero(near)
+            near = np.flatnonzero(rows_of[rows] @ columns_of[:, from_b:] <= limit)
+            i, j = np.divmod(near, len(node) - from_b)
             i, j = i + k, j + from_b
             if within:
                 i, j = i[i < j], j[i < j]
@@ -220,8 +223,9 @@ class EmbeddingDedup:
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link
     with nothing; so do vectors of different lengths with each other. Repeated vectors
-    link as any others. Rows with a null vec_id are left out; repeated vec_ids stay
-    separate rows of the same id. Empty tables give no rows; further columns are ignored.
+    link as any others; different vectors of one vec_id are one item, which has the links
+    of all of them. Rows with a null vec_id are given back without links and with no
+    class, and link nothing. Empty tables give no rows; further columns are ignored.
     """
 
     def __init__(self, cosine: float = 0.95, block_dims: int = 16):
@@ -230,17 +234,17 @@ class EmbeddingDedup:
         self.cosine, self.block_dims = cosine, block_dims
 
     def run(self, embeddings: DataFrame) -> DataFrame:
-        """(vec_id, n_links, component_id, kept) for each row with a vec_id."""
+        """(vec_id, n_links, component_id, kept) for each row; component_id and kept are null where vec_id is."""
         spark = embeddings.sparkSession
         kind = "float" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
         number = np.float32 if kind == "float" else np.float64
-        rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("vector")).where("vec_id is not null")
-        good = F.coalesce(F.exists("vector", lambda v: v != 0) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+        rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("vector"))
+        good = F.col("vec_id").isNotNull() & F.coalesce(F.exists("vector", lambda v: v != 0) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
         rows = cut(rows.select("vec_id", F.when(good, F.col("vector")).alias("vector")))
         sets = cut(rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).withColumn("dims", F.size("vector")))
         head = sets.agg(F.max("dims").alias("width"), F.count("*").alias("n")).first()
         if not head["n"]:
-            return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+            return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.when(F.col("vec_id").isNotNull(), True).alias("kept"))
         width, n = head["width"], head["n"]
         sums = sets.select("vector").mapInArrow(_moments(width), "k int, row binary").groupBy("k").applyInArrow(_add_rows, "k int, row binary").collect()
         blocks = Blocks(np.array([np.frombuffer(r["row"]) for r in sorted(sums, key=lambda r: r["k"])]), self.block_dims, self.cosine)

@@ -44,7 +44,16 @@ def test_embedding_links(spark, kind, block):
 def test_embedding_odd_tables(spark):
     assert EmbeddingDedup().run(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     none = spark.createDataFrame([(1, None), (None, [1.0])], "vec_id long, embedding array<float>")
-    assert [(r["vec_id"], r["n_links"]) for r in EmbeddingDedup().run(none).collect()] == [(1, 0)]
+    assert sorted(map(str, EmbeddingDedup().run(none).collect())) == sorted(map(str, none.selectExpr("vec_id", "0L AS n_links", "vec_id AS component_id", "if(vec_id = 1, true, null) AS kept").collect()))
+    some = spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [0.0, 1.0]), (3, [2.0, 0.0])], "vec_id long, embedding array<float>")
+    assert sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in EmbeddingDedup(0.95, 1).run(some).collect()) == [("3", 1, 3), ("4", 1, 3), ("4", 1, 3), ("None", 0, None)]
+
+
+def test_embedding_cosine_of_just_the_bound(spark):
+    """A cosine of exactly the bound links; the next smaller one does not."""
+    rows = [(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, [0.0, 1.0]), (4, [-3.0, -3.9999999999])]
+    got = {r["vec_id"]: r["n_links"] for r in EmbeddingDedup(0.8, 1).run(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0}
 
 
 def test_bounds_are_optimal():
