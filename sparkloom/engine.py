@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import report
 from sparkloom.config import DEFAULT, Config
-from sparkloom.operators import association, forecast, models, quality, stats, typing, warnings
+from sparkloom.operators import association, forecast, models, normality, quality, stats, timeseries, typing, warnings
 from sparkloom.operators.features import select_features
 from sparkloom.registry import Registry
 from sparkloom.sources.tables import ROW_ID, Store, from_records, jsonable
@@ -47,12 +47,13 @@ class Dataset:
         plain = df.drop(ROW_ID)
         strong = [m.name for m in self.meta if m.identifier_level == "strong"]
         rest = [c for c in plain.columns if c not in strong]
-        text = [m.name for m in self.meta if m.storage_type == "string" and m.n_non_null]
+        numbers = tuple(m.name for m in self.meta if m.formatted_numeric)
+        text = [m.name for m in self.meta if (m.storage_type == "string" or m.formatted_numeric) and m.n_non_null]
         exact = quality.duplicate_count(plain).first()["duplicates"]
         return {
             "missing": _rows(quality.missing_columns(plain, self.engine.cfg)), "missing_totals": quality.missing_totals(df, ROW_ID, self.engine.cfg).first().asDict(), "missing_rows": _rows(quality.missing_rows(df, ROW_ID, cfg=self.engine.cfg)),
             "duplicates": {"exact": exact, "without_ids": (quality.duplicate_count(plain, rest).first()["duplicates"] if rest else None) if strong else exact, "strong_identifiers": strong, "examples": [r[0] for r in quality.duplicate_examples(df, ROW_ID).collect()]},
-            "constants": _rows(quality.constants(plain, self.engine.cfg)), "placeholders": _rows(quality.placeholder_report(raw.drop(ROW_ID))), "formatting": _rows(quality.formatting(raw, text)) if text else [],
+            "constants": _rows(quality.constants(plain, self.engine.cfg)), "placeholders": _rows(quality.placeholder_report(raw.drop(ROW_ID))), "formatting": _rows(quality.formatting(raw, text, tuple(self._by_type("text")), numbers)) if text else [],
         }
 
     def eda(self, target: str | None = None, problem: str | None = None) -> dict:
@@ -69,14 +70,22 @@ class Dataset:
         if numeric:
             out["numeric"] = _rows(stats.numeric_summary(df, numeric).join(stats.outliers(df, numeric), "column", "left"))
             out["histograms"] = {c: _rows(stats.histogram(df, c)) for c in numeric}
-            if len(numeric) > 1:
-                out["pearson"], out["high_pairs"] = _rows(association.pearson(df, numeric)), _rows(association.high_pairs(df, numeric))
+            out["kde"] = {c: _rows(stats.kde(df, c)) for c in numeric}
+            out["normality"] = {c: _rows(normality.shapiro(df, c, key=ROW_ID)) for c in numeric}
+            some, out["correlation_limit"] = association.limited(numeric, self.engine.cfg.corr_max_cols)
+            if len(some) > 1:
+                out["pearson"], out["spearman"] = _rows(association.pearson(df, some)), _rows(association.spearman_matrix(df, some))
+                out["high_pairs"] = _rows(association.high_pairs(df, some))
         out["categorical"] = _rows(stats.categorical_stats(df, categorical)) if categorical else []
         out["top_values"] = _rows(stats.top_values(df, categorical)) if categorical else []
         out["boolean"] = _rows(stats.boolean_stats(df, flags)) if flags else []
         out["text"] = [{**r, "tokens": _rows(stats.token_counts(df, r["column"]))} for r in _rows(stats.text_stats(df, text))] if text else []
-        out["datetime"] = _rows(stats.datetime_stats(df, dates)) if dates else []
+        out["datetime"] = [
+            {**r, "frequency": timeseries.frequency(df, r["column"]), "parts": {p: _rows(stats.date_part_counts(df, r["column"], p).orderBy(p)) for p in ("year", "month", "weekday", *(["hour"] if r["has_time"] else []))}}
+            for r in _rows(stats.datetime_stats(df, dates))
+        ] if dates else []
         small = [m.name for m in self.meta if m.semantic_type == "categorical" and 2 <= m.n_unique <= 30]
+        small, out["categorical_limit"] = association.limited(small, 15)
         out["categorical_pairs"] = _rows(association.categorical_pairs(df, small)) if len(small) > 1 else []
         if target:
             out["target"] = self._target(df, target, problem, numeric, categorical + flags)
@@ -104,7 +113,7 @@ class Dataset:
         return out
 
     def warnings(self, target: str | None = None) -> list[dict]:
-        return warnings.build_warnings(self.document["rows"], self.document["columns"], self.quality(), self.eda(target), target, self.engine.cfg)
+        return warnings.build_warnings(self.engine.spark, self.document["rows"], self.document["columns"], self.quality(), self.eda(target), target, self.engine.cfg)
 
     def report(self, target: str | None = None) -> str:
         p, q, e = self.profile(), self.quality(), self.eda(target)

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULT, Config
 from sparkloom.functions import columns as C
-from sparkloom.operators.common import mean_ranks, numeric_columns
+from sparkloom.operators.common import cumulative, mean_ranks, numeric_columns
 from sparkloom.operators.stats import cap_categories
 
 
 def pearson(df: DataFrame, columns: list[str] | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """(a, b, pearson) for each pair of the first corr_max_cols numeric columns; rows with a null in either are left out of the pair.
+    """(a, b, pearson) for each pair of numeric columns; rows with a null in either are left out of the pair.
 
-    All pairs come from one aggregate over one read of the table.
+    All pairs come from one aggregate over one read of the table. Without named columns
+    these are the first corr_max_cols numeric ones; limited() tells whether that left any out.
     """
-    names = (columns or numeric_columns(df))[: cfg.corr_max_cols]
+    names = columns or numeric_columns(df)[: cfg.corr_max_cols]
     pairs = list(combinations(names, 2))
     v = lambda c: F.col(f"`{c}`").cast("double")
     wide = df.agg(*[F.corr(v(a), v(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
@@ -26,6 +27,38 @@ def pearson(df: DataFrame, columns: list[str] | None = None, cfg: Config = DEFAU
     return wide.select(F.inline(rows)).withColumn("pearson", F.when(~F.isnan("pearson"), F.col("pearson")))
 
 
+def limited(columns: list[str], most: int) -> tuple[list[str], dict]:
+    """The first `most` columns, and what is to be said of the rest."""
+    return columns[:most], {"truncated": len(columns) > most, "used": min(len(columns), most), "columns": len(columns)}
+
+
+def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, spearman) for each pair of columns.
+
+    Columns without nulls are ranked all at once: one unpivot to (row, column, value), ranks of
+    distinct values within each column, one join back, and all correlations from one
+    aggregate. A pair with nulls is ranked over the rows where both are present.
+    """
+    gaps = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"g{k}") for k, c in enumerate(columns)]).first()
+    whole = [c for k, c in enumerate(columns) if not gaps[f"g{k}"]]
+    out = None
+    if len(whole) > 1:
+        rows = df.select(F.monotonically_increasing_id().alias("row"), F.array(*[F.col(f"`{c}`").cast("double") for c in whole]).alias("values"))
+        cells = rows.select("row", F.posexplode("values").alias("k", "value"))
+        counts = cells.groupBy("k", "value").agg(F.count("*").alias("n"))
+        ranks = cumulative(counts, "value", ["n"], "k").select("k", "value", (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
+        wide = cells.join(ranks, ["k", "value"]).groupBy("row").agg(*[F.max(F.when(F.col("k") == k, F.col("rank"))).alias(f"r{k}") for k in range(len(whole))])
+        pairs = list(combinations(range(len(whole)), 2))
+        row = wide.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"c{k}") for k, (i, j) in enumerate(pairs)])
+        out = row.select(F.inline(F.array(*[F.struct(F.lit(whole[i]).alias("a"), F.lit(whole[j]).alias("b"), F.col(f"c{k}").alias("spearman")) for k, (i, j) in enumerate(pairs)])))
+        out = out.withColumn("spearman", F.when(~F.isnan("spearman"), F.col("spearman")))
+    for a, b in combinations(columns, 2):
+        if a not in whole or b not in whole:
+            one = spearman(df, a, b)
+            out = one if out is None else out.unionByName(one)
+    return out if out is not None else df.sparkSession.createDataFrame([], "a string, b string, spearman double")
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row with the rank correlation of two columns over rows where both are present, ties by mean rank."""
     x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
@@ -44,9 +77,13 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def high_pairs(df: DataFrame, columns: list[str] | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """Pairs with a Pearson correlation of corr_high or more either way, strongest first."""
-    found = pearson(df, columns, cfg).where(F.abs("pearson") >= cfg.corr_high)
-    return found.select("a", "b", "pearson", C.strength_band(F.col("pearson"), cfg).alias("strength")).orderBy(F.desc(F.abs("pearson")), "a", "b")
+    """Pairs with a Pearson correlation of corr_high or more either way, with their rank correlation, strongest first."""
+    found = pearson(df, columns, cfg).where(F.abs("pearson") >= cfg.corr_high).collect()  # a row for each pair of columns at most
+    if not found:
+        return df.sparkSession.createDataFrame([], "a string, b string, pearson double, spearman double, strength string")
+    names = list(dict.fromkeys(c for r in found for c in (r["a"], r["b"])))
+    high = df.sparkSession.createDataFrame([tuple(r) for r in found], "a string, b string, pearson double")
+    return high.join(spearman_matrix(df, names), ["a", "b"], "left").select("a", "b", "pearson", "spearman", C.strength_band(F.col("pearson"), cfg).alias("strength")).orderBy(F.desc(F.abs("pearson")), "a", "b")
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -73,9 +110,9 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def categorical_pairs(df: DataFrame, columns: list[str], least: float = 0.5) -> DataFrame:
-    """Pairs of the first 15 columns whose Cramér's V reaches `least`."""
+    """Pairs of columns whose Cramér's V reaches `least`."""
     out = None
-    for a, b in combinations(columns[:15], 2):
+    for a, b in combinations(columns, 2):
         v = cramers_v(df, a, b)
         out = v if out is None else out.unionByName(v)
     if out is None:

@@ -36,6 +36,67 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+#: Values that an exact quantile is read from, once sketches have narrowed the search down to so many.
+QUANTILE_ROWS = 1 << 18
+
+
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> dict[str, list[float | None]]:
+    """Quantiles of each named expression, linear between neighbours, whatever the number of distinct values; None where it has no value.
+
+    A mergeable sketch gives values below and above each quantile; counts show where the
+    quantile lies between them, and the search goes on there until few values or one are
+    left. Each round is one aggregate over the table for all columns, whose buffers are
+    bounded; from QUANTILE_ROWS values on a round leaves about a thousandth of them.
+    """
+    value = {c: x.cast("double") for c, x in columns.items()}
+    sizes = df.agg(*[F.count(x).alias(f"n{k}") for k, x in enumerate(value.values())], *[F.min(x).alias(f"lo{k}") for k, x in enumerate(value.values())], *[F.max(x).alias(f"hi{k}") for k, x in enumerate(value.values())]).first()
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    open_ = {}  # (column, place in probs): low and high value, ranks below low, values from low to high, wanted position
+    for k, c in enumerate(columns):
+        for i, p in enumerate(probs if sizes[f"n{k}"] else []):
+            open_[c, i] = (sizes[f"lo{k}"], sizes[f"hi{k}"], 0, sizes[f"n{k}"], p * (sizes[f"n{k}"] - 1))
+    while open_:
+        wide = {s: b for s, b in open_.items() if b[3] > QUANTILE_ROWS and b[0] < b[1]}
+        inside = lambda c, lo, hi: F.when((value[c] >= lo) & (value[c] <= hi), value[c])
+        if not wide:
+            exact = []
+            for k, ((c, _), (lo, hi, below, m, at)) in enumerate(open_.items()):
+                near = [min(1.0, max(0.0, (x - below) / max(m - 1, 1))) for x in (int(at), min(int(at) + 1, below + m - 1))]
+                exact.append(F.percentile(inside(c, lo, hi), F.array(*[F.lit(x) for x in near])).alias(f"q{k}"))
+            found = df.agg(*exact).first()
+            for k, ((c, i), (lo, hi, below, m, at)) in enumerate(open_.items()):
+                a, b = found[f"q{k}"] if lo < hi else (lo, lo)
+                out[c][i] = a + (b - a) * (at - int(at))
+            break
+        sketch = []
+        for k, ((c, _), (lo, hi, below, m, at)) in enumerate(wide.items()):
+            share = (at - below) / max(m - 1, 1)
+            sketch.append(F.percentile_approx(inside(c, lo, hi), [max(0.0, share - 4e-4), min(1.0, share + 4e-4)], 10000).alias(f"q{k}"))
+        found = df.agg(*sketch).first()
+        bounds = {s: found[f"q{k}"] for k, s in enumerate(wide)}
+        counts = []
+        for k, ((c, i), (a, b)) in enumerate(bounds.items()):
+            counts += [F.count_if(value[c] < a).alias(f"b{k}"), F.count_if((value[c] >= a) & (value[c] <= b)).alias(f"m{k}")]
+        found = df.agg(*counts).first()
+        for k, (s, (a, b)) in enumerate(bounds.items()):
+            lo, hi, below, m, at = open_[s]
+            first, n = found[f"b{k}"], found[f"m{k}"]
+            if at >= first and int(at) + 1 < first + n and n < m:
+                open_[s] = (a, b, first, n, at)
+            elif at < first:
+                open_[s] = (lo, a, below, first - below + df.where(value[s[0]] == a).count(), at)
+            elif n < m and at >= first + n - 1:
+                above = first + n - df.where(value[s[0]] == b).count()
+                open_[s] = (b, hi, above, below + m - above, at)
+            else:  # most values are one: take the quantile from how often each stands
+                rows = mean_ranks(df.select(value[s[0]].alias("v")), "v")
+                found_at = lambda x: rows.where((F.col("rank") - (F.col("n") + 1) / 2 <= x) & (F.col("rank") + (F.col("n") - 1) / 2 > x)).first()["value"]  # noqa: E731, B023
+                low, high = found_at(int(at)), found_at(min(int(at) + 1, below + m - 1))
+                out[s[0]][s[1]] = low + (high - low) * (at - int(at))
+                del open_[s]
+    return out
+
+
 def cumulative(df: DataFrame, key: str, sums: list[str], partition: str | None = None) -> DataFrame:
     """For rows with distinct numeric `key` (in each partition): adds before_<s>, the sum of s over smaller keys.
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.config import DEFAULT, Config
 from sparkloom.functions import columns as C
-from sparkloom.operators.common import per_column, value_counts
+from sparkloom.operators.common import exact_quantiles, per_column, value_counts
 
 
 def spread(key: str, seed: int = 42) -> Column:
@@ -89,7 +89,7 @@ def expand_features(df: DataFrame, spec: list[Field], keep: list[str]) -> DataFr
 
 def medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians of the training rows."""
-    return {r["column"]: r["m"] for r in per_column(train, columns, {"m": lambda c: F.percentile(c.cast("double"), F.lit(0.5))}).collect()}
+    return {c: q[0] for c, q in exact_quantiles(train, {c: F.col(f"`{c}`") for c in columns}, [0.5]).items()}
 
 
 def impute(df: DataFrame, values: dict[str, float], indicators: list[str]) -> DataFrame:
@@ -198,8 +198,8 @@ class Preprocessor:
         self.high = [c for c in categorical if c not in self.low]
         self.numeric = numeric
         logged = self._log(train)
-        rows = per_column(logged, numeric, {"m": lambda c: F.percentile(c, F.lit(0.5)), "gap": lambda c: F.count_if(c.isNull())}).collect() if numeric else []
-        self.medians, self.gaps = {r["column"]: r["m"] for r in rows}, [r["column"] for r in rows if r["gap"]]
+        rows = per_column(logged, numeric, {"gap": lambda c: F.count_if(c.isNull())}).collect() if numeric else []
+        self.medians, self.gaps = medians(logged, numeric) if numeric else {}, [r["column"] for r in rows if r["gap"]]
         self.levels = {c: one_hot_levels(train, c, self.cfg) for c in self.low}
         self.shares = {c: frequencies(train, c) for c in self.high}
         self.scaled: dict[str, tuple[float, float]] = {}

@@ -32,8 +32,8 @@ def placeholder_report(df: DataFrame, columns: list[str] | None = None, top: int
     found = df.select(F.inline(cells)).where(C.is_placeholder(F.col("raw")))
     shown = F.when(C.strip(F.col("raw")) == "", "<blank>").otherwise(C.strip(F.col("raw")))
     counts = found.groupBy("column", shown.alias("value")).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("column")))
-    return top_n(counts, top, [F.desc("n"), F.asc("value")], ["column"])
+    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    return top_n(counts, top, [F.desc("n"), F.asc("value")], ["column"]).join(F.broadcast(totals), "column").select("column", "value", "n", "total", "rank")
 
 
 def missing_columns(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -97,11 +97,12 @@ def constants(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return found.where("kind is not null")
 
 
-def formatting(df: DataFrame, columns: list[str]) -> DataFrame:
+def formatting(df: DataFrame, columns: list[str], texts: tuple[str, ...] = (), numbers: tuple[str, ...] = ()) -> DataFrame:
     """(column, n, share of addresses, links, phone numbers, punctuation and formatted numbers) of string columns, over all values.
 
-    `kind` is the first of e-mail, link and phone that half of the values match (a phone
-    also needs a separator somewhere), else punctuation from a share of 0.3.
+    `kind` is formatted_numeric for the columns in `numbers`; else the first of e-mail, link
+    and phone that half of the values match (a phone also needs a separator somewhere), else
+    punctuation from a share of 0.3, in free text (the columns in `texts`) or in categories.
     """
     share = lambda pattern: lambda c: F.avg(c.rlike(pattern).cast("double"))
     out = per_column(
@@ -112,6 +113,6 @@ def formatting(df: DataFrame, columns: list[str]) -> DataFrame:
         },
     )
     kind = (
-        F.when(F.col("email") >= 0.5, "email_like").when(F.col("url") >= 0.5, "url_like").when((F.col("phone") >= 0.5) & F.col("separators"), "phone_like").when(F.col("punctuation") >= 0.3, "punctuation")
+        F.when(F.col("column").isin(*numbers), "formatted_numeric").when(F.col("email") >= 0.5, "email_like").when(F.col("url") >= 0.5, "url_like").when((F.col("phone") >= 0.5) & F.col("separators"), "phone_like").when(F.col("punctuation") >= 0.3, F.when(F.col("column").isin(*texts), "punctuation_rich_text").otherwise("categorical_with_punctuation"))
     )
     return out.withColumn("kind", kind)

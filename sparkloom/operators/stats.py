@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULT, STOP_WORDS, Config
 from sparkloom.functions import columns as C
-from sparkloom.operators.common import numeric_columns, per_column, top_n, value_counts
+from sparkloom.operators.common import exact_quantiles, numeric_columns, per_column, top_n, value_counts
 
 
 def _finite(c):
@@ -17,19 +17,23 @@ def _finite(c):
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, cfg: Config = DEFAULT, exact: bool = True) -> DataFrame:
     """One row per numeric column: counts, moments, quartiles and skew class.
 
-    exact=False takes quartiles from a mergeable sketch, for columns with very many
-    distinct values.
+    Quartiles are exact and found by a search over bounded aggregates; exact=False takes
+    them from one mergeable sketch.
     """
     names = columns or numeric_columns(df)
-    quartiles = (lambda c: F.percentile(_finite(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))) if exact else (lambda c: F.percentile_approx(_finite(c), [0.25, 0.5, 0.75], 10000))
+    quartiles = lambda c: F.percentile_approx(_finite(c), [0.25, 0.5, 0.75], 10000)
     out = per_column(
         df, names,
         {
             "rows": lambda c: F.count(F.lit(1)), "count": lambda c: F.count(c), "mean": lambda c: F.avg(_finite(c)), "std": lambda c: F.when(F.count(c) > 1, F.stddev_samp(_finite(c))).when(F.count(c) == 1, 0.0),
-            "min": lambda c: F.min(_finite(c)), "max": lambda c: F.max(_finite(c)), "q": quartiles,
+            "min": lambda c: F.min(_finite(c)), "max": lambda c: F.max(_finite(c)),
             "skewness": lambda c: C.bias_corrected_skew(_finite(c), F.count(c)), "kurtosis": lambda c: C.bias_corrected_kurtosis(_finite(c), F.count(c)),
-        },
+        } | ({} if exact else {"q": quartiles}),
     )
+    if exact:
+        found = exact_quantiles(df, {c: F.col(f"`{c}`") for c in names}, [0.25, 0.5, 0.75])
+        at = F.create_map(*[x for c in names for x in (F.lit(c), F.array(*[F.lit(q).cast("double") for q in found[c]]))])  # three numbers a column
+        out = out.withColumn("q", at[F.col("column")])
     missing = F.col("rows") - F.col("count")
     return out.select(
         "column", "count", missing.alias("missing"), F.round(missing / F.greatest(F.col("rows"), F.lit(1)).cast("double") * 100, 3).alias("missing_pct"), "mean", F.col("q")[1].alias("median"), "std", "min",
@@ -121,10 +125,14 @@ def categorical_stats(df: DataFrame, columns: list[str], cfg: Config = DEFAULT)
 
 def top_values(df: DataFrame, columns: list[str], top: int = 20) -> DataFrame:
     """(column, rank, value, n, pct): the most frequent values."""
-    from pyspark.sql.window import Window
+    counts = value_counts(df, columns)
+    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    return top_n(counts, top, [F.desc("n"), F.asc("value")], ["column"]).join(F.broadcast(totals), "column").select("column", "rank", "value", "n", F.round(F.col("n") / F.col("total").cast("double") * 100, 3).alias("pct"))
+
 
-    counts = value_counts(df, columns).withColumn("total", F.sum("n").over(Window.partitionBy("column")))
-    return top_n(counts, top, [F.desc("n"), F.asc("value")], ["column"]).select("column", "rank", "value", "n", F.round(F.col("n") / F.col("total").cast("double") * 100, 3).alias("pct"))
+def plot_sample(df: DataFrame, key: str, rows: int = 50_000) -> DataFrame:
+    """At most `rows` rows for a plot, the same ones however the table is cut: those with the smallest hash of `key`."""
+    return df.orderBy(F.md5(F.concat(F.col(f"`{key}`").cast("string"), F.lit("-42")).cast("binary")), F.col(f"`{key}`")).limit(rows)
 
 
 def rare_categories(df: DataFrame, column: str, cfg: Config = DEFAULT, share: float | None = None) -> DataFrame:

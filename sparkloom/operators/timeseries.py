@@ -1,8 +1,8 @@
 """Regular series: frequency, calendar, filling, lags, seasons, splits.
 
 A series has at most max_periods points once it is regular, and what has to look along
-it (windows without a partition) runs on that; rows are aggregated by period before.
-Many series at once go through the same functions with a `key`.
+it (windows without a partition) runs on that; rows are aggregated by period before, and
+how many periods there are is known before any calendar is made.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.config import DEFAULT, Config
+from sparkloom.operators.common import RANGES
 
 # Season lengths that are tried by frequency.
 SEASONS = {"D": [7], "h": [24], "MS": [12], "QS": [4], "W": [52], "B": [5], "min": [60]}
@@ -35,10 +36,32 @@ def interval(freq: str) -> Column:
 
 def gaps(df: DataFrame, ts: str) -> DataFrame:
     """(days, n): distances between neighbouring distinct stamps."""
-    distinct = df.where(F.col(ts).isNotNull()).select(F.col(ts).cast("timestamp_ntz").alias("ts")).distinct()
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    step = (micros - F.lag(micros).over(Window.orderBy("ts"))) / F.lit(86400e6)
-    return distinct.select(step.alias("days")).where("days is not null").groupBy("days").agg(F.count("*").alias("n"))
+    stamps = df.where(F.col(ts).isNotNull()).select(F.unix_micros(F.col(ts).cast("timestamp_ntz").cast("timestamp")).alias("at")).distinct()
+    cuts = sorted(set(stamps.select(F.col("at").cast("double").alias("at")).approxQuantile("at", [k / RANGES for k in range(1, RANGES)], 1 / RANGES)))
+    bounds = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<long>")
+    own = stamps.withColumn("range", F.size(F.filter(bounds, lambda b: b < F.col("at"))))
+    within = own.select((F.col("at") - F.lag("at").over(Window.partitionBy("range").orderBy("at"))).alias("step"))
+    ends = own.groupBy("range").agg(F.min("at").alias("first"), F.max("at").alias("last"))  # a row for each range
+    between = ends.select((F.col("first") - F.lag("last").over(Window.orderBy("range"))).alias("step"))
+    return within.unionByName(between).where("step is not null").groupBy((F.col("step") / F.lit(86400e6)).alias("days")).agg(F.count("*").alias("n"))
+
+
+def count_periods(lo, hi, freq: str) -> int:
+    """How many periods a calendar from lo to hi has, without making it."""
+    if freq in _TRUNC:
+        months = (hi.year - lo.year) * 12 + hi.month - lo.month
+        return months // {"MS": 1, "QS": 3, "YS": 12}[freq] + 1
+    if freq == "B":
+        days = (hi - lo).days + 1
+        return days // 7 * 5 + sum((lo.weekday() + k) % 7 < 5 for k in range(days % 7))
+    step = _SECONDS[freq] if freq in _SECONDS else int(freq[1:])
+    return int((hi - lo).total_seconds() // step) + 1
+
+
+def _span(df: DataFrame, freq: str, ts: str = "ts") -> tuple[int, int]:
+    """Periods from the first stamp to the last, and distinct stamps."""
+    found = df.agg(F.min(ts).cast("timestamp_ntz").alias("lo"), F.max(ts).cast("timestamp_ntz").alias("hi"), F.count_distinct(ts).alias("n")).first()
+    return (count_periods(found["lo"], found["hi"], freq), found["n"]) if found["n"] else (0, 0)
 
 
 def frequency(df: DataFrame, ts: str) -> dict | None:
@@ -64,8 +87,8 @@ def frequency(df: DataFrame, ts: str) -> dict | None:
         freq = "YS"
     else:
         freq = near(median) or f"S{max(1, round(median * 86400))}"
-    present = df.where(F.col(ts).isNotNull()).select(snap(F.col(ts), freq).alias("ts")).distinct()
-    missing = max(0, calendar(present, freq).count() - present.count())
+    periods, present = _span(df.where(F.col(ts).isNotNull()).select(snap(F.col(ts), freq).alias("ts")), freq)
+    missing = max(0, periods - present)
     return {"freq": freq, "label": LABELS.get(freq, f"custom ({freq})"), "gaps": missing, "regular": missing == 0}
 
 
@@ -103,7 +126,7 @@ def prepare(df: DataFrame, ts: str, y: str, freq: str | None = None, cfg: Config
     snapped = df.select(snap(F.col(ts), info["freq"]).alias("ts"), F.col(y).cast("double").alias("y"))
     counts = snapped.agg(F.count_if(F.col("ts").isNull()).alias("dropped"), F.count("ts").alias("rows"), F.count_distinct("ts").alias("stamps")).first()
     once = dedupe_timestamps(snapped, "ts", "y")
-    periods = calendar(once, info["freq"]).count()
+    periods, _ = _span(once, info["freq"])
     if periods > cfg.max_periods:
         raise ValueError(f"{periods} periods; aggregate to a coarser frequency first")
     grid = reindex(once, info["freq"])

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.config import AMBIGUOUS_FORMATS, DATETIME_FORMATS, DEFAULT, FALSE_WORDS, TRUE_WORDS, Config
 from sparkloom.functions import columns as C
+from sparkloom.operators.common import value_counts
 from sparkloom.operators.stats import distinct_counts
 
+#: What stands for the letters of a datetime pattern that are no numbers.
+_SHAPES = {"MMM": r"[A-Za-z]+[.]?", "'T'": "T", "T": "T"}
+
 
 @dataclass
 class ColumnMeta:
@@ -71,15 +75,20 @@ def datetime_format(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, b
     if not columns:
         return {}
     v = F.col("value")
-    ways = {f"f{k}": F.try_to_timestamp(v, F.lit(p)) for k, (_, p) in enumerate(DATETIME_FORMATS)}
-    ways["free"] = C.parse_datetime(v, None)
-    rows = _cells(df, columns).where(v.isNotNull()).groupBy("column").agg(*[F.avg(w.isNotNull().cast("double")).alias(k) for k, w in ways.items()])
+    shaped = lambda p: v.rlike("^" + re.sub(r"[A-Za-z]+|'T'", lambda m: _SHAPES.get(m[0], r"\d+"), re.sub(r"([.\-/])", r"[\1]", p)) + "$")  # noqa: E731  what cannot match is not parsed
+    ways = {f"f{k}": F.when(shaped(p), F.try_to_timestamp(v, F.lit(p))) for k, (_, p) in enumerate(DATETIME_FORMATS)}
+    counts = value_counts(df, columns)  # each distinct value is parsed once
+    total = F.sum("n").cast("double")
+    rows = counts.groupBy("column").agg(*[(F.sum(F.when(w.isNotNull(), F.col("n"))) / total).alias(k) for k, w in ways.items()])
+    rows = {r["column"]: r for r in rows.collect()}
+    rest = [c for c, r in rows.items() if not any((r[k] or 0) >= 0.95 for k in ways)]
+    free = {r["column"]: r["free"] for r in counts.where(F.col("column").isin(rest)).groupBy("column").agg((F.sum(F.when(C.parse_datetime(v, None).isNotNull(), F.col("n"))) / total).alias("free")).collect()} if rest else {}
     out = {}
-    for r in rows.collect():
+    for r in rows.values():
         passing = [name for k, (name, _) in enumerate(DATETIME_FORMATS) if (r[f"f{k}"] or 0) >= 0.95]
         if passing:
             out[r["column"]] = (passing[0], any(set(pair) <= set(passing) for pair in AMBIGUOUS_FORMATS))
-        elif (r["free"] or 0) >= 0.95:
+        elif (free.get(r["column"]) or 0) >= 0.95:
             out[r["column"]] = ("mixed", False)
     return out
 
@@ -106,7 +115,7 @@ def infer_types(df: DataFrame, cfg: Config = DEFAULT) -> list[ColumnMeta]:
     names = [c for c, t in df.dtypes if t == "string"]
     unique = {r["column"]: r["unique"] for r in distinct_counts(df, names).collect()}
     seen = {r["column"]: r for r in column_evidence(df, names).collect()}
-    dates = datetime_format(df, [c for c in names if seen[c]["n"] and seen[c]["digits"] >= 0.95 and seen[c]["med_len"] >= 6 and seen[c]["plain"] < 0.95])
+    dates = datetime_format(df, [c for c in names if seen[c]["n"] and seen[c]["digits"] >= 0.95 and seen[c]["med_len"] >= 6 and seen[c]["plain"] < 0.95 and (seen[c]["shaped"] < 0.95 or seen[c]["zeros"] > 0.05)])
     out = []
     for c in names:
         e, n = seen[c], seen[c]["n"]

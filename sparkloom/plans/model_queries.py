@@ -10,6 +10,7 @@ from sparkloom.operators import features as FE
 from sparkloom.operators import metrics as M
 from sparkloom.operators import models as MO
 from sparkloom.operators.normality import shapiro
+from sparkloom.plans.profile_queries import TYPES_SQL
 from sparkloom.plans.registry import query, rounded
 
 _SPLIT = "SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42'), o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders"
@@ -86,7 +87,11 @@ def _(t):
     return rounded(MO.input_schema(df, FE.make_spec(df, ["p_retailprice", "p_brand"])))
 
 
-@query("select_features")
+@query(
+    "select_features",
+    f"""WITH {TYPES_SQL} SELECT name AS "column", CASE WHEN n_unique <= 1 OR semantic_type IN ('identifier', 'text') THEN 'excluded' ELSE 'used' END AS action,
+CASE WHEN n_unique <= 1 THEN 'one value throughout' WHEN semantic_type = 'identifier' THEN identifier_level || ' identifier' WHEN semantic_type = 'text' THEN 'free text' END AS reason FROM typed WHERE name <> 'flag'""",
+)
 def _(t):
     from sparkloom.operators.typing import infer_types
     from sparkloom.plans.profile_queries import clean
@@ -187,7 +192,7 @@ def _(t):
 
 def customers(t):
     totals = t("orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spent"), F.count("*").alias("orders"))
-    return t("customer").join(totals, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_acctbal", "c_mktsegment", "spent", "orders", F.when(F.col("orders") > 10, "many").otherwise("few").alias("habit"))
+    return t("customer").join(totals, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_acctbal", "c_mktsegment", "spent", "orders", F.when(F.col("orders") > 10, "many").otherwise("few").alias("habit"))
 
 
 _SMALL = {"folds": 2, "rf_trees": 5, "rf_depth": 4, "gbt_trees": 3, "gbt_depth": 3}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.config import AMBIGUOUS_FORMATS, DATETIME_FORMATS
 from sparkloom.functions import columns as C
 from sparkloom.operators import quality as Q
 from sparkloom.operators import stats as S
@@ -52,13 +53,31 @@ def _(t):
     return Q.placeholder_report(raw(t))
 
 
-@query(
-    "infer_types",
-    """SELECT * FROM (VALUES ('order_id','identifier','numeric','strong'), ('priority','categorical','string',NULL), ('amount','numerical','numeric',NULL), ('day','datetime','datetime',NULL),
-('flag','boolean','bool',NULL), ('cust','numerical','numeric',NULL), ('code','categorical','string',NULL), ('const','categorical','string',NULL)) v(name, semantic_type, storage_type, identifier_level)""",
-)
+def _dates_sql(columns, table: str) -> str:
+    """A CTE body (name, format, ambiguous): the first format that parses 95 % of a column, and whether day and month may be swapped."""
+    shares = " UNION ALL ".join(f"SELECT '{c}' AS name, {k} AS k, '{f}' AS f, avg(CAST(try_strptime({c}, '{f}') IS NOT NULL AS INT)) AS share FROM {table} WHERE {c} IS NOT NULL" for c in columns for k, (f, _) in enumerate(DATETIME_FORMATS))
+    swapped = " OR ".join(f"count(*) FILTER (f IN ('{x}', '{y}')) = 2" for x, y in AMBIGUOUS_FORMATS)
+    return f"SELECT name, arg_min(f, k) AS format, ({swapped}) AS ambiguous FROM ({shares}) WHERE share >= 0.95 GROUP BY 1"
+
+
+_WORDS = {"true": "('true','t','yes','y')", "false": "('false','f','no','n')"}
+#: The rules of the types, in SQL: evidence of each column (e), and the cascade over it (typed). CTEs to begin a query with.
+TYPES_SQL = rf"""c AS ({CLEAN}), u AS ({_counts_sql(_COLUMNS, 'c')}), dates AS ({_dates_sql(_COLUMNS, 'c')}),
+p AS (SELECT "column" AS name, value, lower(trim(value)) AS key, TRY_CAST(value AS DOUBLE) AS plain, CASE WHEN regexp_full_match(trim(value), '[-+]?[$€£₹¥]?\s?(\d{{1,3}}(,\d{{3}})+|\d+)(\.\d+)?\s?%?') THEN TRY_CAST(regexp_replace(value, '[,$€£₹¥%\s]', '', 'g') AS DOUBLE) END AS shaped FROM u WHERE value IS NOT NULL),
+e AS (SELECT name, count(*) AS n, count(DISTINCT value) AS n_unique, avg(CAST(plain IS NOT NULL AS INT)) AS plain, avg(CAST(shaped IS NOT NULL AS INT)) AS shaped, avg(CAST(regexp_full_match(value, '0\d+') AS INT)) AS zeros,
+ bool_and(plain % 1 = 0) AS whole_plain, bool_and(shaped % 1 = 0) AS whole_shaped, max(coalesce(plain, shaped)) - min(coalesce(plain, shaped)) + 1 AS width, bool_and(key IN {_WORDS['true']} OR key IN {_WORDS['false']}) AS bools,
+ count(DISTINCT key) FILTER (key IN {_WORDS['true']}) AS trues, count(DISTINCT key) FILTER (key IN {_WORDS['false']}) AS falses, avg(CAST(regexp_matches(value, '\d') AS INT)) AS digits, avg(length(value)) AS avg_len, median(length(value)) AS med_len,
+ median(len(regexp_extract_all(value, '\S+'))) AS med_tokens,
+ regexp_matches(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '(^|[^a-z0-9])(id|uuid|guid)([^a-z0-9]|$)|identifier') AS by_name FROM p GROUP BY name),
+k AS (SELECT e.*, n_unique / CAST(n AS DOUBLE) AS ratio, CASE WHEN bools AND trues = 1 AND falses = 1 THEN 'boolean' WHEN zeros <= 0.05 AND (plain >= 0.95 OR shaped >= 0.95) THEN 'number' WHEN format IS NOT NULL AND digits >= 0.95 AND med_len >= 6 THEN 'datetime'
+ WHEN (avg_len >= 40 OR med_tokens >= 5) AND n_unique / CAST(n AS DOUBLE) >= 0.3 THEN 'text' ELSE 'other' END AS rule, CASE WHEN plain >= 0.95 THEN whole_plain ELSE whole_shaped END AS whole FROM e LEFT JOIN dates USING (name)),
+i AS (SELECT *, CASE WHEN rule NOT IN ('number', 'other') OR rule = 'number' AND NOT (whole OR by_name) THEN NULL WHEN by_name AND ratio >= 0.99 THEN 'strong' WHEN rule = 'number' AND whole AND NOT by_name AND n >= 30 AND n_unique = n AND width = n THEN 'possible'
+ WHEN by_name AND ratio >= 0.8 THEN 'possible' WHEN NOT by_name AND rule = 'other' AND n >= 30 AND ratio >= 0.9 THEN 'possible' END AS level FROM k),
+typed AS (SELECT name, n, n_unique, CASE WHEN level IS NOT NULL THEN 'identifier' WHEN rule = 'number' THEN 'numerical' WHEN rule = 'other' THEN 'categorical' ELSE rule END AS semantic_type, CASE rule WHEN 'boolean' THEN 'bool' WHEN 'number' THEN 'numeric' WHEN 'datetime' THEN 'datetime' ELSE 'string' END AS storage_type, level AS identifier_level FROM i)"""
+
+
+@query("infer_types", f"WITH {TYPES_SQL} SELECT name, semantic_type, storage_type, identifier_level FROM typed")
 def _(t):
-    """Types of the raw columns; the equivalent states what the rules give for them."""
     df = clean(t).drop("row_id")
     meta = T.infer_types(df)
     return df.sparkSession.createDataFrame([(m.name, m.semantic_type, m.storage_type, m.identifier_level) for m in meta], "name string, semantic_type string, storage_type string, identifier_level string")
@@ -86,10 +105,14 @@ def _(t):
     return df.groupBy(F.lower(C.strip(F.col("flag"))).alias("word")).agg(F.min("flag").alias("label"), F.count("*").alias("n"), F.first(C.parse_boolean(F.col("flag"))).alias("truth"))
 
 
-@query("detect_datetime", "SELECT 'day' AS column, '%Y-%m-%d' AS format, false AS ambiguous UNION ALL SELECT 'dmy', '%d/%m/%Y', true WHERE 1 = 0")
+_DMY = f"SELECT day, priority, strftime(CAST(day AS DATE), '%d/%m/%Y') AS dmy, CASE WHEN row_id % 2 = 0 THEN strftime(CAST(day AS DATE), '%d.%m.%Y') ELSE strftime(CAST(day AS DATE), '%b %d, %Y') END AS two FROM ({CLEAN})"
+
+
+@query("detect_datetime", f"WITH d AS ({_DMY}), f AS ({_dates_sql(('day', 'priority', 'dmy', 'two'), 'd')}) SELECT name AS \"column\", format, ambiguous FROM f UNION ALL SELECT 'two', 'mixed', false FROM (SELECT avg(CAST(coalesce(try_strptime(two, '%d.%m.%Y'), try_strptime(two, '%b %d, %Y')) IS NOT NULL AS INT)) AS share FROM d) WHERE share >= 0.95 AND NOT EXISTS (FROM f WHERE name = 'two')")
 def _(t):
-    df = clean(t)
-    found = T.datetime_format(df, ["day", "priority"])
+    day = F.to_date("day")
+    df = clean(t).select("day", "priority", F.date_format(day, "dd/MM/yyyy").alias("dmy"), F.when(F.col("row_id") % 2 == 0, F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "MMM dd, yyyy")).alias("two"))
+    found = T.datetime_format(df, df.columns)
     return df.sparkSession.createDataFrame([(c, f, a) for c, (f, a) in found.items()], "column string, format string, ambiguous boolean")
 
 
@@ -201,7 +224,7 @@ def _formatting_sql(column, table):
     share = lambda p: f"round(avg(CAST(regexp_matches(x, '{p}') AS INT)), 6)"
     return (
         f"WITH v AS (SELECT {column} AS x FROM {table}), s AS (SELECT count(x) AS n, {share(r'^[^@ ]+@[^@ ]+[.][^@ ]+$')} AS email, {share(r'^(https?://|www[.])[^ ]+$')} AS url, {share(r'[^a-zA-Z0-9_ \\t\\n\\r]')} AS punctuation FROM v) "
-        "SELECT *, CASE WHEN email >= 0.5 THEN 'email_like' WHEN url >= 0.5 THEN 'url_like' WHEN punctuation >= 0.3 THEN 'punctuation' END AS kind FROM s"
+        "SELECT *, CASE WHEN email >= 0.5 THEN 'email_like' WHEN url >= 0.5 THEN 'url_like' WHEN punctuation >= 0.3 THEN 'categorical_with_punctuation' END AS kind FROM s"
     )
 
 
@@ -216,10 +239,10 @@ def _(t):
     return rounded(Q.formatting(df, ["address"]).select("n", "email", "url", "punctuation", "kind"))
 
 
-@query("formatting_phone", "SELECT count(*) AS n, 1.0::DOUBLE AS phone, 'phone_like' AS kind FROM customer")
+@query("formatting_phone", "WITH v AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'call ' ELSE '+1 ' END || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS x FROM customer), s AS (SELECT count(x) AS n, avg(CAST(regexp_full_match(x, '[+]?[0-9 ().-]{7,20}') AS INT)) AS phone, bool_or(regexp_matches(x, '[ ()+-]')) AS apart FROM v) SELECT n, round(phone, 6) AS phone, CASE WHEN phone >= 0.5 AND apart THEN 'phone_like' END AS kind FROM s")
 def _(t):
-    df = t("customer").select(F.concat(F.lit("+1 "), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone"))
-    return Q.formatting(df, ["phone"]).select("n", "phone", "kind")
+    df = t("customer").select(F.concat(F.when(F.col("c_custkey") % 3 == 0, "call ").otherwise("+1 "), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone"))
+    return rounded(Q.formatting(df, ["phone"]).select("n", "phone", "kind"))
 
 
 @query("formatting_punct", _formatting_sql("c_name", "customer"))

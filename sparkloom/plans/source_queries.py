@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from sparkloom.operators import quality as Q
 from sparkloom.operators import stats as S
 from sparkloom.operators import typing as T
 from sparkloom.operators import warnings as W
-from sparkloom.plans.profile_queries import CLEAN, clean, raw
+from sparkloom.plans.profile_queries import TYPES_SQL, CLEAN, clean, raw
 from sparkloom.plans.registry import query
 from sparkloom.sources import tables
 from sparkloom.sources.scratch import new_folder
@@ -37,11 +35,11 @@ def _(t):
 
 @query("scan_xlsx", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")
 def _(t):
-    """Suppliers as a workbook (of bounded size, as uploads are) and back."""
+    """Suppliers as workbooks, written by tasks, and back."""
     df = t("supplier").select(F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name")
-    path = Path(tempfile.mkdtemp()) / "suppliers.xlsx"
-    tables.write_xlsx(str(path), df.columns, [tuple(r) for r in df.orderBy("s_suppkey").limit(tables.DEFAULT.max_rows).collect()])
-    return tables.read_xlsx(df.sparkSession, path.read_bytes())
+    path = new_folder(df.sparkSession, "workbooks")
+    tables.make_workbooks(df).write.parquet(path)
+    return tables.read_workbooks(df.sparkSession.read.parquet(path), "data", df.columns)
 
 
 def _findings(t):
@@ -53,7 +51,14 @@ def _findings(t):
     return df, meta, found, exact["rows"]
 
 
-@query("quality_summary")
+@query(
+    "quality_summary",
+    f"""WITH {TYPES_SQL}, m AS (SELECT "column", count(*) - count(value) AS missing, (count(*) - count(value)) * 100.0 / count(*) AS pct FROM u GROUP BY 1),
+g AS (SELECT "column", value, count(*) AS n FROM u WHERE value IS NOT NULL GROUP BY ALL), s AS (SELECT "column", count(*) AS k, max(n) / CAST(sum(n) AS DOUBLE) AS share FROM g GROUP BY 1)
+SELECT 'missing' AS kind, "column", CASE WHEN pct < 5 THEN 'low' WHEN pct < 20 THEN 'moderate' WHEN pct < 80 THEN 'high' ELSE 'very_high' END AS detail FROM m WHERE missing > 0
+UNION ALL SELECT 'constant', "column", CASE WHEN k = 1 THEN 'constant' ELSE 'near_constant' END FROM s WHERE k = 1 OR share >= 0.95
+UNION ALL SELECT 'identifier', name, identifier_level FROM typed WHERE identifier_level IS NOT NULL""",
+)
 def _(t):
     df, meta, found, _rows = _findings(t)
     rows = [("missing", m["column"], m["level"]) for m in found["missing"] if m["missing"]] + [("constant", c["column"], c["kind"]) for c in found["constants"]] + [("identifier", m["name"], m["identifier_level"]) for m in meta if m["identifier_level"]]
@@ -63,7 +68,7 @@ def _(t):
 @query("warnings")
 def _(t):
     df, meta, found, rows = _findings(t)
-    return W.as_frame(df.sparkSession, W.build_warnings(rows, meta, found))
+    return W.as_frame(df.sparkSession, rows, meta, found)
 
 
 @query("union_rules", "SELECT 'constant' AS rule, 'o_shippriority' AS \"column\" WHERE 1 = 0 UNION ALL SELECT 'identifier', 'o_orderkey' FROM (SELECT count(*) - count(DISTINCT o_orderkey) AS d FROM orders) WHERE d = 0")

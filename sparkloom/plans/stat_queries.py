@@ -134,7 +134,7 @@ def _(t):
     return rounded(A.pearson(t("lineitem"), list(_MEASURES)))
 
 
-@query("high_corr_pairs", "SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(r, 6) AS pearson, 'high' AS strength FROM (SELECT corr(l_quantity, l_quantity * 2 + l_discount) AS r FROM lineitem) WHERE abs(r) >= 0.7")
+@query("high_corr_pairs", "WITH x AS (SELECT l_quantity, l_quantity * 2 + l_discount AS l_extendedprice, l_tax FROM lineitem), r AS (SELECT " + ", ".join(f"{c}, CAST(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS DOUBLE) AS r_{c}" for c in ("l_quantity", "l_extendedprice", "l_tax")) + " FROM x), p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS p, corr(r_{a}, r_{b}) AS s FROM r" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_tax"))) + ") SELECT a, b, round(p, 6) AS pearson, round(s, 6) AS spearman, 'high' AS strength FROM p WHERE abs(p) >= 0.7")
 def _(t):
     df = t("lineitem").select("l_quantity", (F.col("l_quantity") * 2 + F.col("l_discount")).alias("l_extendedprice"), "l_tax")
     return rounded(A.high_pairs(df))
@@ -209,7 +209,7 @@ def _(t):
     return rounded(A.target_associations(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], ["l_returnflag"], "regression"))
 
 
-@query("recommend_problem", "SELECT * FROM (VALUES ('o_orderstatus', 'classification'), ('o_totalprice', 'regression'), ('o_orderkey', 'regression')) v(target, problem)")
+@query("recommend_problem", " UNION ALL ".join(f"SELECT '{c}' AS target, CASE WHEN {text} OR n = 2 OR {whole} AND n <= 10 THEN 'classification' ELSE 'regression' END AS problem FROM (SELECT count(DISTINCT {c}) AS n FROM orders)" for c, text, whole in (("o_orderstatus", "true", "false"), ("o_totalprice", "false", "false"), ("o_orderkey", "false", "true"))))
 def _(t):
     df = t("orders")
     rows = [(r["column"], A.recommend_problem(r["unique"], "categorical" if r["column"] == "o_orderstatus" else "numerical", r["column"] == "o_orderkey")) for r in S.distinct_counts(df, ["o_orderstatus", "o_totalprice", "o_orderkey"]).collect()]
@@ -223,10 +223,15 @@ def _(t):
     return rounded(A.leakage_suspects(df, "l_extendedprice", ["copy", "double", "l_quantity"], [], "regression"))
 
 
-@query("det_sample")
+@query("det_sample", "SELECT o_orderkey FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42'), o_orderkey LIMIT 100")
 def _(t):
     """The 100 rows of lowest hash: the same rows on every run and layout (a sampling operator)."""
-    return t("orders").orderBy(F.xxhash64("o_orderkey", F.lit(42)), "o_orderkey").limit(100).select("o_orderkey")
+    return S.plot_sample(t("orders"), "o_orderkey", 100).select("o_orderkey")
+
+
+@query("spearman_matrix", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr(ra, rb), 6) AS spearman FROM (SELECT CAST({_RANK.format(c=a)} AS DOUBLE) AS ra, CAST({_RANK.format(c=b)} AS DOUBLE) AS rb FROM lineitem)" for a, b in _PAIRS))
+def _(t):
+    return rounded(A.spearman_matrix(t("lineitem"), list(_MEASURES)))
 
 
 # ---------------------------------------------------------------- scalar functions

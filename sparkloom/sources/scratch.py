@@ -10,5 +10,9 @@ from pyspark.sql import SparkSession
 
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A new path under spark.checkpoint.dir, which driver and executors share; where it is unset, as on one machine, under a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="sparkloom-")
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -19,6 +19,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,8 +65,14 @@ def clean_names(names: list[str]) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ",", names: list[str] | None = None) -> DataFrame:
-    """All columns as strings, quotes doubled to escape, line breaks allowed inside quotes; read in parallel by file."""
-    reader = spark.read.options(header=True, sep=sep, encoding=encoding, multiLine=True, quote='"', escape='"', nullValue="", emptyValue="", inferSchema=False)
+    """All columns as strings, quotes doubled to escape, line breaks allowed inside quotes.
+
+    A file is read in parallel pieces unless a line has an odd number of quotes, and so
+    quotes that go on in the next one; then each file is read by one task.
+    """
+    lines = spark.read.text(path) if encoding.upper() in ("UTF-8", "ISO-8859-1") else None  # other encodings may hide line ends
+    spans = lines is None or not lines.where(F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1).isEmpty()
+    reader = spark.read.options(header=True, sep=sep, encoding=encoding, multiLine=spans, quote='"', escape='"', nullValue="", emptyValue="", inferSchema=False)
     df = reader.csv(path)
     df = df.toDF(*(names or clean_names([re.sub(r"^_c\d+$", "", c) for c in df.columns])))
     return df.select(*[F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")).alias(c) for c in df.columns])
@@ -110,8 +117,46 @@ def read_xlsx(spark: SparkSession, data: bytes) -> DataFrame:
     return spark.createDataFrame([tuple(r + [None] * (width - len(r))) for r in rows[1:]], schema)
 
 
-def write_xlsx(path: str, names: list[str], rows: list[tuple]) -> None:
-    """A small workbook with inline strings."""
+def make_workbooks(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """(data, rows): a workbook of at most `rows` rows of strings for each part of a partition, made in its task."""
+    names = df.columns
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def made(part):
+            out = io.BytesIO()
+            write_xlsx(out, names, part)
+            return pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary()), pa.array([len(part)], pa.int64())], names=["data", "rows"])
+
+        for batch in batches:
+            held += zip(*[c.to_pylist() for c in batch.columns])
+            while len(held) >= rows:
+                yield made(held[:rows])
+                held = held[rows:]
+        if held:
+            yield made(held)
+
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names]).mapInArrow(run, "data binary, rows long")
+
+
+def read_workbooks(files: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Rows of all workbooks in a binary column, as from spark.read.format('binaryFile'); each is parsed by a task. Their first rows must be `names`."""
+    schema = pa.schema([(n, pa.string()) for n in names])
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                head, *rows = _xlsx_rows(data)
+                if clean_names([str(c or "") for c in head]) != names:
+                    raise UploadError("a workbook has other columns")
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] if k < len(r) else None for r in rows], pa.string()) for k in range(len(names))], schema=schema)
+
+    return files.select(column).mapInArrow(run, ", ".join(f"`{n}` string" for n in names))
+
+
+def write_xlsx(path, names: list[str], rows: list[tuple]) -> None:
+    """A small workbook with inline strings, to a path or a file."""
 
     def cell(v):
         from xml.sax.saxutils import escape

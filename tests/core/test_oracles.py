@@ -28,7 +28,7 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - {"infer_types", "union_rules"}))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_oracle(spark, con, name):
     df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
