@@ -435,10 +435,9 @@ class NgramJaccardJoin:
         """Pairs whose whole sets link. Only documents that stand for a row in a pair send their set (and a few more, where the map of wanted ones says so by chance)."""
         if pairs.isEmpty():
             return pairs.select("a", "b", F.lit(0).cast("long").alias("overlap"), F.lit(0).cast("long").alias("n_union"))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        names = rows.select("row", "low", "high").join(wanted, "row", "left_semi")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("row"))
         bits = _map(wanted.mapInArrow(_wanted, "part int, blob binary"), _either, WANTED_BITS)
-        sets = written(_own(docs).mapInArrow(_sets(self.n, bits), "low long, high long, set binary").join(names, ["low", "high"]).select("row", "set"))
+        sets = written(_own(docs).mapInArrow(_sets(self.n, bits), "low long, high long, set binary").join(rows.select("row", "low", "high"), ["low", "high"]).select("row", "set"))
         both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
         return both.mapInArrow(_product(self.num, self.den), "a long, b long, overlap long, n_union long")
 
