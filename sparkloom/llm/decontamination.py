@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.kernels import slices
 from sparkloom.llm.session import written
 
 #: Words of lower-cased text: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, on UTF-8 bytes.
@@ -100,7 +101,7 @@ def _scan(shared, window: int, key: str, only_hits: bool):
             _built.clear()
             _built[key] = Automaton([(k, text) for k, (_, text) in enumerate(shared.value)], window)
         machine, names = _built[key], [name for name, _ in shared.value]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 512)):
             n_words, spans, owners, keep = [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 found = words_of(text)

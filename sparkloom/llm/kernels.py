@@ -156,6 +156,12 @@ def steps(column: pa.Array | pa.ChunkedArray, is_word: np.ndarray, fold: np.ndar
         row = end
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batch a few rows at a time, for work that holds several times what it reads."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 def by_group(keys: np.ndarray, n_groups: int) -> tuple[np.ndarray, np.ndarray]:
     """Order that puts equal keys (0..n_groups-1) together, and where each group begins."""
     order = np.argsort(keys, kind="stable")

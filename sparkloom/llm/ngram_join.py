@@ -255,7 +255,7 @@ def _bounded(num: int, den: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in K.slices(whole, 4096)):
             (one, at_one), (two, at_two) = _bytes(batch.column("blocks_a"), np.uint16), _bytes(batch.column("blocks_b"), np.uint16)
             wide_a, wide_b = np.diff(at_one), np.diff(at_two)
             least = np.minimum(wide_a, wide_b)
@@ -294,7 +294,7 @@ def _product(num: int, den: int):
         return values, at[:-1, None] + np.cumsum(inside, axis=1) - inside, inside
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in K.slices(whole)):
             sides = [cut_up(batch.column(c)) for c in ("set_a", "set_b")]
             size_a, size_b = (s[2].sum(axis=1) for s in sides)
             required = _required(size_a, size_b, num, den)

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.kernels import slices
 from sparkloom.llm.labelled import sample
 from sparkloom.llm.session import cut
 
@@ -50,7 +51,7 @@ LEXICON = {
 _TOKEN = re.compile(r"[^\W\d_][\w']*|[.!?;:\n]")
 _ENDS = frozenset(".!?;:\n")
 PREFIX_LENGTHS = range(4, 10)
-_MEMO = 1 << 20
+_MEMO = 1 << 17
 
 
 #: Bits of a context, and the factors that each pays on insults and on threats. A threat without a target pays nothing.
@@ -293,7 +294,7 @@ class ToxicityGrammar:
         def run(batches):
             scorer = Scorer(model)
             for batch in batches:
-                scores = pa.array([scorer.score(t) for t in batch.column("scored_text").to_pylist()], pa.float64())
+                scores = pa.array([scorer.score(t) for part in slices(batch) for t in part.column("scored_text").to_pylist()], pa.float64())
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(1, batch.num_columns)], scores], names=[*batch.schema.names[1:], "score"])
 
         own = docs.select(F.col("text").cast("string").alias("scored_text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
