@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.ranking import group_positions
+from sparkloom.llm.session import written
 
 
 def optimal_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -69,8 +70,9 @@ class LengthBuckets:
         self.buckets, self.max_tokens, self.token_budget = buckets, max_tokens, token_budget
 
     def pieces(self, docs: DataFrame, length: Column | None = None) -> DataFrame:
-        """(doc_id, piece, first_token, n_tokens)."""
+        """(doc_id, piece, first_token, n_tokens). Lengths are counted once and written."""
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (word_count(F.col("text")) if length is None else length.cast("long")).alias("total"))
+        own = written(own)
         most = F.lit(self.max_tokens).cast("long")
         last = F.greatest(F.ceil(F.col("total") / most) - 1, F.lit(0)).cast("long")
         cut = own.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))

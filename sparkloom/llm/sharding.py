@@ -1,13 +1,17 @@
 """Shards along a Hilbert curve over document metadata.
 
-Source, language and length are quantised to a small cube of cells; the curve index
-of a cell orders documents so that neighbours on the curve are alike in all
-dimensions, and the order is cut into runs of equal count. A reader that filters on any
-of the dimensions then needs few files. DataFrame functions only.
+Source, language and length are quantised to a small cube of cells: names by ranges of
+about equal row counts in their order, lengths by powers of two. The curve index of a cell
+orders documents so that neighbours on the curve are alike in all dimensions, and the
+order is cut into runs of equal count. A reader that filters on any of the dimensions, or
+prunes by their smallest and largest values, then needs few files. DataFrame functions
+only.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,9 +65,25 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return F.element_at(index, 1)
 
 
-def _named_cell(column: Column) -> Column:
-    """0 for null, else 1 .. 2**BITS - 1 by hash: equal values share a cell."""
-    return F.when(column.isNull(), F.lit(0)).otherwise(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit((1 << BITS) - 1)) + 1).cast("long")
+def _named_cells(docs: DataFrame, names: list[str]) -> list[Column]:
+    """For each column: 0 for null, else 1 .. 2**BITS - 1, growing with the value: equal values share a cell.
+
+    A value's place is read from the six bytes after what all values begin with, and the
+    cells are cut at approximate quantiles of that, so a frequent value has a cell of its own.
+    """
+    text = {c: F.col(c).cast("string") for c in names}
+    ends = docs.agg(*[f(text[c]).alias(f"{n}_{c}") for c in names for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    place = {}
+    for c in names:
+        common = len(os.path.commonprefix([(ends[f"lo_{c}"] or "").encode(), (ends[f"hi_{c}"] or "").encode()]))
+        place[c] = F.conv(F.rpad(F.hex(F.substring(text[c].cast("binary"), common + 1, 6)), 12, "0"), 16, 10).cast("double")
+    cells = (1 << BITS) - 1
+    cuts = docs.agg(*[F.percentile_approx(place[c], [k / cells for k in range(1, cells)], 1000).alias(c) for c in names]).first()
+    out = []
+    for c in names:
+        bounds = F.array(*[F.lit(v) for v in sorted(set(cuts[c] or []))]).cast("array<double>")
+        out.append(F.when(text[c].isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda b, at=place[c]: b < at)) + 1).cast("long"))
+    return out
 
 
 def _size_cell(size: Column) -> Column:
@@ -93,8 +113,9 @@ class HilbertShards:
         """(doc_id, size, text_crc32, curve, position, shard, slot): position in the whole order, slot in the shard."""
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         size = F.octet_length(text).cast("long") + 16
+        source, lang = _named_cells(docs, ["source", "lang"])
         rows = docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _named_cell(F.col("source")).alias("x"), _named_cell(F.col("lang")).alias("y"), _size_cell(size).alias("z")
+            F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), source.alias("x"), lang.alias("y"), _size_cell(size).alias("z")
         ).withColumn("cell", (F.col("x") * (1 << BITS) + F.col("y")) * (1 << BITS) + F.col("z"))
         cells = rows.groupBy("cell", "x", "y", "z").agg(F.count("*").alias("n")).withColumn("curve", hilbert_index([F.col("x"), F.col("y"), F.col("z")], BITS))
         along = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)  # over cells: at most 2 ** (DIMS * BITS) rows

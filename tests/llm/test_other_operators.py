@@ -109,6 +109,20 @@ def test_shards(spark):
     assert HilbertShards().run(df.limit(0)).count() == 0
 
 
+def test_shards_prune_files(spark):
+    """How many of 40 files a filter on each dimension opens, by their smallest and largest values."""
+    rng = random.Random(5)
+    sources = [f"https://site-{k:03}.example" for k in range(60)]
+    rows = [(k, "x" * int(16 * 2 ** rng.uniform(0, 11)), rng.choice(["de", "en", "es", "fr"]), sources[0] if k % 3 == 0 else rng.choice(sources)) for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    files = HilbertShards(40).run(df).join(df, "doc_id").groupBy("shard").agg(*[f(c) for c in ("source", "lang", "size") for f in (F.min, F.max)]).toPandas()
+    opened = lambda c, v: int(((files[f"min({c})"] <= v) & (files[f"max({c})"] >= v)).sum())
+    assert len(files) == 40
+    assert np.mean([opened("lang", v) for v in ("de", "en", "es", "fr")]) <= 22
+    assert np.mean([opened("source", v) for v in sources[1:]]) <= 12 and opened("source", sources[0]) <= 24
+    assert np.mean([opened("size", 16 * 2**k) for k in range(1, 11)]) <= 25
+
+
 def test_archives(spark, tmp_path):
     same = "x" * 1200
     pages = [(1, "u1", same), (5, "u2", same), (3, None, same), (2, "u3", "y" * 999), (4, "u\r\n4", "y" * 999), (6, "u6", None), (7, "u7", "é" * 700), (8, "", "\r\n\r\nWARC/1.1\r\n"), (9, "u9", "é" * 700), (None, "n", same)]
@@ -263,7 +277,7 @@ def test_toxicity_held_out(spark):
 
 def test_quality_held_out(spark):
     docs, labels = labelled(spark)
-    ranking = quality.QualityRanking(fit_rows=600, pairs=2000)
+    ranking = quality.QualityRanking(fit_rows=600)
     model = ranking.fit(docs, labels)
     from sparkloom.llm.labelled import fold
 
@@ -272,6 +286,59 @@ def test_quality_held_out(spark):
     assert ranking.score(docs, ranking.fit(docs, labels.limit(0))).where("abs(score - 0.7) > 1e-9").count() == 0
 
 
+def test_pair_weights_are_of_all_pairs():
+    """The gradient of the loss over all pairs, taken one by one, vanishes at the weights."""
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(0.7, 1, (40, 4)), rng.normal(0, 1, (23, 4))
+    w = quality.pair_weights(good, bad, step_rows=7)
+    diff = (good[:, None] - bad[None]).reshape(-1, 4)
+    lose = 1 / (1 + np.exp(diff @ w))
+    assert np.abs(lose @ diff * 63 / len(diff) - w).max() < 1e-6
+
+
+def test_quality_odd_rows(spark):
+    """Null, empty, repeated and long texts under a fitted model, and columns with clashing names."""
+    docs, labels = labelled(spark, n=200)
+    model = quality.QualityRanking().fit(docs, labels)
+    rows = [(1, "w1 w2 w3"), (1, "w1 w2 w3"), (None, "w5 " * 200000), (2, None), (3, ""), (4, "\t\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("x"), "label": F.lit(1), "x": F.lit(0)})
+    got = quality.QualityRanking().score(df, model).collect()
+    assert len(got) == 6 and all(0 <= r["score"] <= 1 for r in got)
+    assert got[0]["score"] == got[1]["score"] and got[3]["score"] == got[4]["score"] == got[5]["score"]
+
+
+def test_batches_of_repeated_rows(spark):
+    rows = [(1, "a b c")] * 5 + [(None, "a b c")] * 2 + [(2, "a " * 10)]
+    got = LengthBuckets(buckets=2, max_tokens=4, token_budget=8).run(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(got) == 10 and got.n_tokens.sum() == 31 and not got.duplicated(["bucket", "batch", "slot"]).any()
+
+
+def test_queries_of_other_operators_on_small_tables(spark, tmp_path):
+    """Each opN_ query on a fixture, with the columns and types of its contract."""
+    from sparkloom.llm import queries
+
+    docs, labels = labelled(spark, n=300)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "u", "x" * 1000), (2, "u", "x" * 1000), (3, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(vectors(), "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path))
+
+    out = run("op1_subspace_pigeonhole_join")
+    assert dict(out.dtypes) == {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"} and out.count() == len(vectors())
+    out = run("op2_optimal_length_buckets").toPandas()
+    assert out.bucket.nunique() <= 16 and out.groupby(["bucket", "batch"]).bucket_tokens.sum().max() <= 65536
+    got = {r["page_id"]: tuple(r)[1:] for r in run("op3_warc_zip_reader").collect()}
+    assert {i: (g[0], g[2], g[3]) for i, g in got.items()} == {1: (1000, "revisit", 2), 2: (1000, "response", None), 3: (0, "response", None)} and got[3][1] == "da39a3ee5e6b4b0d3255bfef95601890afd80709"
+    for name, folds, fold, at in (("op6_toxicity_grammar", 5, 0, 0.5), ("op9_bradley_terry_quality", 4, 2, 0.7)):
+        import zlib
+
+        out = run(name)
+        assert dict(out.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+        rows = out.collect()
+        assert len(rows) == 302 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % folds == fold) and r["predicted"] == int(r["score"] >= at) for r in rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
