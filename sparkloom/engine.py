@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 from collections import OrderedDict
 from dataclasses import asdict
 from pathlib import Path
@@ -10,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom import report
+from sparkloom import artifacts, report
 from sparkloom.config import DEFAULT, Config
 from sparkloom.operators import association, forecast, models, normality, quality, stats, timeseries, typing, warnings
 from sparkloom.operators.features import select_features
@@ -125,9 +126,10 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str | Path, cfg: Config = DEFAULT):
         self.spark, self.cfg = spark, cfg
-        self.store, self.registry = Store(spark, Path(root), cfg), Registry(root)
+        self.root, self.store, self.registry = root, Store(spark, Path(root), cfg), Registry(root)
         self.cache: OrderedDict = OrderedDict()
         self.results: dict[str, object] = {}
+        self.busy = threading.Lock()
 
     def config(self) -> dict:
         return asdict(self.cfg)
@@ -139,7 +141,7 @@ class Engine:
         return self.store.list()
 
     def train(self, dataset: Dataset, target: str, problem: str, **settings) -> dict:
-        """Runs an experiment to completion or failure; either is recorded."""
+        """Runs an experiment to completion or failure; either is recorded. One runs at a time in a process."""
         m = next((m for m in dataset.meta if m.name == target), None)
         if m is None:
             raise ValueError(f"no column {target}")
@@ -147,19 +149,26 @@ class Engine:
             raise ValueError(f"a {m.semantic_type} column can't be a target")
         if problem == "regression" and m.semantic_type != "numerical":
             raise ValueError("regression needs a numerical target")
+        if not self.busy.acquire(blocking=False):
+            raise RuntimeError("another experiment is running")
         doc = self.registry.create(dataset.document["filename"], {"target": target, "problem": problem, **settings})
-        self._status(doc, "running")
+        self._status(doc, "queued")
         try:
+            self._status(doc, "running")
             chosen, left = select_features(dataset.meta, target, settings.get("keep", ()), settings.get("drop", ()))
             result = models.train(dataset.frame, [c.name for c in chosen], models.Settings(target, problem, ROW_ID, **settings), self.cfg)
             leader = next(r for r in result.board if r["key"] == result.leader)
             doc["results"] = {"models": result.board, "leader": result.leader, "primary_metric": result.primary, "primary_test": leader["test"][result.primary], "beats_baseline": result.beats_baseline, "classes": result.classes, "split": result.split, "decisions": left}
+            doc["results"] |= {"diagnostics": jsonable(artifacts.diagnostics(result)), "schema": jsonable(_rows(models.input_schema(dataset.frame, result.spec)))}
+            artifacts.save(result, self._model_path(doc["id"]))
             self.results[doc["id"]] = result
             self._status(doc, "completed")
             self._mirror(doc)
         except Exception as e:  # a failed run is a result of its own
             doc["error"] = f"{type(e).__name__}: {e}"
             self._status(doc, "failed")
+        finally:
+            self.busy.release()
         return doc
 
     def forecast(self, dataset: Dataset, ts: str, y: str, **settings) -> dict:
@@ -182,10 +191,75 @@ class Engine:
         self.registry.save(doc)
 
     def _completed(self, experiment_id: str):
-        if self.registry.get(experiment_id)["status"] != "completed" or experiment_id not in self.results:
+        """The result of a completed run; one of an earlier process is read back."""
+        doc = self.registry.get(experiment_id)
+        if doc["status"] != "completed":
             raise ValueError("no completed run with a model")
+        if experiment_id not in self.results:
+            if "schema" not in doc["results"]:
+                raise ValueError("forecasts are kept in their process only; train again")
+            self.results[experiment_id] = artifacts.load(self.spark, self._model_path(experiment_id))
         return self.results[experiment_id]
 
+    def _model_path(self, experiment_id: str) -> str:
+        return f"{self.root}/models/{experiment_id}"
+
+    def metrics(self, experiment_id: str) -> dict:
+        """Leaderboard and the leader's diagnostics on the held-out rows."""
+        r = self.registry.get(experiment_id)["results"] or {}
+        return {k: r.get(k) for k in ("models", "leader", "primary_metric", "diagnostics")}
+
+    def schema(self, experiment_id: str) -> list[dict]:
+        """The inputs of a model, for a form."""
+        return (self.registry.get(experiment_id)["results"] or {}).get("schema") or []
+
+    def explain(self, experiment_id: str, key: str | None = None, rows: int = 500, repeats: int = 5) -> dict:
+        """Permutation importance of the leader, and coefficients or Shapley values of a model."""
+        r = self._completed(experiment_id)
+        key = key or r.leader
+        out = {"permutation": _rows(models.permutation_importance(r, repeats, rows))}
+        if key in ("logreg", "linear"):
+            return out | {"effects": _rows(models.linear_effects(r, self.spark, key))}
+        if hasattr(r.fitted[key].model, "trees"):
+            out |= {"shap": _rows(models.tree_shap(r, key)), "beeswarm": _rows(models.beeswarm(r, key))}
+        return out
+
+    def preprocessing(self, experiment_id: str) -> dict:
+        """What each model's preprocessing learned."""
+        return {k: artifacts.preprocessing(f.prep) for k, f in self._completed(experiment_id).fitted.items() if f.prep is not None}
+
+    def experiment_report(self, experiment_id: str) -> str:
+        """An HTML page about a run."""
+        doc = self.registry.get(experiment_id)
+        r = doc["results"] or {}
+        d = r.get("diagnostics") or {}
+        sections: dict = {"Run": [{"status": doc["status"], "leader": r.get("leader"), "metric": r.get("primary_metric"), "test": r.get("primary_test"), "beats the baseline": r.get("beats_baseline")}]}
+        board = [{"model": m["key"], "status": m["status"], "cv": m.get("primary_cv")} for m in r.get("models", [])]
+        sections["Models"] = report.table(board) + report.bars([m["model"] for m in board if m["cv"] is not None], [m["cv"] for m in board if m["cv"] is not None])
+        sections |= {name.capitalize(): rows for name, rows in d.items() if name not in ("roc", "pr")}
+        if d.get("roc"):
+            sections["ROC curve"] = report.lines({"true positives": [p["tpr"] for p in d["roc"]], "false positives": [p["fpr"] for p in d["roc"]]})
+        return report.build(doc["model"]["name"], sections)
+
+    def check_inputs(self, experiment_id: str, rows: DataFrame) -> dict[str, list[str]]:
+        """Columns of the model that the table lacks, and those with values that do not parse; both count as missing."""
+        result = self._completed(experiment_id)
+        clean, typed = self._typed(result, rows)
+        lost = [f.name for f in result.spec if f.name in clean.columns]
+        counts = typed.agg(*[F.count_if(clean_.isNotNull() & typed_.isNull()).alias(f"n{k}") for k, (clean_, typed_) in enumerate((F.col(f"`_raw_{c}`"), F.col(f"`{c}`")) for c in lost)]).first() if lost else {}
+        return {"missing": [f.name for f in result.spec if f.name not in clean.columns], "unparseable": [c for k, c in enumerate(lost) if counts[f"n{k}"]]}
+
+    def _typed(self, result, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The table without placeholders, and with the model's columns parsed beside what they were."""
+        inputs = {f.name: f.kind for f in result.spec}
+        clean = quality.normalize_placeholders(rows)
+        parse = {"numeric": lambda c: F.coalesce(typing.C.parse_plain(c), typing.C.parse_formatted(c)), "bool": typing.C.parse_boolean, "datetime": lambda c: typing.C.parse_datetime(c, None)}
+        strings = {c for c, t in clean.dtypes if t == "string"}
+        kept = {f"_raw_{c}": F.col(f"`{c}`") for c in inputs if c in clean.columns}
+        typed = clean.withColumns(kept) if kept else clean
+        parsed = {c: parse[k](F.col(f"`{c}`")) for c, k in inputs.items() if c in strings and k in parse}
+        return clean, typed.withColumns(parsed) if parsed else typed
+
     def predict(self, experiment_id: str, records: list[dict], key: str | None = None) -> DataFrame:
         return self.batch(experiment_id, from_records(self.spark, records), key)
 
@@ -195,11 +269,8 @@ class Engine:
         inputs = {f.name: f.kind for f in result.spec}
         if not set(inputs) & set(rows.columns):
             raise ValueError("none of the model's columns is there")
-        clean = quality.normalize_placeholders(rows)
-        parse = {"numeric": lambda c: F.coalesce(typing.C.parse_plain(c), typing.C.parse_formatted(c)), "bool": typing.C.parse_boolean, "datetime": lambda c: typing.C.parse_datetime(c, None)}
-        strings = {c for c, t in clean.dtypes if t == "string"}
-        typed = clean.withColumns({c: parse[k](F.col(f"`{c}`")) for c, k in inputs.items() if c in strings and k in parse})
-        return models.predict(result, typed, key)
+        clean, typed = self._typed(result, rows)
+        return models.predict(result, typed.select(*[F.col(f"`{c}`") for c in clean.columns]), key)
 
     def future(self, experiment_id: str, periods: int, key: str | None = None) -> DataFrame:
         r = self._completed(experiment_id)
@@ -213,5 +284,7 @@ class Engine:
 
                 with mlflow.start_run(run_name=doc["model"]["name"]):
                     mlflow.log_params(doc["config"])
+                    leader = next(m for m in doc["results"]["models"] if m["key"] == doc["results"]["leader"])
+                    mlflow.log_metrics({f"test_{k}": v for k, v in (leader.get("test") or {}).items() if v is not None})
             except Exception:  # optional mirror
                 pass

@@ -29,13 +29,13 @@ LOWER_IS_BETTER = {"mae", "rmse"}
 
 @dataclass
 class Settings:
-    """What to train: problem is classification or regression; sizes override the defaults of each model family."""
+    """What to train: problem is classification or regression; sizes override the defaults of each model family; folds are 5, or 3 above 50 000 training rows, unless given."""
 
     target: str
     problem: str
     key: str
     test_share: float = 0.2
-    folds: int = 5
+    folds: int | None = None
     primary: str | None = None
     models: tuple[str, ...] = ("logreg", "linear", "rf", "gbt")
     keep: tuple[str, ...] = ()
@@ -193,7 +193,8 @@ def train(df: DataFrame, columns: list[str], s: Settings, cfg: Config = DEFAULT)
     primary = s.primary or ("rmse" if not classes else "pr_auc" if len(classes) == 2 and imbalanced else "f1")
     if primary not in allowed:
         raise ValueError(f"{primary} is not one of {allowed}")
-    folds = max(2, min(s.folds, *counts.values()) if classes else s.folds)
+    asked = s.folds or (5 if sizes["train"] <= 50_000 else 3)
+    folds = max(2, min(asked, *counts.values()) if classes else asked)
     dealt = FE.kfold(train_rows, s.key, "label" if classes else None, folds, cfg.random_state).persist()
 
     board, fitted = [], {}
@@ -321,22 +322,51 @@ def shapley_values(x: list[float], trees) -> dict[int, float]:
     return out
 
 
-def tree_shap(result: Result, key: str, rows: int = 100, top: int = 20) -> DataFrame:
-    """(feature, mean_abs) over at most `rows` test rows (a stated sample), summed to the model's input columns."""
+def sources(result: Result, fitted: Fitted) -> list[str]:
+    """The table's column that each input of a model was made of: itself, or what a level, an indicator, a frequency or a calendar part belongs to."""
+    made = sorted([*result.numeric, *result.categorical], key=len, reverse=True)
+    column = {c: next((f.name for f in result.spec if c == f.name or c.startswith(f"{f.name}__")), c) for c in made}
+    return [column[next(c for c in made if name == c or name.startswith(f"{c}_"))] for name in fitted.prep.inputs]
+
+
+def shap_values(result: Result, key: str, rows: int = 100) -> DataFrame:
+    """(row, feature, shap, value): Shapley values of at most `rows` test rows (a stated sample) by source column, with the column's value where it is a number."""
     fitted = result.fitted[key]
     trees, names = tree_leaves(fitted.model), fitted.prep.inputs
-    made = fitted.prep.transform(result.test.orderBy(F.xxhash64(*result.test.columns)).limit(rows)).select(F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("x"))
+    of = sources(result, fitted)
+    features = list(dict.fromkeys(of))
+    place = [features.index(c) for c in of]
+    first = [names.index(c) if c in names else None for c in features]
+    sample = result.test.orderBy(F.xxhash64(*result.test.columns)).limit(rows)
+    made = fitted.prep.transform(sample).select(F.monotonically_increasing_id().alias("row"), F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("x"))
 
     def explain(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [shapley_values(x, trees) for x in batch.column("x").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([[abs(f.get(k, 0.0)) for k in range(len(names))] for f in found], pa.list_(pa.float64()))], names=["v"])
+            out = {"row": [], "feature": [], "shap": [], "value": []}
+            for row, x in zip(batch.column("row").to_pylist(), batch.column("x").to_pylist()):
+                sums = [0.0] * len(features)
+                for k, v in shapley_values(x, trees).items():
+                    sums[place[k]] += v
+                for c, v, at in zip(features, sums, first):
+                    out["row"].append(row), out["feature"].append(c), out["shap"].append(v), out["value"].append(None if at is None else x[at])
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row", pa.int64()), ("feature", pa.string()), ("shap", pa.float64()), ("value", pa.float64())]))
+
+    return made.mapInArrow(explain, "row long, feature string, shap double, value double")
+
+
+def tree_shap(result: Result, key: str, rows: int = 100, top: int = 20) -> DataFrame:
+    """(feature, mean_abs): mean size of the Shapley values of each source column."""
+    return shap_values(result, key, rows).groupBy("feature").agg(F.avg(F.abs("shap")).alias("mean_abs")).orderBy(F.desc("mean_abs"), "feature").limit(top)
+
+
+def beeswarm(result: Result, key: str, rows: int = 100) -> DataFrame:
+    """(row, feature, shap, level): Shapley values for a beeswarm plot; level is the share of the sample's values of the column that are not larger, null where it is no number."""
+    from pyspark.sql.window import Window
 
-    values = made.mapInArrow(explain, "v array<double>").select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("mean_abs"))
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("k") + 1)
-    return values.select(label.alias("feature"), "mean_abs").orderBy(F.desc("mean_abs"), "feature").limit(top)
+    by_value = Window.partitionBy("feature").orderBy("value")  # `rows` values a feature
+    return shap_values(result, key, rows).withColumn("level", F.when(F.col("value").isNotNull(), F.cume_dist().over(by_value))).drop("value")
 
 
 def occlusion(result: Result, row: DataFrame, top: int = 8) -> DataFrame:

@@ -135,6 +135,8 @@ def test_models(spark):
     expected = sum(w * v * np.prod([s for *_, s in path]) for w, leaves in trees for path, v in leaves)
     value = sum(w * v for w, leaves in trees for path, v in leaves if all((x[f] <= t) == left for f, t, left, _ in path))
     assert abs(sum(MO.shapley_values(x, trees).values()) - (value - expected)) < 1e-9
+    shap = MO.tree_shap(r, "rf", rows=20).collect()
+    assert {s["feature"] for s in shap} == {"age", "plan", "income"} and MO.beeswarm(r, "rf", rows=20).where("feature = 'age'").agg(F.max("level")).first()[0] == 1.0
     with pytest.raises(ValueError, match="no column"):
         MO.train(typed, ["age"], MO.Settings("nope", "classification", "_row_id"))
 
@@ -157,6 +159,67 @@ def test_series(spark):
         TS.prepare(df, "date", "date")
 
 
+def test_frequency_counts_periods_without_a_calendar(spark):
+    """Stamps 50 seconds apart and one twenty years on: no calendar of them is made."""
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    stamps = [start + dt.timedelta(seconds=50 * k) for k in range(50)] + [dt.datetime(2045, 1, 1)]
+    df = spark.createDataFrame([(s, 1.0) for s in stamps], "ts timestamp_ntz, y double")
+    info = TS.frequency(df, "ts")
+    assert info["freq"] == "S50" and info["gaps"] == int((stamps[-1] - start).total_seconds() // 50) + 1 - 51
+    with pytest.raises(ValueError, match="coarser"):
+        TS.prepare(df, "ts", "y")
+    days = [dt.datetime(2024, 1, 1) + dt.timedelta(days=k) for k in range(40)]
+    for freq, every in (("MS", days), ("QS", days), ("YS", days), ("B", days), ("W", days), ("D", days)):
+        made = spark.createDataFrame([(d,) for d in days], "ts timestamp_ntz").select(TS.snap(F.col("ts"), freq).alias("ts")).distinct()
+        ends = made.agg(F.min("ts"), F.max("ts")).first()
+        assert TS.calendar(made, freq).count() == TS.count_periods(ends[0], ends[1], freq), freq
+
+
+def test_gaps_across_ranges(spark):
+    rng = np.random.default_rng(2)
+    at = np.unique(rng.integers(0, 10**6, 3000))
+    df = spark.createDataFrame([(int(a),) for a in at], "s long").select(F.timestamp_seconds("s").alias("ts"))
+    got = {round(r["days"] * 86400): r["n"] for r in TS.gaps(df, "ts").collect()}
+    steps, times = np.unique(np.diff(at), return_counts=True)
+    assert got == dict(zip(steps.tolist(), times.tolist()))
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    """The search narrows down to the same numbers, with ties, gaps and nulls."""
+    from sparkloom.operators import common
+
+    monkeypatch.setattr(common, "QUANTILE_ROWS", 40)
+    rng = np.random.default_rng(1)
+    data = {"normal": rng.normal(size=3000), "few": rng.integers(0, 5, 3000) * 1.0, "gap": np.r_[np.zeros(1800), rng.exponential(size=1200) * 1e9], "hot": np.r_[np.full(2990, 7.0), rng.normal(size=10)]}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*data.values())] + [(None,) * 4], "normal double, few double, gap double, hot double").repartition(3)
+    probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = common.exact_quantiles(df, {c: F.col(c) for c in data}, probs)
+    for c, x in data.items():
+        assert np.allclose(got[c], np.quantile(x, probs), rtol=1e-9)
+    assert common.exact_quantiles(df.limit(0), {"few": F.col("few")}, [0.5]) == {"few": [None]}
+
+
+def test_csv_with_and_without_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1,"a ""b"""\n2,c\n')
+    (tmp_path / "b.csv").write_text('x,y\n1,"a\nb"\n2,c\n')
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [("1", 'a "b"'), ("2", "c")]
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "b.csv")).collect()] == [("1", "a\nb"), ("2", "c")]
+
+
+def test_warnings_name_a_column_once(spark):
+    from sparkloom.operators import warnings as W
+
+    found = W.build_warnings(spark, 500, [], {"placeholders": [{"column": "a", "value": v, "n": 3} for v in ("-", "?", "n/a")], "missing": [{"column": "t", "missing_pct": 30.0, "missing": 150, "level": "high"}]}, target="t")
+    assert [(w["severity"], w["column"]) for w in found] == [("HIGH", "t"), ("INFO", "a")] and found[1]["evidence"].count(" x 3") == 3
+
+
+def test_formatting_kinds(spark):
+    df = spark.createDataFrame([("$1,200", "a@b.com", "so, it goes. on and on", "a-b")] * 5, "m string, e string, t string, c string")
+    assert {r["column"]: r["kind"] for r in Q.formatting(df, df.columns, ("t",), ("m",)).collect()} == {"m": "formatted_numeric", "e": "email_like", "t": "punctuation_rich_text", "c": "categorical_with_punctuation"}
+
+
 def test_shapiro(spark):
     rng = np.random.default_rng(3)
     assert shapiro_wilk(rng.normal(size=400))[1] > 0.01 and shapiro_wilk(rng.exponential(size=400))[1] < 1e-6
@@ -209,6 +272,17 @@ def test_engine(spark, tmp_path):
     assert doc["status"] == "completed" and engine.registry.headline(doc)["leader"] == "logreg"
     out = engine.predict(doc["id"], [{"age": "60", "plan": "pro", "income": "abc"}]).first()
     assert out["prediction"] in ("true", "false")
+    rows = spark.createDataFrame([("60", "abc", "pro"), ("61", None, "pro")], "age string, income string, other string")
+    assert engine.check_inputs(doc["id"], rows)["unparseable"] == ["income"] and "plan" in engine.check_inputs(doc["id"], rows)["missing"]
+    again = Engine(spark, tmp_path / "store")  # as after a restart
+    assert again.predict(doc["id"], [{"age": "60", "plan": "pro", "income": "abc"}]).first()["confidence"] == pytest.approx(out["confidence"])
+    assert {s["column"] for s in again.schema(doc["id"])} >= {"age", "plan", "income"} and again.metrics(doc["id"])["diagnostics"]["confusion"]
+    assert again.explain(doc["id"], rows=40, repeats=1)["effects"] and again.preprocessing(doc["id"])["logreg"]["medians"]
+    assert "<h1>churn-churn-tabular</h1>" in again.experiment_report(doc["id"]) and "<svg" in again.experiment_report(doc["id"])
+    engine.busy.acquire()
+    with pytest.raises(RuntimeError, match="running"):
+        engine.train(ds, "churn", "classification")
+    engine.busy.release()
     other = engine.train(ds, "churn", "classification", models=("logreg",), folds=2)
     engine.registry.set_status(doc["id"], "Production")
     engine.registry.set_status(other["id"], "Production")
