@@ -81,8 +81,12 @@ def _named_cells(docs: DataFrame, names: list[str]) -> list[Column]:
     cuts = docs.agg(*[F.percentile_approx(place[c], [k / cells for k in range(1, cells)], 1000).alias(c) for c in names]).first()
     out = []
     for c in names:
-        bounds = F.array(*[F.lit(v) for v in sorted(set(cuts[c] or []))]).cast("array<double>")
-        out.append(F.when(text[c].isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda b, at=place[c]: b < at)) + 1).cast("long"))
+        own = sorted(set(cuts[c] or []))
+        bounds = F.array(*[F.lit(v) for v in own]).cast("array<double>")
+        at = place[c]
+        rank = F.size(F.filter(bounds, lambda b: b < at))  # noqa: B023  used at once
+        spread = F.least(F.floor(rank * (cells - 1) / F.lit(max(1, len(own) - 1))), F.lit(cells - 1))  # few values lie as far apart as the cube allows
+        out.append(F.when(text[c].isNull(), F.lit(0)).otherwise(spread + 1).cast("long"))
     return out
 
 
