@@ -23,18 +23,16 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
     an empty frame.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v")))
-    edges = cut(edges.repartition("u").distinct())
+    edges = cut(edges.distinct())
     before = _digest(edges)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        ends = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = edges.select(F.inline(ends)).repartition("u")  # what follows, up to the next repartition, needs no exchange
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
+        low = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), "m")
+        large = edges.join(low, edges["v"] == low["node"], "left").select("u", F.coalesce("m", "v").alias("v"))  # larger neighbours of a node go to the smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
-        edges = cut(small.where("u > v").repartition("u").distinct())
+        edges = cut(small.where("u > v").distinct())
         now = _digest(edges)
         if now == before:
             break

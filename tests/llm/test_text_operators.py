@@ -286,3 +286,16 @@ def test_queries_of_text_operators_on_small_tables(spark, tmp_path, docs):
 
     out = run("op5_hilbert_sharding").toPandas()
     assert set(out.columns) >= {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"} and set(out["shard"]) == set(range(40)) and (out["law"] == "rows").all()
+
+
+def test_components_of_chains_stars_and_cliques(spark):
+    from sparkloom.llm.components import connected_components
+
+    rng = random.Random(17)
+    links = [(k, k + 1) for k in range(100, 160)] + [(500, 501 + k) for k in range(80)] + [(900 - k, 700) for k in range(50)] + [(a, b) for a in range(1000, 1012) for b in range(1000, a)] + [(160, 130), (3, 3), (None, 4), (5, None), (7, 6), (6, 7)]
+    rng.shuffle(links)
+    links = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in links]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "x long, y long").repartition(4), "x", "y").collect()}
+    want = {k: 100 for k in range(100, 161)} | {k: 500 for k in range(500, 581)} | {700: 700} | {900 - k: 700 for k in range(50)} | {k: 1000 for k in range(1000, 1012)} | {6: 6, 7: 6}
+    assert got == want
+    assert connected_components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
