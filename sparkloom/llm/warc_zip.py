@@ -14,6 +14,7 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -32,13 +33,23 @@ PACKAGE_BYTES = 64 << 20
 #: Index lines that one reading task takes.
 RANGE_RECORDS = 2048
 _MAX32, _MAX16 = 0xFFFFFFFF, 0xFFFF
+#: URI schemes of packages' folders, and the file systems that open them.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
 #: Identical payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 1000
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI or of a plain path."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """File system and path of a URI or of a plain path. A scheme that cannot be opened is an error, never a local path."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):/", path)
+    if scheme is None:
+        return fs.LocalFileSystem(), path
+    name = SCHEMES.get(scheme[1].lower())
+    if name is None:
+        raise ValueError(f"no file system for {scheme[1]}:")
+    if name == "file":
+        return fs.LocalFileSystem(), "/" + path[len(scheme[0]) :].lstrip("/")
+    return fs.FileSystem.from_uri(name + path[len(scheme[1]) :])
 
 
 # ---------------------------------------------------------------- writing
@@ -141,8 +152,8 @@ def _wide(extra: bytes, values: list[int]) -> list[int]:
     return values
 
 
-def members(source) -> dict[str, tuple[int, int]]:
-    """Where the data of each stored member begins, and its length."""
+def members(source, crcs: dict[str, int] | None = None) -> dict[str, tuple[int, int]]:
+    """Where the data of each stored member begins, and its length; their checksums go into crcs."""
     size = source.size()
     tail = min(size, 22 + _MAX16)
     source.seek(size - tail)
@@ -161,7 +172,7 @@ def members(source) -> dict[str, tuple[int, int]]:
     source.seek(start)
     data, at, out = source.read(length), 0, {}
     for _ in range(n):
-        sig, _, _, _, how, _, _, _, packed, plain, n_name, n_extra, n_note, _, _, _, local = struct.unpack_from("<IHHHHHHIIIHHHHHII", data, at)
+        sig, _, _, _, how, _, _, crc, packed, plain, n_name, n_extra, n_note, _, _, _, local = struct.unpack_from("<IHHHHHHIIIHHHHHII", data, at)
         if sig != 0x02014B50:
             raise ValueError("broken central directory")
         name = data[at + 46 : at + 46 + n_name].decode()
@@ -171,6 +182,10 @@ def members(source) -> dict[str, tuple[int, int]]:
             continue  # only stored members can be read by range
         source.seek(local)
         head = struct.unpack("<IHHHHHIIIHH", source.read(30))
+        if head[0] != 0x04034B50:
+            raise ValueError(f"no local header of {name}")
+        if crcs is not None:
+            crcs[name] = crc
         out[name] = (local + 30 + head[9] + head[10], packed)
     return out
 
@@ -234,10 +249,13 @@ def _locate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in batch.column("path").to_pylist():
             system, at = store(path)
             with system.open_input_file(at) as source:
-                where = members(source)
+                where = members(source, crcs := {})
                 start, _ = where[DATA]
                 source.seek(where[INDEX][0])
-                lines = source.read(where[INDEX][1]).splitlines()
+                index = source.read(where[INDEX][1])
+                if zlib.crc32(index) != crcs[INDEX]:
+                    raise ValueError(f"the index of {path} is damaged")
+                lines = index.splitlines()
             offsets, lengths = zip(*[(start + x["offset"], x["length"]) for x in map(json.loads, lines)]) if lines else ((), ())
             for k in range(0, len(offsets), RANGE_RECORDS):
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([offsets[k : k + RANGE_RECORDS]], pa.list_(pa.int64())), pa.array([lengths[k : k + RANGE_RECORDS]], pa.list_(pa.int64()))], names=["path", "offsets", "lengths"])

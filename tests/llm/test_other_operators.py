@@ -141,6 +141,42 @@ def test_archives(spark, tmp_path):
     assert warc_zip.read_packages(warc_zip.write_packages(df.limit(0), f"{tmp_path}/none")).count() == 0
 
 
+def test_archives_roll_over_and_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc_zip, "PACKAGE_BYTES", 4000)
+    monkeypatch.setattr(warc_zip, "RANGE_RECORDS", 3)
+    rng = random.Random(2)
+    pages = [(k, f"u{k}", H.prose(rng, rng.randrange(0, 200), 10**6)) for k in range(90)]
+    made = warc_zip.write_packages(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), f"file://{tmp_path}/many")
+    assert made.count() > 8 and made.agg(F.sum("records")).first()[0] == 90 and made.agg(F.max("records")).first()[0] > 3
+    assert {r["page_id"]: r["payload"].decode() for r in warc_zip.read_packages(made, with_payload=True).collect()} == {i: h for i, _, h in pages}
+
+
+def test_archives_elsewhere_and_damaged(tmp_path):
+    for path in ("dbfs:/mnt/x", "ftp://host/x"):
+        with pytest.raises(ValueError, match="no file system"):
+            warc_zip.store(path)
+    assert warc_zip.store(f"file:{tmp_path}/a")[1] == warc_zip.store(f"file://{tmp_path}/a")[1] == f"{tmp_path}/a"
+    out = io.BytesIO()
+    package = warc_zip.Package(out)
+    package.record("1", warc_zip.warc_record(1, "u", b"abc", "a9993e364706816aba3e25717850c26c9cd0d89d", None), "response")
+    package.close()
+    data = out.getvalue()
+
+    class Source(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+    where = warc_zip.members(Source(data))
+    with pytest.raises(ValueError, match="local header"):
+        warc_zip.members(Source(b"XX" + data[2:]))
+    start, length = where[warc_zip.INDEX]
+    (tmp_path / "p.wacz").write_bytes(data[:start] + b"?" * length + data[start + length :])
+    import pyarrow as pa
+
+    with pytest.raises(ValueError, match="damaged"):
+        list(warc_zip._locate([pa.RecordBatch.from_pydict({"path": [str(tmp_path / "p.wacz")]})]))
+
+
 def test_zip64_directory():
     for wide in (False, True):
         out = io.BytesIO()
