@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm import oracles
 from sparkloom.llm.decontamination import Decontamination
 from sparkloom.llm.embedding_dedup import EmbeddingDedup
 from sparkloom.llm.labelled import fold
@@ -96,6 +97,10 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
+    "op1_subspace_pigeonhole_join": oracles.EMBEDDINGS,
+    "op4_recompression": oracles.REPEATS,
+    "op7_aho_corasick_decontamination": oracles.LEAKS,
+    "op10_ngram_jaccard_join": oracles.JACCARD,
     "op3_warc_zip_reader": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
 g AS (SELECT html, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY html)
