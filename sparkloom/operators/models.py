@@ -369,13 +369,17 @@ def beeswarm(result: Result, key: str, rows: int = 100) -> DataFrame:
     return shap_values(result, key, rows).withColumn("level", F.when(F.col("value").isNotNull(), F.cume_dist().over(by_value))).drop("value")
 
 
+def occlusion_variants(rows: DataFrame, names: list[str], typical: dict[str, object]) -> DataFrame:
+    """Each row as it is (variant -1), and once for each named column (its place) with that column at its typical value."""
+    every = rows.withColumn("variant", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))))
+    return every.withColumns({c: F.when(F.col("variant") == k, F.lit(typical.get(c))).otherwise(F.col(f"`{c}`")) for k, c in enumerate(names)})
+
+
 def occlusion(result: Result, row: DataFrame, top: int = 8) -> DataFrame:
     """(feature, change): how the prediction for one row changes when a feature becomes its typical value."""
     made = FE.expand_features(row.limit(1), result.spec, [])
     names = [*result.numeric, *result.categorical]
-    variants = made.crossJoin(made.sparkSession.range(len(names) + 1).select((F.col("id") - 1).alias("_v")))  # one row by its columns
-    variants = variants.withColumns({c: F.when(F.col("_v") == k, F.lit(result.typical.get(c))).otherwise(F.col(f"`{c}`")) for k, c in enumerate(names)})
-    out = result.model.predict(variants)
+    out = result.model.predict(occlusion_variants(made, names, result.typical).withColumnRenamed("variant", "_v"))
     value = F.col("p") if result.classes is None else F.col("proba")[len(result.classes) - 1]
     scored = out.select("_v", value.alias("value"))
     base = scored.where("_v = -1").select(F.col("value").alias("base"))

@@ -180,10 +180,10 @@ def _(t):
 @query("model_linear", "SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem")
 def _(t):
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
 
+    estimator, _linear = MO.families(MO.Settings("l_extendedprice", "regression", "l_orderkey", models=("linear",)), 0, False, 0)["linear"]
     rows = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(t("lineitem").select("l_quantity", F.col("l_extendedprice").alias("label")))
-    m = LinearRegression(regParam=0.0, solver="normal").fit(rows)
+    m = estimator.fit(rows)
     return rows.sparkSession.createDataFrame([(round(float(m.coefficients[0]), 3), round(float(m.intercept), 3))], "slope double, intercept double")
 
 
@@ -248,8 +248,8 @@ def _(t):
 
 @query("occlusion_variants", "SELECT c_custkey, k AS variant, CASE WHEN k = 0 THEN 0.0 ELSE c_acctbal END::DOUBLE AS c_acctbal, CASE WHEN k = 1 THEN 'NONE' ELSE c_mktsegment END AS c_mktsegment FROM customer, range(-1, 2) r(k)")
 def _(t):
-    rows = t("customer").select("c_custkey", "c_acctbal", "c_mktsegment", F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))).alias("variant"))
-    return rows.withColumns({"c_acctbal": F.when(F.col("variant") == 0, 0.0).otherwise(F.col("c_acctbal")), "c_mktsegment": F.when(F.col("variant") == 1, "NONE").otherwise(F.col("c_mktsegment"))})
+    made = MO.occlusion_variants(t("customer").select("c_custkey", "c_acctbal", "c_mktsegment"), ["c_acctbal", "c_mktsegment"], {"c_acctbal": 0.0, "c_mktsegment": "NONE"})
+    return made.withColumn("variant", F.col("variant").cast("long"))
 
 
 @query("predict_records")
