@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import oracles
+from sparkloom.llm.chat_format import ChatFormat
 from sparkloom.llm.decontamination import Decontamination
 from sparkloom.llm.embedding_dedup import EmbeddingDedup
+from sparkloom.llm.hard_negatives import HardNegatives
 from sparkloom.llm.labelled import fold
+from sparkloom.llm.lexical_search import RankedSearch
 from sparkloom.llm.licenses import LicenseScan
 from sparkloom.llm.ngram_join import NgramJaccardJoin
 from sparkloom.llm.packing import LengthBuckets
@@ -84,6 +87,33 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJaccardJoin(n=4, percent=85).run(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_norm_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of each benchmark item."""
+    return RankedSearch(k=10).run(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_strassen_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh are shifted first."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return HardNegatives(positives=5, negatives=10, low=30, high=90, scale=256).run(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_schema_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as formatted text, read back from it; conversation -1 says control strings."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    chat = ChatFormat()
+    back = chat.read_back(chat.format(chat.from_rows(turns.unionByName(control))).select("conv_id", "formatted", "loss"))
+    said = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join("read_loss", "")
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return back.select(
+        "conv_id", F.size("read_turns").cast("long").alias("n_turns"), digest(said).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"), digest(learned).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
+    )
+
+
 QUERIES = {
     "op1_subspace_pigeonhole_join": op1_subspace_pigeonhole_join,
     "op2_optimal_length_buckets": op2_optimal_length_buckets,
@@ -95,12 +125,18 @@ QUERIES = {
     "op8_license_signatures": op8_license_signatures,
     "op9_bradley_terry_quality": op9_bradley_terry_quality,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_norm_bucket_search": op11_norm_bucket_search,
+    "op12_strassen_hard_negatives": op12_strassen_hard_negatives,
+    "op13_schema_fingerprint_chat": op13_schema_fingerprint_chat,
 }
 ORACLES: dict[str, str] = {
     "op1_subspace_pigeonhole_join": oracles.EMBEDDINGS,
     "op4_recompression": oracles.REPEATS,
     "op7_aho_corasick_decontamination": oracles.LEAKS,
     "op10_ngram_jaccard_join": oracles.JACCARD,
+    "op11_norm_bucket_search": oracles.RANKED,
+    "op12_strassen_hard_negatives": oracles.NEGATIVES,
+    "op13_schema_fingerprint_chat": oracles.CHAT,
     "op3_warc_zip_reader": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
 g AS (SELECT html, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY html)
