@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import features as FE
 from sparkloom.operators import models as MO
+from sparkloom.operators.boosting import Boosted
 
 _PLAIN = ("problem", "target", "classes", "primary", "board", "leader", "beats_baseline", "numeric", "categorical", "typical", "split", "imbalanced", "decisions")
 
@@ -33,7 +34,10 @@ def save(result: MO.Result, folder: str) -> None:
             continue
         kind = type(fitted.model)
         doc["fitted"][key] = {"class": [kind.__module__, kind.__name__], "preprocessing": preprocessing(fitted.prep)}
-        fitted.model.write().overwrite().save(f"{folder}/{key}/model")
+        if isinstance(fitted.model, Boosted):
+            fitted.model.save(spark, f"{folder}/{key}/model")
+        else:
+            fitted.model.write().overwrite().save(f"{folder}/{key}/model")
         for c, shares in fitted.prep.shares.items():
             shares.write.mode("overwrite").parquet(f"{folder}/{key}/shares/{fitted.prep.high.index(c)}")
     result.test.write.mode("overwrite").parquet(f"{folder}/test")

@@ -6,21 +6,24 @@ statistics only. Every statistic is fitted on the training rows of its own fold.
 
 from __future__ import annotations
 
-import math
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from statistics import fmean, pstdev
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+import numpy as np
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULT, Config
 from sparkloom.operators import features as FE
 from sparkloom.operators import metrics as M
+from sparkloom.operators import trees as TR
+from sparkloom.operators.boosting import Boosted, Boosting
+from sparkloom.operators.boosting import fit as boost
 from sparkloom.operators.common import per_column
 
 CLS_METRICS, REG_METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"), ("r2", "mae", "rmse")
@@ -65,17 +68,13 @@ class Fitted:
                 return rows.withColumn("p", F.lit(float(self.model)))
             shares = list(self.model)
             return rows.withColumn("p", F.lit(float(shares.index(max(shares))))).withColumn("proba", F.array(*[F.lit(float(s)) for s in shares]))
+        if isinstance(self.model, Boosted):
+            return self.model.transform(self.prep.transform(rows), self.prep.inputs)
         made = VectorAssembler(inputCols=self.prep.inputs, outputCol="features", handleInvalid="keep").transform(self.prep.transform(rows))
         out = self.model.transform(made)
         if self.classes is None:
             return out.withColumn("p", F.col("prediction")).drop("prediction", "features")
-        if "probability" in out.columns:
-            proba = vector_to_array("probability")
-        else:  # one-vs-rest margins of boosted trees, as shares that add up to 1
-            margin = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
-            total = F.aggregate(margin, F.lit(0.0), lambda a, x: a + x)
-            proba = F.transform(margin, lambda x: x / F.greatest(total, F.lit(1e-12)))
-        return out.withColumn("p", F.col("prediction")).withColumn("proba", proba).drop("prediction", "features", "rawPrediction", "probability")
+        return out.withColumn("p", F.col("prediction")).withColumn("proba", vector_to_array("probability")).drop("prediction", "features", "rawPrediction", "probability")
 
 
 def families(s: Settings, n_classes: int, weighted: bool, n_train: int) -> dict[str, tuple[object, bool]]:
@@ -83,16 +82,15 @@ def families(s: Settings, n_classes: int, weighted: bool, n_train: int) -> dict[
     weight = {"weightCol": "weight"} if weighted else {}
     common = {"featuresCol": "features", "labelCol": "label"}
     forest = {"numTrees": s.rf_trees, "maxDepth": s.rf_depth, "minInstancesPerNode": s.rf_leaf, "seed": DEFAULT.random_state}
-    boost = {"maxIter": s.gbt_trees, "maxDepth": s.gbt_depth, "stepSize": s.gbt_rate, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9", "seed": DEFAULT.random_state}
+    boosting = Boosting(n_classes, s.gbt_trees, s.gbt_depth, s.gbt_rate, seed=DEFAULT.random_state)
     if s.problem == "classification":
-        gbt = GBTClassifier(**common, **boost, **(weight if n_classes == 2 else {}))
         every = {
             "logreg": (LogisticRegression(**common, maxIter=200, regParam=1 / (s.regularisation * max(1, n_train)), standardization=False, **weight), True),
             "rf": (RandomForestClassifier(**common, **forest, featureSubsetStrategy="sqrt", **weight), False),
-            "gbt": (gbt if n_classes == 2 else OneVsRest(classifier=gbt, **common), False),
+            "gbt": (boosting, False),
         }
     else:
-        every = {"linear": (LinearRegression(**common, regParam=0.0), True), "rf": (RandomForestRegressor(**common, **forest), False), "gbt": (GBTRegressor(**common, **boost), False)}
+        every = {"linear": (LinearRegression(**common, regParam=0.0), True), "rf": (RandomForestRegressor(**common, **forest), False), "gbt": (boosting, False)}
     return {k: v for k, v in every.items() if k in s.models}
 
 
@@ -108,6 +106,18 @@ def _fit(key: str, est, linear: bool, train: DataFrame, numeric: list[str], cate
     return Fitted(key, prep, est.fit(data.select("features", "label", *[c for c in ("weight",) if c in data.columns])), classes)
 
 
+def _fit_boosted(key: str, settings: Boosting, linear: bool, parts: list[DataFrame], numeric: list[str], categorical: list[str], classes: list[str] | None, row_key: str) -> list[Fitted]:
+    """One ensemble for each part, grown together. Each part is prepared by its own statistics."""
+    preps = [FE.Preprocessor(linear).fit(rows, numeric, categorical) for rows in parts]
+    stacked = None
+    for k, (prep, rows) in enumerate(zip(preps, parts)):
+        made = prep.transform(rows)
+        weight = F.col("weight").cast("double") if "weight" in made.columns else F.lit(1.0)
+        own = made.select(F.lit(k).alias("member"), F.array(*[F.col(f"`{c}`").cast("double") for c in prep.inputs]).alias("x"), F.col("label").cast("double").alias("label"), weight.alias("weight"), F.xxhash64(F.col(f"`{row_key}`").cast("string")).alias("seed"))
+        stacked = own if stacked is None else stacked.unionByName(own)
+    return [Fitted(key, prep, Boosted(trees, settings.classes), classes) for prep, trees in zip(preps, boost(stacked, len(parts), settings))]
+
+
 def score(fitted: Fitted, rows: DataFrame) -> dict[str, float | None]:
     """All metrics of a model on rows with a label."""
     out = fitted.predict(rows).select(F.col("label").alias("y"), "p", *(["proba"] if fitted.classes else [])).persist()
@@ -202,11 +212,16 @@ def train(df: DataFrame, columns: list[str], s: Settings, cfg: Config = DEFAULT)
     for key, (est, linear) in candidates.items():
         row: dict = {"key": key, "status": "ok"}
         try:
-            runs = [score(_fit(key, est, linear, dealt.where(F.col("fold") != k).drop("fold"), numeric, categorical, classes), dealt.where(F.col("fold") == k).drop("fold")) for k in range(folds)]
-            row["cv"] = {m: {"mean": fmean(r[m] for r in runs), "std": pstdev(r[m] for r in runs)} for m in allowed if all(r[m] is not None for r in runs)}
+            parts = [*[dealt.where(F.col("fold") != k).drop("fold") for k in range(folds)], dealt.drop("fold")]
             began = time.time()
-            fitted[key] = _fit(key, est, linear, dealt.drop("fold"), numeric, categorical, classes)
-            row["train_time_s"] = time.time() - began
+            if isinstance(est, Boosting):  # the folds and the final fit in the same jobs
+                fits = _fit_boosted(key, est, linear, parts, numeric, categorical, classes, s.key)
+            else:
+                fits = [_fit(key, est, linear, rows, numeric, categorical, classes) for rows in parts]
+            row["train_time_s"] = time.time() - began  # of all folds and the final fit
+            runs = [score(own, dealt.where(F.col("fold") == k).drop("fold")) for k, own in enumerate(fits[:-1])]
+            row["cv"] = {m: {"mean": fmean(r[m] for r in runs), "std": pstdev(r[m] for r in runs)} for m in allowed if all(r[m] is not None for r in runs)}
+            fitted[key] = fits[-1]
             row["test"] = score(fitted[key], test_rows)
             row["primary_cv"], row["primary_cv_std"] = row["cv"][primary]["mean"], row["cv"][primary]["std"]
         except Exception as e:  # one model's failure is a row of the result
@@ -277,51 +292,6 @@ def linear_effects(result: Result, spark: SparkSession, key: str, top: int = 20)
     return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
-def tree_leaves(model) -> list[tuple[float, list[tuple[list[tuple[int, float, bool, float]], float]]]]:
-    """For each tree its weight and leaves; a leaf is its path [(feature, threshold, goes left, share of rows that go so)] and its value."""
-    out = []
-    for weight, tree in zip(model.treeWeights, model.trees):
-        leaves = []
-
-        def walk(node, path):
-            if node.numDescendants() == 0:
-                leaves.append((path, float(node.prediction())))
-                return
-            split, total = node.split(), node.impurityStats().count()
-            for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
-                walk(child, [*path, (split.featureIndex(), split.threshold(), left, child.impurityStats().count() / total)])
-
-        walk(tree._call_java("rootNode"), [])
-        out.append((float(weight), leaves))
-    return out
-
-
-def shapley_values(x: list[float], trees) -> dict[int, float]:
-    """Exact path-dependent Shapley values of one row.
-
-    A leaf pays its value if every feature on its path is known and leads there; an
-    unknown feature pays the share of rows that went that way. The value of a product
-    game is found from the elementary symmetric sums of the other features.
-    """
-    out: dict[int, float] = {}
-    for weight, leaves in trees:
-        for path, value in leaves:
-            known: dict[int, float] = {}
-            share: dict[int, float] = {}
-            for f, threshold, left, part in path:
-                known[f] = known.get(f, 1.0) * ((x[f] <= threshold) == left)
-                share[f] = share.get(f, 1.0) * part
-            d = len(known)
-            for f in known:
-                poly = [1.0]
-                for g in known:
-                    if g != f:
-                        poly = [(poly[k] if k < len(poly) else 0.0) * share[g] + (poly[k - 1] if k else 0.0) * known[g] for k in range(len(poly) + 1)]
-                total = sum(p * math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k, p in enumerate(poly))
-                out[f] = out.get(f, 0.0) + weight * value * (known[f] - share[f]) * total
-    return out
-
-
 def sources(result: Result, fitted: Fitted) -> list[str]:
     """The table's column that each input of a model was made of: itself, or what a level, an indicator, a frequency or a calendar part belongs to."""
     made = sorted([*result.numeric, *result.categorical], key=len, reverse=True)
@@ -329,31 +299,49 @@ def sources(result: Result, fitted: Fitted) -> list[str]:
     return [column[next(c for c in made if name == c or name.startswith(f"{c}_"))] for name in fitted.prep.inputs]
 
 
-def shap_values(result: Result, key: str, rows: int = 100) -> DataFrame:
-    """(row, feature, shap, value): Shapley values of at most `rows` test rows (a stated sample) by source column, with the column's value where it is a number."""
-    fitted = result.fitted[key]
-    trees, names = tree_leaves(fitted.model), fitted.prep.inputs
+def trees_of(fitted: Fitted, spark: SparkSession) -> TR.Trees:
+    """A fitted tree model's nodes as arrays."""
+    if isinstance(fitted.model, Boosted):
+        return fitted.model.trees
+    if not hasattr(fitted.model, "trees"):
+        raise ValueError(f"{fitted.key} is no tree model")
+    return TR.from_spark(fitted.model, spark)
+
+
+def shap_values(result: Result, key: str, rows: int = 100, block: int = 8) -> DataFrame:
+    """(row, feature, shap, value): Shapley values of the last class (or the number) for at most `rows` test rows (a stated sample), by source column, with the column's value where it is a number.
+
+    Of forests they explain the share of the class, of boosted trees the margin. The rows
+    go to all tasks, and each task takes `block` trees.
+    """
+    fitted, spark = result.fitted[key], result.test.sparkSession
+    trees, names = trees_of(fitted, spark), fitted.prep.inputs
     of = sources(result, fitted)
     features = list(dict.fromkeys(of))
-    place = [features.index(c) for c in of]
+    place = np.array([features.index(c) for c in of])
     first = [names.index(c) if c in names else None for c in features]
     sample = result.test.orderBy(F.xxhash64(*result.test.columns)).limit(rows)
-    made = fitted.prep.transform(sample).select(F.monotonically_increasing_id().alias("row"), F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("x"))
+    made = fitted.prep.transform(sample).select(F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in names]).alias("x"))
+    x = np.array([r["x"] for r in made.collect()], float).reshape(-1, len(names))  # `rows` rows
+    shared = spark.sparkContext.broadcast((trees, x))
 
     def explain(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = {"row": [], "feature": [], "shap": [], "value": []}
-            for row, x in zip(batch.column("row").to_pylist(), batch.column("x").to_pylist()):
-                sums = [0.0] * len(features)
-                for k, v in shapley_values(x, trees).items():
-                    sums[place[k]] += v
-                for c, v, at in zip(features, sums, first):
-                    out["row"].append(row), out["feature"].append(c), out["shap"].append(v), out["value"].append(None if at is None else x[at])
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row", pa.int64()), ("feature", pa.string()), ("shap", pa.float64()), ("value", pa.float64())]))
-
-    return made.mapInArrow(explain, "row long, feature string, shap double, value double")
+            every, own = shared.value
+            for k in batch.column("id").to_pylist():
+                found = replace(every, roots=every.roots[k * block : (k + 1) * block], paths=None).shapley(own, every.value.shape[1] - 1)
+                sums = np.zeros((len(own), len(features)))
+                np.add.at(sums.T, place, found.T)
+                row, feature = np.divmod(np.arange(sums.size), len(features))
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(feature), pa.array(sums.ravel())], names=["row", "place", "shap"])
+
+    blocks = -(-len(trees.roots) // block)
+    parts = spark.range(0, blocks, 1, blocks).mapInArrow(explain, "row long, place long, shap double").groupBy("row", "place").agg(F.sum("shap").alias("shap"))
+    values = [(r, p, c, None if at is None or np.isnan(x[r, at]) else float(x[r, at])) for r in range(len(x)) for p, (c, at) in enumerate(zip(features, first))]
+    named = spark.createDataFrame(values, "row long, place long, feature string, value double")
+    return named.join(parts, ["row", "place"], "left").select("row", "feature", F.coalesce("shap", F.lit(0.0)).alias("shap"), "value")
 
 
 def tree_shap(result: Result, key: str, rows: int = 100, top: int = 20) -> DataFrame:

@@ -130,11 +130,10 @@ def test_models(spark):
     p = MO.predict(r, typed.limit(3)).collect()
     assert all(abs(sum(x["probabilities"].values()) - 1) < 1e-6 and x["prediction"] in ("true", "false") for x in p)
     assert MO.permutation_importance(r, repeats=1, rows=60).first()["feature"] == "age"
-    x = [float(v) for v in range(len(r.fitted["rf"].prep.inputs))]
-    trees = MO.tree_leaves(r.fitted["rf"].model)
-    expected = sum(w * v * np.prod([s for *_, s in path]) for w, leaves in trees for path, v in leaves)
-    value = sum(w * v for w, leaves in trees for path, v in leaves if all((x[f] <= t) == left for f, t, left, _ in path))
-    assert abs(sum(MO.shapley_values(x, trees).values()) - (value - expected)) < 1e-9
+    trees, made = MO.trees_of(r.fitted["rf"], spark), r.fitted["rf"].prep.transform(r.test).limit(40)
+    x = np.array([[float(row[c]) for c in r.fitted["rf"].prep.inputs] for row in made.collect()])
+    assert np.allclose(trees.predict(x), [row["proba"] for row in r.fitted["rf"].predict(r.test).limit(40).collect()])
+    assert np.allclose(trees.shapley(x, 1).sum(axis=1), trees.predict(x)[:, 1] - trees.expected()[1])
     shap = MO.tree_shap(r, "rf", rows=20).collect()
     assert {s["feature"] for s in shap} == {"age", "plan", "income"} and MO.beeswarm(r, "rf", rows=20).where("feature = 'age'").agg(F.max("level")).first()[0] == 1.0
     with pytest.raises(ValueError, match="no column"):
