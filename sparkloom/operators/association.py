@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULT, Config
 from sparkloom.functions import columns as C
-from sparkloom.operators.common import cumulative, mean_ranks, numeric_columns
+from sparkloom.operators.common import cumulative, finite, mean_ranks, numeric_columns
 from sparkloom.operators.stats import cap_categories
 
 
 def pearson(df: DataFrame, columns: list[str] | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """(a, b, pearson) for each pair of numeric columns; rows with a null in either are left out of the pair.
+    """(a, b, pearson) for each pair of numeric columns; rows without a finite number in either are left out of the pair.
 
     All pairs come from one aggregate over one read of the table. Without named columns
     these are the first corr_max_cols numeric ones; limited() tells whether that left any out.
     """
     names = columns or numeric_columns(df)[: cfg.corr_max_cols]
     pairs = list(combinations(names, 2))
-    v = lambda c: F.col(f"`{c}`").cast("double")
+    v = lambda c: finite(F.col(f"`{c}`"))
     wide = df.agg(*[F.corr(v(a), v(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("pearson")) for k, (a, b) in enumerate(pairs)])
     return wide.select(F.inline(rows)).withColumn("pearson", F.when(~F.isnan("pearson"), F.col("pearson")))
@@ -39,11 +39,11 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     distinct values within each column, one join back, and all correlations from one
     aggregate. A pair with nulls is ranked over the rows where both are present.
     """
-    gaps = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"g{k}") for k, c in enumerate(columns)]).first()
+    gaps = df.agg(*[F.count_if(finite(F.col(f"`{c}`")).isNull()).alias(f"g{k}") for k, c in enumerate(columns)]).first()
     whole = [c for k, c in enumerate(columns) if not gaps[f"g{k}"]]
     out = None
     if len(whole) > 1:
-        rows = df.select(F.monotonically_increasing_id().alias("row"), F.array(*[F.col(f"`{c}`").cast("double") for c in whole]).alias("values"))
+        rows = df.select(F.monotonically_increasing_id().alias("row"), F.array(*[finite(F.col(f"`{c}`")) for c in whole]).alias("values"))
         cells = rows.select("row", F.posexplode("values").alias("k", "value"))
         counts = cells.groupBy("k", "value").agg(F.count("*").alias("n"))
         ranks = cumulative(counts, "value", ["n"], "k").select("k", "value", (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
@@ -61,7 +61,7 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row with the rank correlation of two columns over rows where both are present, ties by mean rank."""
-    x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
+    x, y = finite(F.col(f"`{a}`")), finite(F.col(f"`{b}`"))
     both = df.where(x.isNotNull() & y.isNotNull()).groupBy(x.alias("x"), y.alias("y")).agg(F.count("*").alias("w"))
     rows = df.where(x.isNotNull() & y.isNotNull()).select(x.alias("x"), y.alias("y"))
     rx = mean_ranks(rows, "x").select(F.col("value").alias("x"), F.col("rank").alias("rx"))
@@ -123,7 +123,7 @@ def categorical_pairs(df: DataFrame, columns: list[str], least: float = 0.5) ->
 def correlation_ratio(df: DataFrame, category: str | Column, value: str | Column, name: str = "eta") -> DataFrame:
     """One row: the root of the share of the value's variance between categories; null below 3 rows or 2 categories, or without variance."""
     c = F.col(f"`{category}`") if isinstance(category, str) else category
-    x = (F.col(f"`{value}`") if isinstance(value, str) else value).cast("double")
+    x = finite(F.col(f"`{value}`") if isinstance(value, str) else value)
     groups = df.where(c.isNotNull() & x.isNotNull()).groupBy(c.alias("c")).agg(F.count("*").cast("double").alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"))
     t = groups.agg(F.sum("n").alias("n"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("n") * F.col("v")).alias("ssw"))
     between = F.greatest(F.col("mm") - F.col("n") * F.col("mu") * F.col("mu"), F.lit(0.0))
@@ -158,8 +158,8 @@ def target_associations(df: DataFrame, target: str, numeric: list[str], categori
     df = df.where(F.col(f"`{target}`").isNotNull())
     parts = []
     if problem == "regression" and numeric:
-        y = F.col(f"`{target}`").cast("double")
-        wide = df.agg(*[F.corr(F.col(f"`{f}`").cast("double"), y).alias(f"r{k}") for k, f in enumerate(numeric)])
+        y = finite(F.col(f"`{target}`"))
+        wide = df.agg(*[F.corr(finite(F.col(f"`{f}`")), y).alias(f"r{k}") for k, f in enumerate(numeric)])
         rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit("pearson").alias("measure"), F.abs(f"r{k}").alias("strength")) for k, f in enumerate(numeric)])
         parts.append(wide.select(F.inline(rows)))
     else:

@@ -32,6 +32,18 @@ def top_n(df: DataFrame, n: int, by: list[Column], within: list[str]) -> DataFra
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(*by))).where(F.col("rank") <= n)
 
 
+def finite(c: Column) -> Column:
+    """The number as a double; NaN and infinities are missing, as no statistic can be drawn from them."""
+    x = c.cast("double")
+    return F.when(F.abs(x) < F.lit(float("inf")), x)  # NaN is above infinity in Spark's order
+
+
+def present(df: DataFrame, name: str) -> Column:
+    """Whether a column has a value: floating-point ones need a finite number."""
+    c = F.col(f"`{name}`")
+    return finite(c).isNotNull() if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else c.isNotNull()
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
@@ -41,14 +53,14 @@ QUANTILE_ROWS = 1 << 18
 
 
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> dict[str, list[float | None]]:
-    """Quantiles of each named expression, linear between neighbours, whatever the number of distinct values; None where it has no value.
+    """Quantiles of each named expression, linear between neighbours, whatever the number of distinct values; None where it has no finite value.
 
     A mergeable sketch gives values below and above each quantile; counts show where the
     quantile lies between them, and the search goes on there until few values or one are
     left. Each round is one aggregate over the table for all columns, whose buffers are
     bounded; from QUANTILE_ROWS values on a round leaves about a thousandth of them.
     """
-    value = {c: x.cast("double") for c, x in columns.items()}
+    value = {c: finite(x) for c, x in columns.items()}
     sizes = df.agg(*[F.count(x).alias(f"n{k}") for k, x in enumerate(value.values())], *[F.min(x).alias(f"lo{k}") for k, x in enumerate(value.values())], *[F.max(x).alias(f"hi{k}") for k, x in enumerate(value.values())]).first()
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     open_ = {}  # (column, place in probs): low and high value, ranks below low, values from low to high, wanted position
@@ -117,7 +129,8 @@ def cumulative(df: DataFrame, key: str, sums: list[str], partition: str | None =
 
 
 def mean_ranks(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, rank): the mean rank, from 1, of each distinct value of a numeric column."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    """(value, n, rank): the mean rank, from 1, of each distinct finite value of a numeric column."""
+    value = finite(F.col(column))
+    counts = df.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("n"))
     ranked = cumulative(counts, "value", ["n"])
     return ranked.select("value", "n", (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.config import DEFAULT, Config
 from sparkloom.functions import columns as C
-from sparkloom.operators.common import exact_quantiles, per_column, value_counts
+from sparkloom.operators.common import exact_quantiles, finite, per_column, value_counts
 
 
 def spread(key: str, seed: int = 42) -> Column:
@@ -83,7 +83,7 @@ def expand_features(df: DataFrame, spec: list[Field], keep: list[str]) -> DataFr
             parts = expand_datetime(f.name, f.has_time)
             out |= parts if present else {k: F.lit(None).cast("double") for k in parts}
         else:
-            out[f.name] = c.cast("string") if f.kind == "category" else c.cast("double")
+            out[f.name] = c.cast("string") if f.kind == "category" else finite(c)
     return df.select(*[F.col(f"`{k}`") for k in keep], *[v.alias(k) for k, v in out.items()])
 
 

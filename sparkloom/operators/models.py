@@ -24,7 +24,7 @@ from sparkloom.operators import metrics as M
 from sparkloom.operators import trees as TR
 from sparkloom.operators.boosting import Boosted, Boosting
 from sparkloom.operators.boosting import fit as boost
-from sparkloom.operators.common import per_column
+from sparkloom.operators.common import exact_quantiles, finite, per_column
 
 CLS_METRICS, REG_METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"), ("r2", "mae", "rmse")
 LOWER_IS_BETTER = {"mae", "rmse"}
@@ -382,7 +382,10 @@ def input_schema(df: DataFrame, spec: list[FE.Field], top: int = 30) -> DataFram
     numeric, categorical = [f.name for f in spec if f.kind in ("numeric", "bool")], [f.name for f in spec if f.kind == "category"]
     parts = []
     if numeric:
-        n = per_column(df, numeric, {"min": lambda c: F.min(c.cast("double")), "median": lambda c: F.percentile(c.cast("double"), F.lit(0.5)), "max": lambda c: F.max(c.cast("double"))})
+        n = per_column(df, numeric, {"min": lambda c: F.min(finite(c)), "max": lambda c: F.max(finite(c))})
+        middle = exact_quantiles(df, {c: F.col(f"`{c}`") for c in numeric}, [0.5])
+        at = F.create_map(*[x for c in numeric for x in (F.lit(c), F.lit(middle[c][0]).cast("double"))])  # a number a column
+        n = n.withColumn("median", at[F.col("column")])
         parts.append(n.select("column", F.lit("numeric").alias("kind"), "min", "median", "max", F.lit(None).cast("array<string>").alias("options")))
     if categorical:
         options = top_values(df, categorical, top).groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda v: v["value"]).alias("options"))

@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows the test takes at most, as in the reference; its p-value means little beyond.
+from sparkloom.operators.common import finite
+
+#: Rows the test takes at most; its p-value means little beyond.
 SAMPLE = 50_000
 
 
@@ -47,7 +49,7 @@ def shapiro(df: DataFrame, column: str, alpha: float = 0.05, key: str | None = N
     spread from a column that has some gives w = 1 and p = 1. The verdict says only whether
     normality is rejected.
     """
-    v = F.col(f"`{column}`").cast("double")
+    v = finite(F.col(f"`{column}`"))
     order = F.rand(42) if key is None else F.xxhash64(F.col(f"`{key}`"), F.lit(42))
     rows = df.where(v.isNotNull()).select(v.alias("v"), order.alias("h"), (F.lit(None) if key is None else F.col(f"`{key}`")).alias("k"))
     chosen = rows.orderBy("h", "k", "v").limit(SAMPLE).select("v")

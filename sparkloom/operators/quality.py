@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.config import DEFAULT, Config
 from sparkloom.functions import columns as C
-from sparkloom.operators.common import per_column, top_n, value_counts
+from sparkloom.operators.common import per_column, present, top_n, value_counts
 
 ADVICE = {
     "none": ("Nothing missing", None),
@@ -37,17 +37,18 @@ def placeholder_report(df: DataFrame, columns: list[str] | None = None, top: int
 
 
 def missing_columns(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(column, missing, non_null, missing_pct, level) for each column, from one aggregate."""
-    out = per_column(df, df.columns, {"missing": lambda c: F.count_if(c.isNull()), "non_null": lambda c: F.count(c)})
+    """(column, missing, non_null, missing_pct, level) for each column, from one aggregate. NaN and infinities are missing."""
+    flags = df.select(*[F.when(present(df, c), F.lit(1)).alias(c) for c in df.columns])
+    out = per_column(flags, df.columns, {"missing": lambda c: F.count_if(c.isNull()), "non_null": lambda c: F.count(c)})
     total = F.col("missing") + F.col("non_null")
     pct = F.when(total > 0, F.col("missing") / total.cast("double") * 100).otherwise(F.lit(0.0))
     return out.select("column", "missing", "non_null", F.round(pct, 3).alias("missing_pct"), C.missing_level(pct, cfg).alias("level"))
 
 
 def missing_per_row(df: DataFrame, row_id: str) -> DataFrame:
-    """(row_id, missing, total) of each row; no shuffle."""
+    """(row_id, missing, total) of each row; no shuffle. NaN and infinities are missing."""
     names = [c for c in df.columns if c != row_id]
-    count = sum((F.col(f"`{c}`").isNull().cast("int") for c in names), F.lit(0))
+    count = sum(((~present(df, c)).cast("int") for c in names), F.lit(0))
     return df.select(F.col(row_id), count.cast("long").alias("missing"), F.lit(len(names)).cast("long").alias("total"))
 
 

@@ -7,27 +7,23 @@ from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULT, STOP_WORDS, Config
 from sparkloom.functions import columns as C
-from sparkloom.operators.common import exact_quantiles, numeric_columns, per_column, top_n, value_counts
-
-
-def _finite(c):
-    return c.cast("double")
+from sparkloom.operators.common import exact_quantiles, finite, numeric_columns, per_column, top_n, value_counts
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, cfg: Config = DEFAULT, exact: bool = True) -> DataFrame:
-    """One row per numeric column: counts, moments, quartiles and skew class.
+    """One row per numeric column: counts, moments, quartiles and skew class. NaN and infinities count as missing.
 
     Quartiles are exact and found by a search over bounded aggregates; exact=False takes
     them from one mergeable sketch.
     """
     names = columns or numeric_columns(df)
-    quartiles = lambda c: F.percentile_approx(_finite(c), [0.25, 0.5, 0.75], 10000)
+    quartiles = lambda c: F.percentile_approx(finite(c), [0.25, 0.5, 0.75], 10000)
     out = per_column(
         df, names,
         {
-            "rows": lambda c: F.count(F.lit(1)), "count": lambda c: F.count(c), "mean": lambda c: F.avg(_finite(c)), "std": lambda c: F.when(F.count(c) > 1, F.stddev_samp(_finite(c))).when(F.count(c) == 1, 0.0),
-            "min": lambda c: F.min(_finite(c)), "max": lambda c: F.max(_finite(c)),
-            "skewness": lambda c: C.bias_corrected_skew(_finite(c), F.count(c)), "kurtosis": lambda c: C.bias_corrected_kurtosis(_finite(c), F.count(c)),
+            "rows": lambda c: F.count(F.lit(1)), "count": lambda c: F.count(finite(c)), "mean": lambda c: F.avg(finite(c)), "std": lambda c: F.when(F.count(finite(c)) > 1, F.stddev_samp(finite(c))).when(F.count(finite(c)) == 1, 0.0),
+            "min": lambda c: F.min(finite(c)), "max": lambda c: F.max(finite(c)),
+            "skewness": lambda c: C.bias_corrected_skew(finite(c), F.count(finite(c))), "kurtosis": lambda c: C.bias_corrected_kurtosis(finite(c), F.count(finite(c))),
         } | ({} if exact else {"q": quartiles}),
     )
     if exact:
@@ -51,7 +47,7 @@ def outliers(df: DataFrame, columns: list[str] | None = None, cfg: Config = DEFA
     fences = {c: (found[c]["q1"] - cfg.outlier_iqr_k * found[c]["iqr"], found[c]["q3"] + cfg.outlier_iqr_k * found[c]["iqr"]) for c in names if found[c]["count"]}
     cells = []
     for c, (low, high) in fences.items():
-        v = F.col(f"`{c}`").cast("double")
+        v = finite(F.col(f"`{c}`"))
         inside = (v >= F.lit(low)) & (v <= F.lit(high))
         cells.append((c, low, high, F.count_if(~inside), F.count(v), F.min(F.when(inside, v)), F.max(F.when(inside, v))))
     schema = "column string, lower_bound double, upper_bound double, outliers long, outlier_pct double, whisker_low double, whisker_high double"
@@ -71,7 +67,7 @@ def outliers(df: DataFrame, columns: list[str] | None = None, cfg: Config = DEFA
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
     """(bin, low, high, n): equal-width bins, as many as the square root of the count, 5 to 30; the last one closed; empty bins included."""
-    v = F.col(f"`{column}`").cast("double")
+    v = finite(F.col(f"`{column}`"))
     head = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
     spark = df.sparkSession
     if not head["n"]:
@@ -91,7 +87,7 @@ def kde(df: DataFrame, column: str, points: int = 80) -> DataFrame:
     Equal values are one row with a count before they meet the grid. Empty unless there is
     spread, 30 values and more than 10 distinct ones.
     """
-    v = F.col(f"`{column}`").cast("double")
+    v = finite(F.col(f"`{column}`"))
     counts = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("w"))
     head = df.agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.count_distinct(v).alias("u")).first()
     if head["n"] < 30 or not head["sd"] or head["u"] <= 10:
