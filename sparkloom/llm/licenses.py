@@ -4,17 +4,20 @@ Texts are lower-cased and brought to words that each have a blank on both sides.
 is a regex over such text, gated by a keyword: only rules whose keyword stands in a text are
 tried on it. Each match is an interval; an interval inside another one of higher
 priority (or of the same priority and longer, or the same and from an earlier rule) is
-suppressed, and what is left gives the labels. Matches are swept once, by start: what is
-kept along the way is how far the matches so far of each priority reach. DataFrame
-functions only.
+suppressed, and what is left gives the labels. A text gives its matches as counts of
+words, running sums over a rule's matches make places of them, and a running maximum over
+a text's matches says how far those of each priority reach, so the time grows with the
+text and the order of its matches. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Phrases that always count, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -142,6 +145,8 @@ def _rules() -> list[Rule]:
 
 
 RULES = _rules()
+#: The base phrases as rules of their own: they are counted wherever they stand.
+BASE_RULES = [Rule(label, max(phrase.split(), key=len), phrase, 0, 0.8) for phrase, label in BASE.items()]
 
 
 def normalised(text: Column) -> Column:
@@ -155,63 +160,42 @@ def _words(spaced: Column) -> Column:
     return F.floor((F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-_PLACES = "array<struct<start:int,back:int,rank:int,rule:int,label:string,priority:int,confidence:double,end:int>>"
-_KEPT = "array<struct<first_word:bigint,last_word:bigint,label:string,priority:int,confidence:double>>"
-
-
 class LicenseScan:
     """Licenses, with their places, in whole texts.
 
     Null and empty texts have no words and no matches. Texts of any length, repeated rows
-    and ties are scanned as they are; a null doc_id keeps its row. A text's matches are
-    held in one row. Empty tables give no rows; further columns are ignored.
+    and ties are scanned as they are; a null doc_id keeps its row. A text's matches, not
+    the text, meet in one task and one row. Empty tables give no rows; further columns are ignored.
     """
 
     def __init__(self, rules: list[Rule] | None = None):
         self.rules = RULES if rules is None else rules
 
-    def _found(self, t: Column, gated: Column) -> Column:
-        """Places of all gated rules: start and end in characters of t."""
+    def _places(self, t: Column, gated: Column) -> Column:
+        """Matches of all gated rules in t: of each, the words since the rule's match before and the words of the match. One pass over t for each rule."""
 
         def places(rule: Column) -> Column:
-            pieces, hits = F.split(t, rule["regex"], -1), F.regexp_extract_all(t, rule["regex"], F.lit(0))
-            none = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("done"))
-
-            def add(state: Column, pair: Column) -> Column:
-                start = state["at"] + F.length(pair["piece"])
-                end = start + F.length(pair["hit"])
-                place = F.struct(
-                    start.alias("start"), (-end).alias("back"), (-rule["priority"]).alias("rank"), rule["id"].alias("rule"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["confidence"].alias("confidence"), end.alias("end")
-                )
-                return F.struct(end.alias("at"), F.concat(state["done"], F.array(place)).alias("done"))
-
-            pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"))
-            return F.aggregate(pairs, none, add, lambda state: state["done"])
+            hits = F.regexp_extract_all(t, rule["regex"], F.lit(0))
+            pairs = F.arrays_zip(F.slice(F.split(t, rule["regex"], -1), F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"))
+            return F.transform(pairs, lambda x, k: F.struct(k.alias("nth"), *[rule[c].alias(c) for c in ("rule", "label", "priority", "confidence", "base")], _words(x["piece"]).alias("gap"), _words(x["hit"]).alias("size")))
 
         return F.flatten(F.transform(gated, places))
 
-    def _left(self, t: Column, every: Column) -> Column:
-        """Places that no other one suppresses, by start, with their first and last word.
+    def _judged(self, matches: DataFrame) -> DataFrame:
+        """Adds to matches, dealt by text: first and last word, and whether another match holds this one.
 
-        Sorted by start and then from the longest down, whatever holds a place comes before
-        it, so a place goes if a match of its priority or a higher one reached its end.
+        In order of start and then from the longest down, whatever holds a match comes before
+        it, so a match goes if one of its priority or a higher one before it reached its end.
+        Base phrases hold nothing and are not held.
         """
-        levels = sorted({r.priority for r in self.rules})
-        none = F.struct(
-            F.array(*[F.lit(-1) for _ in levels]).alias("reach"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("word"), F.array().cast(_KEPT).alias("done")
-        )
-        priorities = F.array(*[F.lit(p) for p in levels])
-
-        def add(state: Column, m: Column) -> Column:
-            held = F.exists(F.arrays_zip(priorities.alias("priority"), state["reach"].alias("reach")), lambda x: (x["priority"] >= m["priority"]) & (x["reach"] >= m["end"]))
-            word = state["word"] + _words(F.substring(t, state["at"] + 1, m["start"] - state["at"]))
-            place = F.struct(word.alias("first_word"), (word + _words(F.substring(t, m["start"] + 1, m["end"] - m["start"])) - 1).alias("last_word"), m["label"].alias("label"), m["priority"].alias("priority"), m["confidence"].alias("confidence"))
-            return F.struct(
-                F.transform(state["reach"], lambda end, k: F.when(F.get(priorities, k) == m["priority"], F.greatest(end, m["end"])).otherwise(end)).alias("reach"),
-                F.when(held, state["at"]).otherwise(m["start"]).alias("at"), F.when(held, state["word"]).otherwise(word).alias("word"), F.when(held, state["done"]).otherwise(F.concat(state["done"], F.array(place))).alias("done"),
-            )
-
-        return F.aggregate(F.array_sort(every), none, add, lambda state: state["done"])
+        of_rule = Window.partitionBy("row", "rule").orderBy("nth")
+        first = F.sum(F.col("gap") + F.col("size")).over(of_rule) - F.col("size")
+        placed = matches.withColumn("first_word", first).withColumn("last_word", F.col("first_word") + F.col("size") - 1)
+        before = Window.partitionBy("row").orderBy("first_word", F.desc("last_word"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
+        reach = F.lit(None).cast("long")
+        for p in sorted({r.priority for r in self.rules}):
+            reach = F.when(F.col("priority") == p, F.max(F.when(~F.col("base") & (F.col("priority") >= p), F.col("last_word"))).over(before)).otherwise(reach)
+        return placed.withColumn("left", ~F.col("base") & ~F.coalesce(reach >= F.col("last_word"), F.lit(False)))
 
     def run(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_words, n_base, first_word, last_word, base_labels, found, labels, score).
@@ -219,30 +203,26 @@ class LicenseScan:
         base_labels and labels are sorted arrays; found has the places left after suppression,
         by start: rule label, priority, confidence, first and last word.
         """
-        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("t"))
+        own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("t"))
         own = own.withColumn("t", F.when(F.col("t") == "", "").otherwise(F.concat(F.lit(" "), F.replace("t", F.lit(" "), F.lit("  ")), F.lit(" "))))
-        t = F.col("t")
-
-        phrases = F.array(*[F.struct(F.lit(f" {'  '.join(p.split())} ").alias("phrase"), F.lit(label).alias("label")) for p, label in BASE.items()])
-        own = own.withColumn("base", F.filter(phrases, lambda b: t.contains(b["phrase"])))
-        first = F.transform("base", lambda b: _words(F.substring(t, F.lit(1), F.instr(t, b["phrase"]) - 1)))
-        tail = lambda b: F.instr(F.reverse(t), F.reverse(b["phrase"])) - 1  # noqa: E731  characters after the last place
-        last = F.transform("base", lambda b: _words(F.substring(t, F.lit(1), F.length(t) - tail(b) - F.length(b["phrase"]))))
-        times = F.aggregate("base", F.lit(0).cast("long"), lambda n, b: n + F.floor((F.length(t) - F.length(F.replace(t, b["phrase"], F.lit("")))) / F.length(b["phrase"])).cast("long"))
-
-        keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in self.rules})])
-        present = F.array_intersect(F.split(F.trim(t), "  "), keywords)
-        rules = F.array(
-            *[F.struct(F.lit(k).alias("id"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence")) for k, r in enumerate(self.rules)]
-        )
-        own = own.withColumn("present", present)
-        gated = F.when(F.size("present") > 0, F.filter(rules, lambda r: F.array_contains("present", r["keyword"]))).otherwise(F.filter(rules, lambda r: F.lit(False)))
-        own = own.withColumn("every", self._found(t, gated))
-
-        own = own.withColumn("left", F.when(F.size("every") > 0, self._left(t, F.col("every"))).otherwise(F.array().cast(_KEPT)))
-        base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
-        doubt = F.aggregate("left", F.when(F.size("base") > 0, F.lit(0.2)).otherwise(F.lit(1.0)), lambda p, m: p * (1 - m["confidence"]))
-        return own.select(
-            "doc_id", _words(t).alias("n_words"), times.alias("n_base"), F.array_min(first).alias("first_word"), F.array_max(last).alias("last_word"), base_labels.alias("base_labels"), F.array_sort("left").alias("found"),
-            F.array_sort(F.array_union(base_labels, F.array_distinct(F.transform("left", lambda m: m["label"])))).alias("labels"), (1 - doubt).alias("score"),
+        t, rules = F.col("t"), [*((r, True) for r in BASE_RULES), *((r, False) for r in self.rules)]
+
+        # Constants in one literal each, which the optimiser reads once.
+        table = [{"rule": k, "keyword": r.keyword, "regex": r.regex, "label": r.label, "priority": r.priority, "confidence": r.confidence, "base": base} for k, (r, base) in enumerate(rules)]
+        wanted = F.from_json(F.lit(json.dumps(table)), "array<struct<rule:int,keyword:string,regex:string,label:string,priority:int,confidence:double,base:boolean>>")
+        keywords = F.from_json(F.lit(json.dumps(sorted({r.keyword for r, _ in rules}))), "array<string>")
+        own = own.withColumn("present", F.array_intersect(F.split(F.trim(t), "  "), keywords))
+        gated = F.filter(wanted, lambda r: F.array_contains("present", r["keyword"]))
+        places = F.when(F.size("present") > 0, self._places(t, gated))
+        # Texts stay behind; a text without matches is one row.
+        matches = own.select("row", "doc_id", _words(t).alias("n_words"), places.alias("places")).select("row", "doc_id", "n_words", F.explode_outer("places").alias("m")).select("row", "doc_id", "n_words", "m.*")
+        judged = self._judged(matches.repartition("row"))
+
+        base, left = F.coalesce("base", F.lit(False)), F.coalesce("left", F.lit(False))
+        place = F.struct("first_word", "last_word", "label", "priority", "confidence")
+        out = judged.groupBy("row").agg(
+            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("first_word"))).alias("first_word"), F.max(F.when(base, F.col("first_word"))).alias("last_word"),
+            F.array_sort(F.collect_set(F.when(base, F.col("label")))).alias("base_labels"), F.array_sort(F.collect_list(F.when(left, place))).alias("found"), F.array_sort(F.collect_set(F.when(base | left, F.col("label")))).alias("labels"),
         )
+        doubt = F.aggregate("found", F.when(F.col("n_base") > 0, F.lit(0.2)).otherwise(F.lit(1.0)), lambda p, m: p * (1 - m["confidence"]))
+        return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "found", "labels", (1 - doubt).alias("score"))
