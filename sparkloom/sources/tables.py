@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from sparkloom.config import DEFAULT, Config
 from sparkloom.operators import quality, typing
+from sparkloom.sources import quoted_csv
 
 ROW_ID = "_row_id"
 
@@ -67,14 +68,23 @@ def clean_names(names: list[str]) -> list[str]:
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ",", names: list[str] | None = None) -> DataFrame:
     """All columns as strings, quotes doubled to escape, line breaks allowed inside quotes.
 
-    A file is read in parallel pieces unless a line has an odd number of quotes, and so
-    quotes that go on in the next one; then each file is read by one task.
+    Files are read in parallel pieces. Where a line has an odd number of quotes, and so
+    quotes that go on in the next one, records are put together from the pieces' lines.
+    One task reads a whole file only if its quotes cannot be counted: where some stand
+    inside a field that does not begin with one, where a carriage return alone ends lines,
+    or in encodings that may hide line ends.
     """
-    lines = spark.read.text(path) if encoding.upper() in ("UTF-8", "ISO-8859-1") else None  # other encodings may hide line ends
-    spans = lines is None or not lines.where(F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1).isEmpty()
+    plain = encoding.upper() in ("UTF-8", "ISO-8859-1")
+    seen = spark.read.option("lineSep", "\n").text(path).agg(F.max(quoted_csv.quotes(F.col("value")) % 2).alias("odd"), F.max(F.col("value").rlike("\r(?!$)")).alias("returns")).first() if plain else None
+    spans = not plain or seen["odd"] == 1 or bool(seen["returns"])
     reader = spark.read.options(header=True, sep=sep, encoding=encoding, multiLine=spans, quote='"', escape='"', nullValue="", emptyValue="", inferSchema=False)
     df = reader.csv(path)
-    df = df.toDF(*(names or clean_names([re.sub(r"^_c\d+$", "", c) for c in df.columns])))
+    names = names or clean_names([re.sub(r"^_c\d+$", "", c) for c in df.columns])
+    if plain and spans and not seen["returns"]:
+        found = quoted_csv.records(spark, path, encoding)
+        if found.where(quoted_csv.improper(F.col("text"), sep)).isEmpty():
+            df = quoted_csv.parse(found, names, sep)
+    df = df.toDF(*names)
     return df.select(*[F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
