@@ -35,11 +35,11 @@ def _(t):
 
 @query("scan_xlsx", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")
 def _(t):
-    """Suppliers as workbooks, written by tasks, and back."""
+    """Suppliers as workbooks, written by tasks, and back by ranges of rows."""
     df = t("supplier").select(F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name")
     path = new_folder(df.sparkSession, "workbooks")
-    tables.make_workbooks(df).write.parquet(path)
-    return tables.read_workbooks(df.sparkSession.read.parquet(path), "data", df.columns)
+    tables.write_workbooks(df, path)
+    return tables.read_xlsx(df.sparkSession, path, rows=5000)
 
 
 def _findings(t):

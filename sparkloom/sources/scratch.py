@@ -16,3 +16,9 @@ def new_folder(spark: SparkSession, kind: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="sparkloom-")
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark resolves it: one without a scheme lies on the default file system."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()

@@ -7,7 +7,6 @@ identity at ingest, as Spark keeps no order.
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import os
 import re
@@ -19,14 +18,15 @@ from datetime import datetime, timezone
 from pathlib import Path
 from xml.etree import ElementTree
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.config import DEFAULT, Config
 from sparkloom.operators import quality, typing
-from sparkloom.sources import quoted_csv
+from sparkloom.sources import quoted_csv, workbooks
+from sparkloom.sources.scratch import qualified
+from sparkloom.sources.workbooks import clean_names
 
 ROW_ID = "_row_id"
 
@@ -53,18 +53,6 @@ def sniff(head: bytes) -> tuple[str, str]:
     return encoding, max(",;\t|", key=line.count)
 
 
-def clean_names(names: list[str]) -> list[str]:
-    """Trimmed; blank ones named by place; repeated ones numbered."""
-    out: list[str] = []
-    for k, n in enumerate(names):
-        base = name = (n or "").strip().lstrip("﻿") or f"unnamed_{k}"
-        again = 1
-        while name in out:
-            name, again = f"{base}.{again}", again + 1
-        out.append(name)
-    return out
-
-
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ",", names: list[str] | None = None) -> DataFrame:
     """All columns as strings, quotes doubled to escape, line breaks allowed inside quotes.
 
@@ -88,94 +76,30 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str =
     return df.select(*[F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-def _xlsx_rows(data: bytes) -> list[list[str | None]]:
-    """Cells of the first sheet as strings, by the OOXML parts."""
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-        sheet = sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
-        rows = []
-        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{{{ns['m']}}}row"):
-            cells: dict[int, str | None] = {}
-            for k, c in enumerate(row.findall("m:c", ns)):
-                letters = re.match(r"[A-Z]+", c.get("r", ""))
-                at = k
-                if letters:
-                    at = 0
-                    for x in letters[0]:
-                        at = at * 26 + ord(x) - 64
-                    at -= 1
-                value, inline = c.find("m:v", ns), c.find("m:is", ns)
-                text = "".join(t.text or "" for t in inline.iter(f"{{{ns['m']}}}t")) if inline is not None else value.text if value is not None else None
-                cells[at] = shared[int(text)] if c.get("t") == "s" and text is not None else text
-            rows.append([cells.get(k) or None for k in range(max(cells, default=-1) + 1)])
-    return rows
-
-
-def read_xlsx(spark: SparkSession, data: bytes) -> DataFrame:
-    """The first sheet of a workbook of bounded size (the upload limit), first row as names."""
-    if not data.startswith(b"PK"):
-        raise UploadError("not a workbook")
-    rows = _xlsx_rows(data)
-    if len(rows) < 2:
-        raise UploadError("no data rows")
-    width = max(map(len, rows))
-    names = clean_names([str(c or "") for c in rows[0]] + [""] * (width - len(rows[0])))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.createDataFrame([tuple(r + [None] * (width - len(r))) for r in rows[1:]], schema)
-
-
-def make_workbooks(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """(data, rows): a workbook of at most `rows` rows of strings for each part of a partition, made in its task."""
-    names = df.columns
-
-    def run(batches):
-        held: list[tuple] = []
-
-        def made(part):
-            out = io.BytesIO()
-            write_xlsx(out, names, part)
-            return pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary()), pa.array([len(part)], pa.int64())], names=["data", "rows"])
+def read_xlsx(spark: SparkSession, path: str, columns: list[str] | None = None, rows: int = workbooks.ROWS) -> DataFrame:
+    """First sheets of the workbooks at a path, in ranges of `rows` rows; first rows are names. All columns, or some of them, as strings."""
+    workbooks.register(spark)
+    reader = spark.read.format("workbook").option("rowsPerPartition", rows)
+    if columns:
+        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+    return reader.load(qualified(spark, path))
 
-        for batch in batches:
-            held += zip(*[c.to_pylist() for c in batch.columns])
-            while len(held) >= rows:
-                yield made(held[:rows])
-                held = held[rows:]
-        if held:
-            yield made(held)
 
-    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names]).mapInArrow(run, "data binary, rows long")
+def write_workbooks(df: DataFrame, path: str) -> None:
+    """A workbook of strings for each partition with rows, in a new folder."""
+    workbooks.register(df.sparkSession)
+    df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).write.format("workbook").mode("append").save(qualified(df.sparkSession, path))
 
 
-def read_workbooks(files: DataFrame, column: str, names: list[str]) -> DataFrame:
-    """Rows of all workbooks in a binary column, as from spark.read.format('binaryFile'); each is parsed by a task. Their first rows must be `names`."""
-    schema = pa.schema([(n, pa.string()) for n in names])
-
-    def run(batches):
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                head, *rows = _xlsx_rows(data)
-                if clean_names([str(c or "") for c in head]) != names:
-                    raise UploadError("a workbook has other columns")
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] if k < len(r) else None for r in rows], pa.string()) for k in range(len(names))], schema=schema)
-
-    return files.select(column).mapInArrow(run, ", ".join(f"`{n}` string" for n in names))
-
-
-def write_xlsx(path, names: list[str], rows: list[tuple]) -> None:
-    """A small workbook with inline strings, to a path or a file."""
-
-    def cell(v):
-        from xml.sax.saxutils import escape
-
-        return "<c/>" if v is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
-
-    body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [names, *rows])
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+def _checked_workbook(path: str) -> None:
+    """Raises UploadError unless a local file is a workbook with data rows."""
+    try:
+        with zipfile.ZipFile(path) as z:
+            if workbooks.row_count(z) < 2:
+                raise UploadError("no data rows")
+            next(workbooks.rows_of(z, 0, 1), None)
+    except (zipfile.BadZipFile, ValueError, IndexError, ElementTree.ParseError) as e:
+        raise e if isinstance(e, UploadError) else UploadError("the workbook can't be read") from e
 
 
 def parse_upload(spark: SparkSession, path: str, cfg: Config = DEFAULT) -> DataFrame:
@@ -193,10 +117,8 @@ def parse_upload(spark: SparkSession, path: str, cfg: Config = DEFAULT) -> DataF
             encoding, sep = sniff(f.read(20000))
         df = read_csv(spark, Path(path).resolve().as_uri(), encoding, sep)
     else:
-        try:
-            df = read_xlsx(spark, Path(path).read_bytes())
-        except (zipfile.BadZipFile, IndexError, ElementTree.ParseError) as e:
-            raise UploadError("the workbook can't be read") from e
+        _checked_workbook(path)
+        df = read_xlsx(spark, Path(path).resolve().as_uri())
     if len(df.columns) > cfg.max_cols:
         raise UploadError(f"{len(df.columns)} columns; the limit is {cfg.max_cols}")
     rows = df.limit(cfg.max_rows + 1).count()

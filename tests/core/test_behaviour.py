@@ -16,7 +16,7 @@ from sparkloom.operators import stats as S
 from sparkloom.operators import timeseries as TS
 from sparkloom.operators import typing as T
 from sparkloom.operators.normality import shapiro, shapiro_wilk
-from sparkloom.sources import tables
+from sparkloom.sources import tables, workbooks
 
 
 def frame(spark, columns: dict, types: str = "string"):
@@ -254,7 +254,7 @@ def test_uploads(spark, tmp_path):
     assert df.columns == ["a", "b c", "unnamed_2"] and [tuple(r) for r in df.collect()] == [("1", 'x "y"\nz', None), (None, "2", "3")]
     with pytest.raises(tables.UploadError, match="rows"):
         tables.parse_upload(spark, str(tmp_path / "ok.csv"), Config(max_rows=1))
-    tables.write_xlsx(str(tmp_path / "w.xlsx"), ["p", "q"], [("1", None), ("é<", "2")])
+    workbooks.write(str(tmp_path / "w.xlsx"), ["p", "q"], [("1", None), ("é<", "2")])
     assert [tuple(r) for r in tables.parse_upload(spark, str(tmp_path / "w.xlsx")).collect()] == [("1", None), ("é<", "2")]
 
 
