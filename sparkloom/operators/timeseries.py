@@ -7,6 +7,9 @@ how many periods there are is known before any calendar is made.
 
 from __future__ import annotations
 
+import calendar as cal
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,48 +17,78 @@ from pyspark.sql.window import Window
 from sparkloom.config import DEFAULT, Config
 from sparkloom.operators.common import RANGES
 
-# Season lengths that are tried by frequency.
+# Season lengths that are tried by frequency, and how frequencies are shown.
 SEASONS = {"D": [7], "h": [24], "MS": [12], "QS": [4], "W": [52], "B": [5], "min": [60]}
 LABELS = {"MS": "monthly", "QS": "quarterly", "YS": "yearly", "D": "daily", "h": "hourly", "B": "business-daily", "min": "minutely", "s": "secondly", "W": "weekly"}
 _TRUNC = {"MS": "month", "QS": "quarter", "YS": "year"}
-_SECONDS = {"W": 7 * 86400, "D": 86400, "h": 3600, "min": 60, "s": 1}
+_MONTHS = {"MS": 1, "QS": 3, "YS": 12}
+#: Units of fixed length in microseconds, the longest first.
+_MICROS = {"W": 7 * 86_400_000_000, "D": 86_400_000_000, "h": 3_600_000_000, "min": 60_000_000, "s": 1_000_000, "ms": 1000, "us": 1}
+
+
+def parse(freq: str) -> tuple[int, str]:
+    """Multiple and unit of a frequency such as D, 15min or 2MS."""
+    found = re.fullmatch(rf"(\d*)({'|'.join([*_MONTHS, *_MICROS, 'B'])})", freq)
+    if not found or found[1] == "0" or (found[2] == "B" and found[1]):
+        raise ValueError(f"unknown frequency {freq}")
+    return int(found[1] or 1), found[2]
+
+
+def named(n: int, unit: str) -> str:
+    return f"{n if n > 1 else ''}{unit}"
+
+
+def of_micros(micros: int) -> str:
+    """A fixed length in the longest unit that divides it; weeks only if it is one week."""
+    unit = next(u for u, size in _MICROS.items() if micros % size == 0 and (u != "W" or micros == size))
+    return named(micros // _MICROS[unit], unit)
 
 
 def snap(ts: Column, freq: str) -> Column:
     """Months, quarters and years to their start; other stamps stay."""
-    return F.date_trunc(_TRUNC[freq], ts).cast("timestamp_ntz") if freq in _TRUNC else ts.cast("timestamp_ntz")
+    unit = parse(freq)[1]
+    return F.date_trunc(_TRUNC[unit], ts).cast("timestamp_ntz") if unit in _TRUNC else ts.cast("timestamp_ntz")
 
 
 def interval(freq: str) -> Column:
-    """Length of a period; a custom frequency is 'S<seconds>'."""
-    if freq in _TRUNC:
-        return F.expr({"MS": "interval 1 month", "QS": "interval 3 months", "YS": "interval 1 year"}[freq])
-    seconds = _SECONDS[freq] if freq in _SECONDS else int(freq[1:])
-    return F.expr(f"interval {seconds} seconds")
+    """Length of a period; that of business days is a day."""
+    n, unit = parse(freq)
+    if unit in _TRUNC:
+        return F.expr(f"interval {n * _MONTHS[unit]} months")
+    return F.expr(f"interval {n * _MICROS['D' if unit == 'B' else unit]} microseconds")
 
 
-def gaps(df: DataFrame, ts: str) -> DataFrame:
-    """(days, n): distances between neighbouring distinct stamps."""
+def neighbours(df: DataFrame, ts: str) -> DataFrame:
+    """(before, at): neighbouring distinct stamps in microseconds.
+
+    Stamps are cut into ranges; windows run within a range, and over one row for each range.
+    """
     stamps = df.where(F.col(ts).isNotNull()).select(F.unix_micros(F.col(ts).cast("timestamp_ntz").cast("timestamp")).alias("at")).distinct()
     cuts = sorted(set(stamps.select(F.col("at").cast("double").alias("at")).approxQuantile("at", [k / RANGES for k in range(1, RANGES)], 1 / RANGES)))
     bounds = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<long>")
     own = stamps.withColumn("range", F.size(F.filter(bounds, lambda b: b < F.col("at"))))
-    within = own.select((F.col("at") - F.lag("at").over(Window.partitionBy("range").orderBy("at"))).alias("step"))
+    within = own.select(F.lag("at").over(Window.partitionBy("range").orderBy("at")).alias("before"), "at")
     ends = own.groupBy("range").agg(F.min("at").alias("first"), F.max("at").alias("last"))  # a row for each range
-    between = ends.select((F.col("first") - F.lag("last").over(Window.orderBy("range"))).alias("step"))
-    return within.unionByName(between).where("step is not null").groupBy((F.col("step") / F.lit(86400e6)).alias("days")).agg(F.count("*").alias("n"))
+    between = ends.select(F.lag("last").over(Window.orderBy("range")).alias("before"), F.col("first").alias("at"))
+    return within.unionByName(between).where("before is not null")
+
+
+def gaps(df: DataFrame, ts: str) -> DataFrame:
+    """(days, n): distances between neighbouring distinct stamps."""
+    return neighbours(df, ts).groupBy(((F.col("at") - F.col("before")) / F.lit(86400e6)).alias("days")).agg(F.count("*").alias("n"))
 
 
 def count_periods(lo, hi, freq: str) -> int:
     """How many periods a calendar from lo to hi has, without making it."""
-    if freq in _TRUNC:
+    n, unit = parse(freq)
+    if unit in _TRUNC:
         months = (hi.year - lo.year) * 12 + hi.month - lo.month
-        return months // {"MS": 1, "QS": 3, "YS": 12}[freq] + 1
-    if freq == "B":
+        return months // (n * _MONTHS[unit]) + 1
+    if unit == "B":
         days = (hi - lo).days + 1
         return days // 7 * 5 + sum((lo.weekday() + k) % 7 < 5 for k in range(days % 7))
-    step = _SECONDS[freq] if freq in _SECONDS else int(freq[1:])
-    return int((hi - lo).total_seconds() // step) + 1
+    span = hi - lo
+    return ((span.days * 86400 + span.seconds) * 1_000_000 + span.microseconds) // (n * _MICROS[unit]) + 1
 
 
 def _span(df: DataFrame, freq: str, ts: str = "ts") -> tuple[int, int]:
@@ -64,39 +97,95 @@ def _span(df: DataFrame, freq: str, ts: str = "ts") -> tuple[int, int]:
     return (count_periods(found["lo"], found["hi"], freq), found["n"]) if found["n"] else (0, 0)
 
 
+def _facts(df: DataFrame, ts: str) -> dict:
+    """What the rules ask of the stamps, from one aggregate over them and one over neighbours."""
+    at = F.timestamp_micros("at")
+    day, last, weekday = F.dayofmonth(at), F.last_day(at), F.weekday(at)
+    first = at.cast("date") - (day - 1)
+    opens = F.date_add(first, F.when(F.weekday(first) > 4, 7 - F.weekday(first)).otherwise(0))
+    closes = F.date_sub(last, F.greatest(F.weekday(last) - 4, F.lit(0)))
+    every = lambda c: F.min(c.cast("int")) == 1
+    stamps = df.where(F.col(ts).isNotNull()).select(F.unix_micros(F.col(ts).cast("timestamp_ntz").cast("timestamp")).alias("at")).agg(
+        F.count_distinct("at").alias("n"), every(day == 1).alias("cs"), every(at.cast("date") == opens).alias("bs"), every(at.cast("date") == last).alias("ce"), every(at.cast("date") == closes).alias("be"), every(weekday < 5).alias("workdays"),
+        *[f(c).alias(f"{name}_{side}") for name, c in (("month", F.month(at)), ("weekday", weekday), ("week", F.floor((day - 1) / 7))) for side, f in (("lo", F.min), ("hi", F.max))],
+    ).first().asDict()
+    if stamps["n"] < 3:
+        return stamps
+    before = F.timestamp_micros("before")
+    years, gap = F.year(at) - F.year(before), F.col("at") - F.col("before")
+    hours = gap / _MICROS["h"]
+    steps = neighbours(df, ts).agg(
+        *[f(c).alias(f"{name}_{side}") for name, c in (("gap", gap), ("years", years), ("months", years * 12 + F.month(at) - F.month(before))) for side, f in (("lo", F.min), ("hi", F.max))],
+        every(hours.isin(1.0, 17.0, 65.0)).alias("hours"), F.max((hours > 1).cast("int")).alias("nights"), every((gap == _MICROS["D"]) | ((gap == 3 * _MICROS["D"]) & (F.weekday(before) == 4))).alias("weeks"),
+    ).first().asDict()
+    return stamps | steps
+
+
+def rule(facts: dict) -> str | None:
+    """The calendar that all stamps follow, such as 2D, 15min, W-WED, B, BME, QE-NOV or WOM-2MON; None if there is none.
+
+    A year's, quarter's or month's first or last day or business day at even steps comes
+    before a fixed step, that before business days, and these before an n-th weekday.
+    """
+    same = lambda name: facts[f"{name}_lo"] == facts[f"{name}_hi"]
+    step, day = facts["gap_lo"], _MICROS["D"]
+    if step % day == 0:
+        position = next((p for p in ("ce", "be", "cs", "bs") if facts[p]), None)
+        code = lambda unit: {"ce": f"{unit}E", "be": f"B{unit}E", "cs": f"{unit}S", "bs": f"B{unit}S"}[position]
+        if position and same("years") and same("month") and facts["years_lo"]:
+            return f"{named(facts['years_lo'], code('Y'))}-{cal.month_abbr[facts['month_lo']].upper()}"
+        if position and same("months") and facts["months_lo"]:
+            months = facts["months_lo"]
+            if months % 3 == 0:
+                anchor = {0: 12, 1: 10, 2: 11}[facts["month_lo"] % 3]
+                return f"{named(months // 3, code('Q'))}-{cal.month_abbr[anchor].upper()}"
+            return named(months, code("M"))
+        if same("gap"):
+            weeks = step // (7 * day)
+            return f"{named(weeks, 'W')}-{cal.day_abbr[facts['weekday_lo']].upper()}" if step % (7 * day) == 0 else named(step // day, "D")
+        if facts["weeks"] and facts["workdays"]:
+            return "B"
+        if same("weekday") and same("week") and facts["week_lo"] < 4:
+            return f"WOM-{facts['week_lo'] + 1}{cal.day_abbr[facts['weekday_lo']].upper()}"
+        return None
+    if facts["hours"] and facts["nights"]:
+        return "bh"
+    return of_micros(step) if same("gap") else None
+
+
+def grid_of(found: str) -> str:
+    """The frequency whose calendar the stamps of a rule lie on, once they are snapped: ends and business days of months count as the months, an anchored week as a week."""
+    n, code = re.match(r"(\d*)([A-Za-z]+)", found).groups()
+    if code in ("WOM", "bh"):
+        return {"WOM": "MS", "bh": "h"}[code]
+    unit = {"YE": "YS", "BYE": "YS", "BYS": "YS", "QE": "QS", "BQE": "QS", "BQS": "QS", "ME": "MS", "BME": "MS", "BMS": "MS"}.get(code, code)
+    return named(int(n or 1), unit)
+
+
 def frequency(df: DataFrame, ts: str) -> dict | None:
-    """{freq, label, gaps, regular}, or None below 3 distinct stamps.
+    """{freq, rule, label, gaps, regular}, or None below 3 distinct stamps.
 
-    One gap throughout is the frequency itself; weekdays only is business-daily; else the
-    median gap decides.
+    The rule that all stamps follow gives the frequency; without one the median gap does.
     """
-    stamps = df.where(F.col(ts).isNotNull()).agg(F.count_distinct(ts).alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.max((F.weekday(ts) >= 5).cast("int")).alias("weekend")).first()
-    if stamps["n"] < 3:
+    facts = _facts(df, ts)
+    if facts["n"] < 3:
         return None
-    found = gaps(df, ts).agg(F.percentile("days", F.lit(0.5), F.col("n")).alias("median"), F.min("days").alias("lo"), F.max("days").alias("hi")).first()
-    median, lo, hi = found["median"], found["lo"], found["hi"]
-    same = {7.0: "W", 1.0: "D", 1 / 24: "h", 1 / 1440: "min", 1 / 86400: "s"}
-    near = lambda x: next((v for k, v in same.items() if abs(x - k) < 1e-9), None)
-    if lo == 1.0 and hi == 3.0 and not stamps["weekend"]:
-        freq = "B"
-    elif 27 <= median <= 32:
-        freq = "MS"
-    elif 88 <= median <= 93:
-        freq = "QS"
-    elif 360 <= median <= 370:
-        freq = "YS"
+    follows = rule(facts)
+    if follows:
+        freq = grid_of(follows)
     else:
-        freq = near(median) or f"S{max(1, round(median * 86400))}"
+        median = gaps(df, ts).agg(F.percentile("days", F.lit(0.5), F.col("n")).alias("median")).first()["median"]
+        months = next((unit for unit, (lo, hi) in {"MS": (27, 32), "QS": (88, 93), "YS": (360, 370)}.items() if lo <= median <= hi), None)
+        freq = months or of_micros(max(_MICROS["s"], round(median * 86400) * _MICROS["s"]))
     periods, present = _span(df.where(F.col(ts).isNotNull()).select(snap(F.col(ts), freq).alias("ts")), freq)
     missing = max(0, periods - present)
-    return {"freq": freq, "label": LABELS.get(freq, f"custom ({freq})"), "gaps": missing, "regular": missing == 0}
+    return {"freq": freq, "rule": follows, "label": LABELS.get(freq, f"custom ({freq})"), "gaps": missing, "regular": missing == 0}
 
 
 def calendar(df: DataFrame, freq: str, ts: str = "ts") -> DataFrame:
     """(ts) of every period from the first stamp to the last."""
     ends = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).where("lo is not null")
-    step = F.expr("interval 1 day") if freq == "B" else interval(freq)
-    days = ends.select(F.explode(F.sequence("lo", "hi", step)).alias("ts"))
+    days = ends.select(F.explode(F.sequence("lo", "hi", interval(freq))).alias("ts"))
     return days.where(F.weekday("ts") < 5) if freq == "B" else days
 
 

@@ -49,7 +49,9 @@ def _(t):
 @query(
     "infer_frequency",
     f"""WITH {_DAILY}, m AS (SELECT median(days) AS s FROM (SELECT date_diff('second', lag(ts) OVER (ORDER BY ts), ts) AS days FROM d)), g AS (SELECT CAST(s AS BIGINT) AS s, (SELECT date_diff('second', min(ts), max(ts)) FROM d) // CAST(s AS BIGINT) + 1 AS grid, (SELECT count(*) FROM d) AS n FROM m)
-SELECT CASE WHEN s = 86400 THEN 'D' ELSE 'S' || s END AS freq, CASE WHEN s = 86400 THEN 'daily' ELSE 'custom (S' || s || ')' END AS label, greatest(grid - n, 0) AS gaps, grid <= n AS regular FROM g""",
+SELECT f AS freq, CASE f WHEN 'D' THEN 'daily' WHEN 'h' THEN 'hourly' WHEN 'min' THEN 'minutely' WHEN 's' THEN 'secondly' WHEN 'W' THEN 'weekly' ELSE 'custom (' || f || ')' END AS label, greatest(grid - n, 0) AS gaps, grid <= n AS regular
+FROM (SELECT *, CASE WHEN s = 604800 THEN 'W' ELSE (CASE WHEN s = u THEN '' ELSE CAST(s // u AS VARCHAR) END) || (CASE u WHEN 86400 THEN 'D' WHEN 3600 THEN 'h' WHEN 60 THEN 'min' ELSE 's' END) END AS f
+      FROM (SELECT *, CASE WHEN s % 86400 = 0 THEN 86400 WHEN s % 3600 = 0 THEN 3600 WHEN s % 60 = 0 THEN 60 ELSE 1 END AS u FROM g))""",
 )
 def _(t):
     df = t("orders")
@@ -57,6 +59,28 @@ def _(t):
     return df.sparkSession.createDataFrame([(i["freq"], i["label"], i["gaps"], i["regular"])], "freq string, label string, gaps long, regular boolean")
 
 
+_STEPS = "SELECT '{kind}' AS kind, CASE WHEN min(k) = max(k) THEN (CASE WHEN min(k) = {one} THEN '' ELSE CAST(min(k) // {one} AS VARCHAR) END) || '{name}' END AS rule FROM (SELECT p - lag(p) OVER (ORDER BY p) AS k FROM (SELECT DISTINCT {at} AS p FROM orders))"
+
+
+@query(
+    "frequency_rules",
+    " UNION ALL ".join(
+        _STEPS.format(kind=kind, one=one, name=name, at=at)
+        for kind, one, name, at in (
+            ("month", 1, "MS", "year(o_orderdate) * 12 + month(o_orderdate)"), ("month end", 1, "ME", "year(o_orderdate) * 12 + month(o_orderdate)"), ("quarter", 1, "QS-OCT", "year(o_orderdate) * 4 + quarter(o_orderdate)"),
+            ("week", 1, "W-MON", "CAST(date_diff('day', DATE '1970-01-05', CAST(o_orderdate AS DATE)) // 7 AS BIGINT)"),
+        )
+    ),
+)
+def _(t):
+    """The calendars that order dates follow once they are months, month ends, quarters and weeks."""
+    d = F.col("o_orderdate")
+    kinds = {"month": F.date_trunc("month", d), "month end": F.last_day(d), "quarter": F.date_trunc("quarter", d), "week": F.date_trunc("week", d)}
+    df = t("orders")
+    rows = [(kind, (TS.frequency(df.select(c.cast("timestamp_ntz").alias("ts")), "ts") or {}).get("rule")) for kind, c in kinds.items()]
+    return df.sparkSession.createDataFrame(rows, "kind string, rule string")
+
+
 @query("freq_gaps", f"WITH {_GRID} SELECT ts FROM r WHERE y IS NULL")
 def _(t):
     return TS.reindex(daily(t), "D").where("y is null").select("ts")

@@ -166,7 +166,7 @@ def test_frequency_counts_periods_without_a_calendar(spark):
     stamps = [start + dt.timedelta(seconds=50 * k) for k in range(50)] + [dt.datetime(2045, 1, 1)]
     df = spark.createDataFrame([(s, 1.0) for s in stamps], "ts timestamp_ntz, y double")
     info = TS.frequency(df, "ts")
-    assert info["freq"] == "S50" and info["gaps"] == int((stamps[-1] - start).total_seconds() // 50) + 1 - 51
+    assert info["freq"] == "50s" and info["gaps"] == int((stamps[-1] - start).total_seconds() // 50) + 1 - 51
     with pytest.raises(ValueError, match="coarser"):
         TS.prepare(df, "ts", "y")
     days = [dt.datetime(2024, 1, 1) + dt.timedelta(days=k) for k in range(40)]
