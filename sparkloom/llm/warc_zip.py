@@ -1,11 +1,13 @@
 """WARC records in ZIP packages: written by Spark tasks, read back by range without extraction.
 
-A package is a ZIP archive with stored (uncompressed) members: archive/data.warc.gz,
-in which each WARC record is a gzip member of its own, and indexes/index.cdxj, with a
-line for each record: its offset in the data member, its length and its type. A reader
-takes the end-of-central-directory record from the tail (and the ZIP64 one where
-numbers do not fit), the central directory for the members, the index member for the
-records, and then each record by its byte range.
+A package is a ZIP archive with stored (uncompressed) members: archives of WARC records
+under archive/, each record a gzip member of its own or plain, and indexes under indexes/,
+with a line for each record: its key, its stamp, and where in which archive it lies. A
+reader takes the end-of-central-directory record from the tail (and the ZIP64 one where
+numbers do not fit), the central directory for the members, the index members for the
+records, and then each record by its byte range. Packages of other writers are read too:
+several archives, gzipped indexes, lines in JSON or in the older columns by letter, and
+records with ids, digests and lengths of other forms, or without.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.session import cut, new_folder
+from sparkloom.sources.scratch import qualified
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Package size at which a task begins another one.
@@ -85,7 +88,8 @@ class Package:
 
     def record(self, key: str, record: bytes, kind: str) -> None:
         data = gzip.compress(record, 6, mtime=0)
-        self.lines.append(json.dumps({"key": key, "offset": self.member["size"], "length": len(data), "type": kind}))
+        place = {"offset": self.member["size"], "length": len(data), "filename": DATA.partition("/")[2], "type": kind}
+        self.lines.append(f"{key} 19700101000000 {json.dumps(place)}")
         self._add(data)
 
     @property
@@ -95,7 +99,7 @@ class Package:
     def close(self) -> None:
         self._end()
         self._begin(INDEX)
-        self._add("".join(x + "\n" for x in self.lines).encode())
+        self._add("".join(x + "\n" for x in sorted(self.lines)).encode("utf-8", "surrogatepass"))
         self._end()
         start = self.at
         for m in self.members:
@@ -112,6 +116,13 @@ class Package:
         self._write(struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, n, n, length, start, 0))
 
 
+def index_key(url: str | None) -> str:
+    """A URL with its host's parts in reverse, as indexes are sorted: com,example)/path."""
+    parts = re.match(r"(?:[A-Za-z][\w+.-]*://)?(?:www\.)?([^/?#:]*)(?::\d+)?([^#]*)", "".join(c for c in (url or "") if c > " "))
+    host, path = parts.groups()
+    return f"{','.join(reversed(host.lower().split('.')))}){(path or '/').replace('{', '%7B')}"
+
+
 def warc_record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
     """A response record, or a revisit of the record of page refers_to, whose payload it leaves out."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -159,6 +170,8 @@ def members(source, crcs: dict[str, int] | None = None) -> dict[str, tuple[int,
     source.seek(size - tail)
     data = source.read(tail)
     at = data.rfind(b"PK\x05\x06")
+    while at >= 0 and (at + 22 > len(data) or at + 22 + struct.unpack_from("<H", data, at + 20)[0] != len(data)):
+        at = data.rfind(b"PK\x05\x06", 0, at)  # such bytes inside a comment
     if at < 0:
         raise ValueError("no end of central directory")
     n, length, start = struct.unpack_from("<HII", data, at + 10)
@@ -190,24 +203,102 @@ def members(source, crcs: dict[str, int] | None = None) -> dict[str, tuple[int,
     return out
 
 
+def _inflated(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
+def index_lines(index: bytes) -> list[tuple[str | None, int, int | None]]:
+    """(archive, offset, length) of each record in an index, plain or gzipped; archive and length are None where a line does not have them.
+
+    Lines are `key stamp {json}`, `{json}`, or columns named by letters in a line ` CDX ...`
+    (V the offset, S the length, g the archive). Lines that begin with ! are remarks.
+    """
+    out, letters = [], None
+    for line in _inflated(index).decode("utf-8", "replace").split("\n"):
+        line = line.rstrip("\r")
+        if not line.strip() or line.startswith("!"):
+            continue
+        if line.lstrip().startswith("CDX "):
+            letters = line.split()[1:]
+        elif "{" in line:
+            x = json.loads(line[line.index("{") :])
+            out.append((x.get("filename"), int(x["offset"]), int(x["length"]) if x.get("length") not in (None, "", "-") else None))
+        elif letters:
+            x = dict(zip(letters, line.split()))
+            out.append((x.get("g") if x.get("g") != "-" else None, int(x["V"]), int(x["S"]) if x.get("S", "-") != "-" else None))
+        else:
+            raise ValueError(f"an index line of unknown form: {line[:80]}")
+    return out
+
+
+def ranges(where: dict[str, tuple[int, int]], indexes: list[bytes]) -> list[tuple[int, int]]:
+    """Byte ranges of all records in a package. A record without a length ends where the next one of its archive begins."""
+    archives = {n.partition("/")[2]: place for n, place in where.items() if n.startswith("archive/") and not n.endswith("/")}
+    lines: dict[str, dict[int, int | None]] = {}
+    for name, offset, length in (x for index in indexes for x in index_lines(index)):
+        if name is None and len(archives) == 1:
+            name = next(iter(archives))
+        own = next((n for n in (name, (name or "").removeprefix("archive/"), (name or "").rpartition("/")[2]) if n in archives), None)
+        if own is None:
+            raise ValueError(f"an index names archive {name}, which the package does not store")
+        if not 0 <= offset < archives[own][1]:
+            raise ValueError(f"an index names byte {offset} of {own}, which has {archives[own][1]}")
+        lines.setdefault(own, {})[offset] = length
+    out = []
+    for own in sorted(lines):
+        start, size = archives[own]
+        offsets = sorted(lines[own])
+        out += [(start + a, lines[own][a] or b - a) for a, b in zip(offsets, [*offsets[1:], size])]
+    return out
+
+
+def _digest(label: str | None) -> str | None:
+    """A SHA-1 as hex, from base 32 or hex; None for others."""
+    kind, _, value = (label or "").partition(":")
+    if kind.strip().lower() not in ("sha1", "sha-1"):
+        return None
+    value = value.strip()
+    if re.fullmatch(r"[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch(r"[A-Za-z2-7]{32}", value) else None
+
+
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    return {k.strip().decode("utf-8", "replace").lower(): v.strip().decode("utf-8", "replace") for k, colon, v in (x.partition(b":") for x in lines) if colon}
+
+
 def parse_record(data: bytes) -> dict:
-    """Headers and payload of a gzipped WARC record."""
-    raw = gzip.decompress(data)
+    """Headers and payload of a WARC record, gzipped or plain.
+
+    Of HTTP records the payload is what follows the HTTP headers, of others the block. Ids
+    of the form <urn:page:7> are page_ids; all are kept as text. A digest that is no SHA-1
+    or missing is taken from the payload, null for a revisit.
+    """
+    raw = _inflated(data)
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    headers = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
-    block = rest[: int(headers["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    page = lambda x: int(x[10:-1]) if x and x[10:-1] else None  # noqa: E731  <urn:page:7>
+    headers = _headers(head.split(b"\r\n")[1:])
+    block = rest[: int(headers["content-length"])] if headers.get("content-length", "").isdigit() else rest.removesuffix(b"\r\n\r\n")
+    payload, length = block, None
+    if headers.get("content-type", "").lower().startswith("application/http") or block[:5] == b"HTTP/":
+        http, _, payload = block.partition(b"\r\n\r\n")
+        size = _headers(http.split(b"\r\n")[1:]).get("content-length", "")
+        length = int(size) if size.isdigit() else None
+    kind = headers.get("warc-type", "")
+    page = lambda x: int(found[1]) if (found := re.fullmatch(r"<urn:page:(-?\d+)>", x or "")) else None
+    own, sha1 = (headers.get("warc-record-id") or "").startswith("<urn:page:"), _digest(headers.get("warc-payload-digest"))
+    there = kind != "revisit"
     return {
-        "page_id": page(headers.get("WARC-Record-ID")),
-        "url": headers.get("WARC-Target-URI"),
-        "record_type": headers["WARC-Type"],
-        "refers_to": page(headers.get("WARC-Refers-To")),
-        "payload_bytes": length,
-        "payload_digest": base64.b32decode(headers["WARC-Payload-Digest"].partition(":")[2]).hex(),
-        "payload": payload if headers["WARC-Type"] == "response" else None,
+        "page_id": page(headers.get("warc-record-id")),
+        "url": headers.get("warc-target-uri"),
+        "record_type": kind,
+        "refers_to": page(headers.get("warc-refers-to")),
+        "payload_bytes": length if not there or (own and length is not None) else len(payload),
+        "payload_digest": sha1 or (hashlib.sha1(payload).hexdigest() if there else None),
+        "payload": payload if there else None,
+        "record_id": headers.get("warc-record-id"),
+        "refers_to_id": headers.get("warc-refers-to"),
+        "stamp": headers.get("warc-date"),
+        "own": own,
     }
 
 
@@ -233,7 +324,7 @@ def _write(folder: str):
                     name = f"{uuid.uuid4().hex}.wacz"  # a repeated task writes another file, which nothing refers to
                     path, package = f"{folder}/{name}", Package(system.open_output_stream(f"{root}/{name}"))
                 payload = (r["html"] or "").encode("utf-8", "surrogatepass")
-                package.record("" if r["page_id"] is None else str(r["page_id"]), warc_record(r["page_id"], r["url"], payload, r["digest"], r["refers_to"]), "response" if r["refers_to"] is None else "revisit")
+                package.record(index_key(r["url"]), warc_record(r["page_id"], r["url"], payload, r["digest"], r["refers_to"]), "response" if r["refers_to"] is None else "revisit")
                 if package.size >= PACKAGE_BYTES:
                     yield done()
                     package = None
@@ -249,20 +340,23 @@ def _locate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in batch.column("path").to_pylist():
             system, at = store(path)
             with system.open_input_file(at) as source:
-                where = members(source, crcs := {})
-                start, _ = where[DATA]
-                source.seek(where[INDEX][0])
-                index = source.read(where[INDEX][1])
-                if zlib.crc32(index) != crcs[INDEX]:
-                    raise ValueError(f"the index of {path} is damaged")
-                lines = index.splitlines()
-            offsets, lengths = zip(*[(start + x["offset"], x["length"]) for x in map(json.loads, lines)]) if lines else ((), ())
+                where, indexes = members(source, crcs := {}), []
+                for name in sorted(n for n in where if re.fullmatch(r"indexes/.*\.cdxj?(\.gz)?", n)):
+                    source.seek(where[name][0])
+                    index = source.read(where[name][1])
+                    if zlib.crc32(index) != crcs[name]:
+                        raise ValueError(f"{name} of {path} is damaged")
+                    indexes.append(index)
+            if not indexes:
+                raise ValueError(f"{path} stores no index")
+            found = ranges(where, indexes)
+            offsets, lengths = zip(*found) if found else ((), ())
             for k in range(0, len(offsets), RANGE_RECORDS):
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([offsets[k : k + RANGE_RECORDS]], pa.list_(pa.int64())), pa.array([lengths[k : k + RANGE_RECORDS]], pa.list_(pa.int64()))], names=["path", "offsets", "lengths"])
 
 
 def _read(with_payload: bool):
-    fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
+    fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("stamp", pa.string())]
     schema = pa.schema(fields + [("payload", pa.binary())] * with_payload)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +368,11 @@ def _read(with_payload: bool):
                     for offset, length in zip(offsets, lengths):
                         source.seek(offset)
                         r = parse_record(source.read(length))
-                        if r["payload"] is not None:
+                        if r["payload"] is not None and r["own"]:
                             if len(r["payload"]) != r["payload_bytes"] or hashlib.sha1(r["payload"]).hexdigest() != r["payload_digest"]:
                                 raise ValueError(f"record at {offset} of {path} is damaged")
                         rows.append({k: r[k] for k in schema.names})
-                        held += r["payload_bytes"] if with_payload else 200
+                        held += len(r["payload"] or b"") if with_payload else 200
                         if held > 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
@@ -298,6 +392,7 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
     page_id, unless one with a page_id has its payload. Repeated rows give repeated
     records; further columns are ignored; an empty table gives no packages.
     """
+    folder = qualified(pages.sparkSession, folder)  # without a scheme it lies on Spark's default file system
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     own = own.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     large = F.octet_length("html") >= REVISIT_BYTES
@@ -307,13 +402,15 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def read_packages(packages: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Records of the packages in column path: (page_id, url, record_type, refers_to, payload_bytes, payload_digest[, payload]); a revisit has no payload of its own.
+    """Records of the packages in column path: (page_id, url, record_type, refers_to, payload_bytes, payload_digest, record_id, refers_to_id, stamp[, payload]); a revisit has no payload of its own.
 
-    Every response is held against its length and digest.
+    Every response that this module wrote is held against its length and digest. Records of
+    other writers come as they are: page_id and refers_to are null, their ids are in
+    record_id and refers_to_id.
     """
     ranges = packages.select("path").mapInArrow(_locate, "path string, offsets array<long>, lengths array<long>")
     spread = max(1, packages.sparkSession.sparkContext.defaultParallelism)
-    columns = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
+    columns = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, refers_to_id string, stamp string" + ", payload binary" * with_payload
     return ranges.repartition(spread * 4).mapInArrow(_read(with_payload), columns)
 
 

@@ -1,5 +1,7 @@
 """Embeddings, packing, archives, shards, learned scores and the pipeline."""
 
+import gzip
+import hashlib
 import io
 import itertools
 import random
@@ -129,7 +131,7 @@ def test_archives(spark, tmp_path):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(0)).repartition(3)
     made = warc_zip.write_packages(df, f"{tmp_path}/store")
     for r in made.collect():  # any ZIP reader opens them
-        with zipfile.ZipFile(r["path"]) as z:
+        with zipfile.ZipFile(warc_zip.store(r["path"])[1]) as z:
             assert z.testzip() is None and set(z.namelist()) == {warc_zip.DATA, warc_zip.INDEX} and len(z.read(warc_zip.INDEX).splitlines()) == r["records"]
     got = {r["page_id"]: r for r in warc_zip.read_packages(made, with_payload=True).collect()}
     assert len(got) == len(pages)
@@ -177,6 +179,68 @@ def test_archives_elsewhere_and_damaged(tmp_path):
         list(warc_zip._locate([pa.RecordBatch.from_pydict({"path": [str(tmp_path / "p.wacz")]})]))
 
 
+def foreign_record(kind, record_id, body, http=b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n", more=(), zipped=True):
+    block = http + body
+    head = "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", "WARC-Date: 2020-01-02T03:04:05Z", "WARC-Target-URI: https://example.com/a b", *more, f"Content-Length: {len(block)}"])
+    data = head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return gzip.compress(data) if zipped else data
+
+
+def foreign_package(path, index, name="indexes/index.cdxj", archive="archive/rec-20200102.warc.gz", zipped=True, comment=b""):
+    """As other writers make them, with zipfile; index: a function of (offset, length) pairs that gives the bytes."""
+    records = [
+        foreign_record("warcinfo", "<urn:uuid:0>", b"software: x", b"", ["Content-Type: application/warc-fields"], zipped), foreign_record("response", "<urn:uuid:1>", b"hello", zipped=zipped, more=["Content-Type: application/http; msgtype=response"]),
+        foreign_record("response", "<urn:uuid:2>", b"wide", more=["WARC-Payload-Digest: sha256:00"], zipped=zipped),
+        foreign_record("revisit", "<urn:uuid:3>", b"", more=["WARC-Refers-To: <urn:uuid:1>", "WARC-Payload-Digest: sha1:VL2MMHO4YXUKFWV63YHTWSBM3GXKSQ2N"], zipped=zipped),
+    ]
+    starts = [sum(map(len, records[:k])) for k in range(len(records))]
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        z.writestr("archive/", "")
+        z.writestr(archive, b"".join(records))
+        z.writestr(name, index([(a, len(r)) for a, r in zip(starts, records)]))
+        z.comment = comment
+
+
+def cdxj(places, filename='"filename": "rec-20200102.warc.gz", ', quote=str, length=True):
+    return "".join(f'com,example)/?q={k} 20200102030405 {{"url": "https://example.com/", {filename}"offset": {quote(a)}' + (f', "length": {quote(n)}' if length else "") + "}\n" for k, (a, n) in enumerate(places)).encode()
+
+
+@pytest.mark.parametrize("case", ["cdxj", "quoted", "gzipped", "no name", "no length", "letters", "plain", "whole path", "comment"])
+def test_packages_of_other_writers(spark, tmp_path, case):
+    text = lambda x: f'"{x}"'
+    letters = lambda places: (" CDX N b a m s k r M S V g\n" + "".join(f"com,example)/ 20200102030405 https://example.com/ text/html 200 X - - {n} {a} rec-20200102.warc.gz\n" for a, n in places)).encode()
+    made = {
+        "cdxj": (cdxj, {}), "quoted": (lambda p: b'!meta {"format": "cdxj"}\n' + cdxj(p, quote=text), {}), "gzipped": (lambda p: gzip.compress(cdxj(p[:2])) + gzip.compress(cdxj(p[2:])), {"name": "indexes/index.cdx.gz"}), "no name": (lambda p: cdxj(p, ""), {}),
+        "no length": (lambda p: cdxj(p, length=False), {}), "letters": (letters, {"name": "indexes/all.cdx"}), "plain": (lambda p: cdxj(p, '"filename": "a.warc", '), {"archive": "archive/a.warc", "zipped": False}),
+        "whole path": (lambda p: cdxj(p, '"filename": "archive/rec-20200102.warc.gz", '), {}), "comment": (cdxj, {"comment": b"PK\x05\x06 and more of it, long enough to look like an end"}),
+    }
+    index, options = made[case]
+    foreign_package(tmp_path / "f.wacz", index, **options)
+    got = {r["record_id"]: r for r in warc_zip.read_packages(spark.createDataFrame([(str(tmp_path / "f.wacz"),)], "path string"), with_payload=True).collect()}
+    assert {i: (r["record_type"], r["payload"], r["payload_bytes"]) for i, r in got.items()} == {
+        "<urn:uuid:0>": ("warcinfo", b"software: x", 11), "<urn:uuid:1>": ("response", b"hello", 5), "<urn:uuid:2>": ("response", b"wide", 4), "<urn:uuid:3>": ("revisit", None, None),
+    }
+    assert all(r["page_id"] is None and r["refers_to"] is None and r["stamp"] == "2020-01-02T03:04:05Z" and r["url"] == "https://example.com/a b" for r in got.values())
+    assert got["<urn:uuid:3>"]["refers_to_id"] == "<urn:uuid:1>" and got["<urn:uuid:3>"]["payload_digest"] == got["<urn:uuid:1>"]["payload_digest"] == hashlib.sha1(b"hello").hexdigest()
+
+
+def test_packages_that_cannot_be_read_say_so(tmp_path):
+    import pyarrow as pa
+
+    read = lambda: list(warc_zip._locate([pa.RecordBatch.from_pydict({"path": [str(tmp_path / "f.wacz")]})]))
+    for options, match in ((({"index": lambda p: cdxj(p, '"filename": "other.warc.gz", ')}), "does not store"), ({"index": lambda p: b"what is this\n"}, "unknown form"), ({"index": lambda p: cdxj([(10**9, 5)])}, "names byte"), ({"index": cdxj, "name": "other/index.cdxj"}, "no index")):
+        foreign_package(tmp_path / "f.wacz", **options)
+        with pytest.raises(ValueError, match=match):
+            read()
+
+
+def test_packages_without_a_scheme_lie_where_spark_resolves_them(spark, tmp_path):
+    made = warc_zip.write_packages(spark.createDataFrame([(1, "http://www.Example.com:80/a?b#c", "x")], "page_id long, url string, html string"), f"{tmp_path}/p")
+    assert made.first()["path"].startswith("file:/")
+    assert [warc_zip.index_key(u) for u in ("http://www.Example.com:80/a?b#c", None, "", "x.y", "data:{")] == ["com,example)/a?b", ")/", ")/", "y,x)/", "data):%7B"]
+
+
 def test_zip64_directory():
     for wide in (False, True):
         out = io.BytesIO()
