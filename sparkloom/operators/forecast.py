@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULT, Config
 from sparkloom.operators import timeseries as TS
+from sparkloom.operators.trees import Trees, from_spark
 
 METRICS = ("mae", "rmse", "smape", "mape")
 BASELINES = ("naive", "snaive")
@@ -103,53 +105,75 @@ def _calendar(ts) -> list:
     return [F.month(ts).alias("month"), F.weekday(ts).alias("weekday"), F.hour(ts).alias("hour"), F.dayofyear(ts).alias("yearday")]
 
 
+_PARTS = ("month", "weekday", "hour", "yearday")
+
+
+def roll(trees: Trees, lags: list[int], widths: list[int], tails: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Forecasts of several series side by side, step by step: each feeds the lags of later ones. tails: the last values by series; parts: calendar parts by series and step."""
+    y = np.array(tails, dtype=float)
+    for step in range(parts.shape[1]):
+        x = np.column_stack([*[y[:, -k] for k in lags], *[y[:, -w:].mean(axis=1) for w in widths], parts[:, step]])
+        y = np.column_stack([y, trees.predict(x)[:, 0]])
+    return y[:, len(tails[0]) :]
+
+
 class LagModel:
     """Gradient-boosted trees on lags, rolling means and calendar, applied recursively.
 
-    The recursion runs on the driver over one model of a bounded series, one small
-    prediction per period; fitting is distributed.
+    Fitting is distributed. The fitted trees are arrays that go to the tasks once, and a
+    task rolls whole series forward.
     """
 
     def __init__(self, season: int | None, trees: int = 300, depth: int = 4, rate: float = 0.05):
         self.lags, self.widths = TS.lag_names(season)
-        self.trees, self.depth, self.rate = trees, depth, rate
-        self.inputs = [*(f"lag_{k}" for k in self.lags), *(f"mean_{w}" for w in self.widths), "month", "weekday", "hour", "yearday"]
+        self.n_trees, self.depth, self.rate = trees, depth, rate
+        self.inputs = [*(f"lag_{k}" for k in self.lags), *(f"mean_{w}" for w in self.widths), *_PARTS]
 
     def fit(self, series: DataFrame) -> LagModel:
-        rows = TS.lag_features(series.select("ts", "y"), self.lags, self.widths).dropna().select("y", *[F.col(c) for c in self.inputs[:-4]], *_calendar(F.col("ts")))
-        if rows.count() < 20:
-            raise ValueError("fewer than 20 rows with all lags")
-        data = VectorAssembler(inputCols=self.inputs, outputCol="features").transform(rows).select("y", "features")
-        self.model = GBTRegressor(labelCol="y", maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, seed=42).fit(data)
-        keep = max(*self.lags, *self.widths)
-        self.tail = [r["y"] for r in series.orderBy(F.desc("ts")).limit(keep).select("y").collect()][::-1]
+        rows = TS.lag_features(series.select("ts", "y"), self.lags, self.widths).dropna().select("y", *[F.col(c) for c in self.inputs[:-4]], *_calendar(F.col("ts"))).persist()
+        try:
+            if rows.count() < 20:
+                raise ValueError("fewer than 20 rows with all lags")
+            data = VectorAssembler(inputCols=self.inputs, outputCol="features").transform(rows).select("y", "features")
+            model = GBTRegressor(labelCol="y", maxIter=self.n_trees, maxDepth=self.depth, stepSize=self.rate, seed=42).fit(data)
+        finally:
+            rows.unpersist()
+        self.weights = dict(zip(self.inputs, map(float, model.featureImportances.toArray())))
+        self.trees = from_spark(model, series.sparkSession)
+        self.tail = [r["y"] for r in series.orderBy(F.desc("ts")).limit(max(*self.lags, *self.widths)).select("y").collect()][::-1]
         return self
 
     def importances(self) -> dict[str, float]:
-        return dict(zip(self.inputs, map(float, self.model.featureImportances.toArray())))
+        """The share of each input in what the splits gain, the largest first."""
+        return dict(sorted(self.weights.items(), key=lambda x: (-x[1], x[0])))
 
     def forecast(self, stamps: DataFrame) -> DataFrame:
-        """(step, ts, y) for stamps (step, ts); predictions feed the lags of later steps."""
-        from pyspark.ml.linalg import Vectors
+        """(step, ts, y) for stamps (step, ts), at most 1000 periods a series; predictions feed the lags of later steps."""
+        shared = stamps.sparkSession.sparkContext.broadcast((self.trees, self.lags, self.widths, self.tail))
 
-        rows = stamps.select("step", "ts", *_calendar(F.col("ts"))).orderBy("step").collect()
-        y, out = list(self.tail), []
-        for r in rows:
-            x = [y[-k] for k in self.lags] + [float(np.mean(y[-w:])) for w in self.widths] + [float(r[c]) for c in ("month", "weekday", "hour", "yearday")]
-            y.append(float(self.model.predict(Vectors.dense(x))))
-            out.append((r["step"], r["ts"], y[-1]))
-        return stamps.sparkSession.createDataFrame(out, "step int, ts timestamp_ntz, y double")
+        def run(batches):
+            for batch in batches:
+                trees, lags, widths, tail = shared.value
+                parts = np.array([[[p[c] for c in _PARTS] for p in own] for own in batch.column("ahead").to_pylist()], float)
+                values = roll(trees, lags, widths, np.repeat([tail], len(parts), axis=0), parts)
+                yield pa.RecordBatch.from_arrays([batch.column("ahead"), pa.array(list(values), pa.list_(pa.float64()))], names=["ahead", "values"])
 
+        part = F.struct("step", "ts", *_calendar(F.col("ts")))
+        ahead = stamps.groupBy(F.lit(0).alias("series")).agg(F.array_sort(F.collect_list(part)).alias("ahead")).select("ahead")
+        rolled = ahead.mapInArrow(run, f"ahead {ahead.schema['ahead'].dataType.simpleString()}, values array<double>")
+        return rolled.select(F.explode(F.arrays_zip("ahead", "values")).alias("r")).select("r.ahead.step", "r.ahead.ts", F.col("r.values").alias("y"))
 
-def run_model(key: str, series: DataFrame, freq: str, periods: int, season: int | None, trees: int = 300) -> DataFrame:
+
+def run_model(key: str, series: DataFrame, freq: str, periods: int, season: int | None, trees: int = 300, lag_model: LagModel | None = None) -> DataFrame:
+    """(step, ts, y) of one model; lag_model is one that was fitted on the series."""
+    if key == "lag_gbt":
+        return (lag_model or LagModel(season, trees).fit(series)).forecast(future_stamps(series, freq, periods))
     if key == "naive":
         return naive(series, freq, periods)
     if key == "snaive":
         return seasonal_naive(series, freq, periods, season)
     if key == "ets":
         return ets(series, freq, periods, season)
-    if key == "lag_gbt":
-        return LagModel(season, trees).fit(series).forecast(future_stamps(series, freq, periods))
     raise ValueError(f"unknown model {key}")
 
 
@@ -177,9 +201,14 @@ def train(df: DataFrame, ts: str, y: str, primary: str = "rmse", season: int | N
     found, strength = (season, None) if season else TS.detect_season(series, info["freq"], n)
     parts = TS.chrono_split(series, n, cfg).persist()
 
+    lag_model = None
+
     def score(key: str, upto: int, to: int) -> dict:
+        nonlocal lag_model
         known, ahead = parts.where(F.col("pos") < upto).select("ts", "y"), parts.where((F.col("pos") >= upto) & (F.col("pos") < to))
-        guess = run_model(key, known, info["freq"], to - upto, found, trees).select("ts", F.col("y").alias("p"))
+        if key == "lag_gbt":
+            lag_model = LagModel(found, trees).fit(known)
+        guess = run_model(key, known, info["freq"], to - upto, found, trees, lag_model).select("ts", F.col("y").alias("p"))
         return metrics(ahead.join(guess, "ts")).first().asDict()
 
     board = []
@@ -191,6 +220,8 @@ def train(df: DataFrame, ts: str, y: str, primary: str = "rmse", season: int | N
             row = {"key": key, "baseline": key in BASELINES, "status": "ok", "validation": score(key, a, b), "test": score(key, b, n)}
         except Exception as e:  # one model's failure is a row of the result
             row = {"key": key, "baseline": key in BASELINES, "status": "failed", "error": str(e)[:200]}
+        if key == "lag_gbt" and row["status"] == "ok":
+            row["importances"] = lag_model.importances()
         board.append(row | {"seconds": time.time() - began})
     ok = [r for r in board if r["status"] == "ok" and r["validation"][primary] is not None]
     able = [r for r in ok if not r["baseline"]]
