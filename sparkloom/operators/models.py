@@ -94,21 +94,19 @@ def families(s: Settings, n_classes: int, weighted: bool, n_train: int) -> dict[
     return {k: v for k, v in every.items() if k in s.models}
 
 
-def _fit(key: str, est, linear: bool, train: DataFrame, numeric: list[str], categorical: list[str], classes: list[str] | None) -> Fitted:
+def _fit(key: str, est, train: DataFrame, prep: FE.Preprocessor | None, classes: list[str] | None) -> Fitted:
     if key == "dummy":
         if classes is None:
             return Fitted(key, None, train.agg(F.avg("label")).first()[0], None)
         counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
         total = sum(counts.values())
         return Fitted(key, None, [counts.get(float(k), 0) / total for k in range(len(classes))], classes)
-    prep = FE.Preprocessor(linear).fit(train, numeric, categorical)
     data = VectorAssembler(inputCols=prep.inputs, outputCol="features", handleInvalid="keep").transform(prep.transform(train))
     return Fitted(key, prep, est.fit(data.select("features", "label", *[c for c in ("weight",) if c in data.columns])), classes)
 
 
-def _fit_boosted(key: str, settings: Boosting, linear: bool, parts: list[DataFrame], numeric: list[str], categorical: list[str], classes: list[str] | None, row_key: str) -> list[Fitted]:
+def _fit_boosted(key: str, settings: Boosting, parts: list[DataFrame], preps: list[FE.Preprocessor], classes: list[str] | None, row_key: str) -> list[Fitted]:
     """One ensemble for each part, grown together. Each part is prepared by its own statistics."""
-    preps = [FE.Preprocessor(linear).fit(rows, numeric, categorical) for rows in parts]
     stacked = None
     for k, (prep, rows) in enumerate(zip(preps, parts)):
         made = prep.transform(rows)
@@ -118,6 +116,20 @@ def _fit_boosted(key: str, settings: Boosting, linear: bool, parts: list[DataFra
     return [Fitted(key, prep, Boosted(trees, settings.classes), classes) for prep, trees in zip(preps, boost(stacked, len(parts), settings))]
 
 
+def score_each(fits: list[Fitted], parts: list[DataFrame]) -> list[dict[str, float | None]]:
+    """All metrics of each model on its own rows, from the same jobs."""
+    out = None
+    for k, (fitted, rows) in enumerate(zip(fits, parts)):
+        own = fitted.predict(rows).select(F.lit(k).alias("group"), F.col("label").alias("y"), F.col("p").cast("double").alias("p"), *(["proba"] if fitted.classes else []))
+        out = own if out is None else out.unionByName(own)
+    out = out.persist()
+    try:
+        found = M.by_group(out, len(fits[0].classes) if fits[0].classes else None)
+    finally:
+        out.unpersist()
+    return [found[k] for k in range(len(fits))]
+
+
 def score(fitted: Fitted, rows: DataFrame) -> dict[str, float | None]:
     """All metrics of a model on rows with a label."""
     out = fitted.predict(rows).select(F.col("label").alias("y"), "p", *(["proba"] if fitted.classes else [])).persist()
@@ -207,22 +219,30 @@ def train(df: DataFrame, columns: list[str], s: Settings, cfg: Config = DEFAULT)
     folds = max(2, min(asked, *counts.values()) if classes else asked)
     dealt = FE.kfold(train_rows, s.key, "label" if classes else None, folds, cfg.random_state).persist()
 
+    parts = [*[dealt.where(F.col("fold") != k).drop("fold") for k in range(folds)], dealt.drop("fold")]  # each fold's training rows, and all
+    known_preps: dict[bool, list[FE.Preprocessor]] = {}
+
+    def prepared(linear: bool) -> list[FE.Preprocessor]:
+        """What each part's rows say, fitted once for linear models and once for trees."""
+        if linear not in known_preps:
+            known_preps[linear] = [FE.Preprocessor(linear).fit(rows, numeric, categorical) for rows in parts]
+        return known_preps[linear]
+
     board, fitted = [], {}
     candidates = {"dummy": (None, False), **families(s, len(classes or []), imbalanced, sizes["train"])}
     for key, (est, linear) in candidates.items():
         row: dict = {"key": key, "status": "ok"}
         try:
-            parts = [*[dealt.where(F.col("fold") != k).drop("fold") for k in range(folds)], dealt.drop("fold")]
             began = time.time()
+            preps = prepared(linear) if est is not None else [None] * len(parts)
             if isinstance(est, Boosting):  # the folds and the final fit in the same jobs
-                fits = _fit_boosted(key, est, linear, parts, numeric, categorical, classes, s.key)
+                fits = _fit_boosted(key, est, parts, preps, classes, s.key)
             else:
-                fits = [_fit(key, est, linear, rows, numeric, categorical, classes) for rows in parts]
+                fits = [_fit(key, est, rows, prep, classes) for rows, prep in zip(parts, preps)]
             row["train_time_s"] = time.time() - began  # of all folds and the final fit
-            runs = [score(own, dealt.where(F.col("fold") == k).drop("fold")) for k, own in enumerate(fits[:-1])]
+            *runs, row["test"] = score_each([*fits], [*[dealt.where(F.col("fold") == k).drop("fold") for k in range(folds)], test_rows])
             row["cv"] = {m: {"mean": fmean(r[m] for r in runs), "std": pstdev(r[m] for r in runs)} for m in allowed if all(r[m] is not None for r in runs)}
             fitted[key] = fits[-1]
-            row["test"] = score(fitted[key], test_rows)
             row["primary_cv"], row["primary_cv_std"] = row["cv"][primary]["mean"], row["cv"][primary]["std"]
         except Exception as e:  # one model's failure is a row of the result
             row |= {"status": "failed", "error": f"{type(e).__name__}: {e}"[:300]}
