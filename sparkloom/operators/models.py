@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.config import DEFAULT, Config
 from sparkloom.operators import features as FE
@@ -279,25 +280,30 @@ def predict(result: Result, rows: DataFrame, key: str | None = None) -> DataFram
 def permutation_importance(result: Result, repeats: int = 5, rows: int = 500, seed: int = 42) -> DataFrame:
     """(feature, importance, std): how much the primary metric falls when a column of at most `rows` test rows is dealt anew.
 
-    The rows are a stated sample for explanation; a column is shuffled by joining on two
-    orders of the sample.
+    The rows are a stated sample for explanation. Each repeat deals its rows by an order of
+    its own; every row takes, for each column, that column's value from the row dealt to it.
+    All columns and repeats are predicted and scored as groups of one table.
     """
     spark = result.test.sparkSession
     base = result.test.orderBy(F.xxhash64(*result.test.columns, F.lit(seed))).limit(rows).persist()
+    names, columns = [*result.numeric, *result.categorical], base.columns
     sign = -1 if result.primary in LOWER_IS_BETTER else 1
-    start = score(result.model, base)[result.primary]
-    from pyspark.sql.window import Window
-
-    out = []
-    for c in [*result.numeric, *result.categorical]:
-        falls = []
-        for k in range(repeats):
-            left = base.withColumn("_k", F.row_number().over(Window.orderBy(F.xxhash64(*base.columns, F.lit(seed)))))
-            right = base.select(F.col(f"`{c}`").alias("_v"), F.row_number().over(Window.orderBy(F.xxhash64(*base.columns, F.lit(seed + 1 + k)))).alias("_k"))
-            mixed = left.join(right, "_k").withColumn(c, F.col("_v")).drop("_k", "_v")
-            falls.append(sign * (start - score(result.model, mixed)[result.primary]))
-        out.append((c, fmean(falls), pstdev(falls)))
-    return spark.createDataFrame(out, "feature string, importance double, std double").orderBy(F.desc("importance"), "feature")
+    place = F.row_number()
+    left = base.withColumn("_k", place.over(Window.orderBy(F.xxhash64(*columns, F.lit(seed)))))  # `rows` rows
+    dealt = base.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_r"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_repeat"))
+    dealt = dealt.withColumn("_k", place.over(Window.partitionBy("_repeat").orderBy(F.xxhash64("_r", F.lit(seed + 1) + F.col("_repeat")))))
+    mixed = left.join(dealt, "_k").withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
+    taken = lambda c: F.when(F.col("_f") == names.index(c), F.col("_r").getField(c)).otherwise(F.col(f"`{c}`")).alias(c) if c in names else F.col(f"`{c}`")
+    every = base.withColumn("_group", F.lit(0)).unionByName(mixed.select(*map(taken, columns), (F.col("_f") * repeats + F.col("_repeat") + 1).alias("_group")))
+    out = result.model.predict(every).select(F.col("_group").alias("group"), F.col("label").alias("y"), F.col("p").cast("double").alias("p"), *(["proba"] if result.classes else [])).persist()
+    try:
+        found = M.by_group(out, len(result.classes) if result.classes else None)
+    finally:
+        out.unpersist()
+        base.unpersist()
+    start = found[0][result.primary]
+    falls = {c: [sign * (start - found[k * repeats + r + 1][result.primary]) for r in range(repeats)] for k, c in enumerate(names)}
+    return spark.createDataFrame([(c, fmean(f), pstdev(f)) for c, f in falls.items()], "feature string, importance double, std double").orderBy(F.desc("importance"), "feature")
 
 
 def linear_effects(result: Result, spark: SparkSession, key: str, top: int = 20) -> DataFrame:
@@ -371,8 +377,6 @@ def tree_shap(result: Result, key: str, rows: int = 100, top: int = 20) -> DataF
 
 def beeswarm(result: Result, key: str, rows: int = 100) -> DataFrame:
     """(row, feature, shap, level): Shapley values for a beeswarm plot; level is the share of the sample's values of the column that are not larger, null where it is no number."""
-    from pyspark.sql.window import Window
-
     by_value = Window.partitionBy("feature").orderBy("value")  # `rows` values a feature
     return shap_values(result, key, rows).withColumn("level", F.when(F.col("value").isNotNull(), F.cume_dist().over(by_value))).drop("value")
 
