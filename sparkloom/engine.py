@@ -72,7 +72,7 @@ class Dataset:
             out["numeric"] = _rows(stats.numeric_summary(df, numeric).join(stats.outliers(df, numeric), "column", "left"))
             out["histograms"] = {c: _rows(stats.histogram(df, c)) for c in numeric}
             out["kde"] = {c: _rows(stats.kde(df, c)) for c in numeric}
-            out["normality"] = {c: _rows(normality.shapiro(df, c, key=ROW_ID)) for c in numeric}
+            out["normality"] = {c: _rows(normality.shapiro(df, c)) for c in numeric}
             some, out["correlation_limit"] = association.limited(numeric, self.engine.cfg.corr_max_cols)
             if len(some) > 1:
                 out["pearson"], out["spearman"] = _rows(association.pearson(df, some)), _rows(association.spearman_matrix(df, some))

@@ -1,4 +1,9 @@
-"""Shapiro-Wilk test of normality on a bounded sample."""
+"""Shapiro-Wilk test of normality over all rows.
+
+The statistic needs for each value the sum of normal scores over the ranks it takes. Ranks
+of distinct values come from ranges (`cumulative`), a value that takes very many ranks is
+dealt out in pieces, and the scores are added up where they lie.
+"""
 
 from __future__ import annotations
 
@@ -6,30 +11,34 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.common import finite
+from sparkloom.operators.common import cumulative, finite
 
-#: Rows the test takes at most; its p-value means little beyond.
-SAMPLE = 50_000
+#: Ranks whose scores are added up at a time.
+PIECE = 1 << 16
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """W and p by Royston's 1995 approximation, for 8 values or more."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    unit = NormalDist()
-    m = np.array([unit.inv_cdf((k - 0.375) / (n + 0.25)) for k in range(1, n + 1)])
-    ss, u = float(m @ m), 1 / math.sqrt(n)
-    c = m / math.sqrt(ss)
+def _scores(first: int, last: int, n: int) -> np.ndarray:
+    """Normal scores of ranks first .. last of n."""
+    cdf = NormalDist().inv_cdf
+    return np.array([cdf((k - 0.375) / (n + 0.25)) for k in range(first, last + 1)])
+
+
+def _ends(n: int, ss: float) -> tuple[float, float, float]:
+    """Weights of the last value and the one before, and the root that other scores are divided by. ss: the sum of squared scores."""
+    before, last = _scores(n - 1, n, n)
+    u = 1 / math.sqrt(n)
     # Coefficients of the published polynomials.
-    last = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, c[-1]], u)
-    before = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, c[-2]], u)
-    phi = (ss - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * before**2)
-    a = m / math.sqrt(phi)
-    a[-1], a[-2], a[0], a[1] = last, before, -last, -before
-    w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
+    a_last = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, last / math.sqrt(ss)], u)
+    a_before = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, before / math.sqrt(ss)], u)
+    phi = (ss - 2 * last**2 - 2 * before**2) / (1 - 2 * a_last**2 - 2 * a_before**2)
+    return float(a_last), float(a_before), math.sqrt(phi)
+
+
+def _p_value(w: float, n: int) -> float:
     if n <= 11:
         g = np.polyval([0.459, -2.273], n)
         mu, sigma = np.polyval([-0.0006714, 0.025054, -0.39978, 0.544], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
@@ -38,29 +47,56 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
         ln = math.log(n)
         mu, sigma = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], ln), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], ln))
         z = (math.log(max(1 - w, 1e-300)) - mu) / sigma
-    return w, 1 - unit.cdf(z)
+    return 1 - NormalDist().cdf(z)
 
 
-def shapiro(df: DataFrame, column: str, alpha: float = 0.05, key: str | None = None) -> DataFrame:
-    """One row (n, w, p, verdict) on at most SAMPLE rows, each chosen on its own; empty if the whole column has below 8 values or 3 distinct ones.
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """W and p by Royston's 1995 approximation, for 8 values or more."""
+    x = np.sort(np.asarray(values, dtype=float))
+    n = len(x)
+    m = _scores(1, n, n)
+    last, before, root = _ends(n, float(m @ m))
+    a = m / root
+    a[-1], a[-2], a[0], a[1] = last, before, -last, -before
+    w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
+    return w, _p_value(w, n)
+
+
+def shapiro(df: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
+    """One row (n, w, p, verdict) from all rows of a column; empty below 8 values or 3 distinct ones.
 
-    Rows are chosen by a hash of `key`, a column that tells rows apart, so the choice is the
-    same however the table is cut; without one, by a seeded random number. A sample without
-    spread from a column that has some gives w = 1 and p = 1. The verdict says only whether
-    normality is rejected.
+    The verdict says only whether normality is rejected. The approximation of p was made for
+    up to 5000 values; beyond, small departures are already rejected.
     """
     v = finite(F.col(f"`{column}`"))
-    order = F.rand(42) if key is None else F.xxhash64(F.col(f"`{key}`"), F.lit(42))
-    rows = df.where(v.isNotNull()).select(v.alias("v"), order.alias("h"), (F.lit(None) if key is None else F.col(f"`{key}`")).alias("k"))
-    chosen = rows.orderBy("h", "k", "v").limit(SAMPLE).select("v")
-    spread = rows.select("v").distinct().limit(3).agg((F.count("*") == 3).alias("spread"))
-
-    def test(pdf):
-        x = pdf["v"].to_numpy()
-        if len(x) < 8:
-            return pdf.iloc[:0].assign(n=0, w=0.0, p=0.0)[["n", "w", "p"]]
-        w, p = shapiro_wilk(x) if x.std() > 0 else (1.0, 1.0)
-        return type(pdf)({"n": [len(x)], "w": [w], "p": [p]})
-
-    found = chosen.groupBy(F.lit(0).alias("all")).applyInPandas(test, "n long, w double, p double").crossJoin(F.broadcast(spread)).where("spread").drop("spread")
-    return found.withColumn("verdict", F.when(F.col("p") < alpha, "normality rejected").otherwise("normality not rejected"))
+    counts = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("c"))
+    head = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("distinct"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")).first()
+    n, mean = head["n"], head["mean"]
+    schema = "n long, w double, p double, verdict string"
+    if n < 8 or head["distinct"] < 3:
+        return df.sparkSession.createDataFrame([], schema)
+
+    def added(batches):
+        for batch in batches:
+            sums = [[], []]
+            for first, last in zip(batch.column("first").to_pylist(), batch.column("last").to_pylist()):
+                m = _scores(first, last, n)
+                sums[0].append(float(m.sum()))
+                sums[1].append(float(m @ m))
+            yield pa.RecordBatch.from_arrays([batch.column("d"), *[pa.array(s, pa.float64()) for s in sums]], names=["d", "m", "mm"])
+
+    ranked = cumulative(counts, "v", ["c"])
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / PIECE).cast("long")))
+    pieces = ranked.select((F.col("v") - F.lit(mean)).alias("d"), "c", "before_c", piece.alias("k"))
+    pieces = pieces.select("d", (F.col("before_c") + F.col("k") * PIECE + 1).alias("first"), F.least(F.col("before_c") + F.col("c"), F.col("before_c") + (F.col("k") + 1) * PIECE).alias("last"))
+    sums = pieces.repartition(F.xxhash64("d", "first")).mapInArrow(added, "d double, m double, mm double").agg(F.sum(F.col("d") * F.col("m")).alias("dm"), F.sum("mm").alias("ss")).first()
+    spread = counts.agg(F.sum(F.col("c") * (F.col("v") - F.lit(mean)) * (F.col("v") - F.lit(mean))).alias("s")).first()["s"]
+    at_end = lambda order: [r["v"] - mean for r in counts.orderBy(order).limit(2).collect() for _ in range(min(r["c"], 2))][:2]
+    low, high = at_end(F.asc("v")), at_end(F.desc("v"))
+    last, before, root = _ends(n, sums["ss"])
+    m_before, m_last = _scores(n - 1, n, n)
+    # The four outermost values have weights of their own.
+    b = sums["dm"] / root + (last - m_last / root) * (high[0] - low[0]) + (before - m_before / root) * (high[1] - low[1])
+    w = min(1.0, b * b / spread)
+    p = _p_value(w, n)
+    return df.sparkSession.createDataFrame([(n, float(w), float(p), "normality rejected" if p < alpha else "normality not rejected")], schema)

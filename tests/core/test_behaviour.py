@@ -226,20 +226,22 @@ def test_shapiro(spark):
     assert shapiro(df, "e").first()["verdict"] == "normality rejected" and shapiro(df.limit(3), "e").count() == 0
 
 
-def test_shapiro_samples_rows(spark, monkeypatch):
-    """Repeated values stand in the sample as often as in the table, above SAMPLE rows."""
-    monkeypatch.setattr("sparkloom.operators.normality.SAMPLE", 500)
+def test_shapiro_over_all_rows(spark, monkeypatch):
+    """Equal to the plain formula with ties, hot values and values dealt out in pieces, however the table is cut."""
+    monkeypatch.setattr("sparkloom.operators.normality.PIECE", 100)
     rng = np.random.default_rng(4)
     few = rng.binomial(2, 0.5, size=4000).astype(float)
     hot = np.where(rng.random(4000) < 1 / 3, 0.0, rng.normal(5, 1, size=4000))
     rare = np.array([0.0] * 3998 + [1.0, 2.0])
-    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(zip(few, hot, rare))], "id long, few double, hot double, rare double")
-    for column, values in (("few", few), ("hot", hot)):
-        for key in ("id", None):
-            r = shapiro(df, column, key=key).first()
-            assert r["n"] == 500 and abs(r["w"] - shapiro_wilk(values)[0]) < 0.03, (column, key)
-        assert shapiro(df.repartition(5), column, key="id").first()["w"] == pytest.approx(shapiro(df, column, key="id").first()["w"], abs=1e-12)
-    assert shapiro(df, "rare", key="id").count() == 1 and shapiro(df.where("rare < 2"), "rare", key="id").count() == 0
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(zip(few, hot, rare, rng.normal(size=4000)))], "id long, few double, hot double, rare double, plain double")
+    for column, values in (("few", few), ("hot", hot), ("rare", rare)):
+        r, (w, p) = shapiro(df, column).first(), shapiro_wilk(values)
+        assert r["n"] == 4000 and abs(r["w"] - w) < 1e-9 and abs(r["p"] - p) < 1e-6, column
+    assert shapiro(df.repartition(5), "plain").first()["verdict"] == "normality not rejected" and shapiro(df.where("rare < 2"), "rare").count() == 0
+    for n in (8, 9, 11, 12, 30):
+        own = df.limit(n).persist()
+        values = [r["hot"] for r in own.select("hot").collect()]
+        assert abs(shapiro(own, "hot").first()["w"] - shapiro_wilk(np.array(values))[0]) < 1e-9
 
 
 def test_uploads(spark, tmp_path):

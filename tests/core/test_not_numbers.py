@@ -48,7 +48,7 @@ def test_summary(tables, exact):
 
 @pytest.mark.parametrize("measure", [
     lambda t: stats.outliers(t, ["x", "y", "z"]), lambda t: stats.histogram(t, "x"), lambda t: stats.kde(t, "x"), lambda t: A.pearson(t, ["x", "y", "z"]), lambda t: A.spearman(t, "x", "z"), lambda t: A.spearman_matrix(t, ["x", "y", "z"]),
-    lambda t: A.high_pairs(t, ["x", "y", "z"]), lambda t: A.correlation_ratio(t, "c", "x"), lambda t: common.mean_ranks(t, "z"), lambda t: common.cumulative(common.mean_ranks(t, "z"), "value", ["n"]), lambda t: normality.shapiro(t, "x", key="id"),
+    lambda t: A.high_pairs(t, ["x", "y", "z"]), lambda t: A.correlation_ratio(t, "c", "x"), lambda t: common.mean_ranks(t, "z"), lambda t: common.cumulative(common.mean_ranks(t, "z"), "value", ["n"]), lambda t: normality.shapiro(t, "x"),
     lambda t: quality.missing_columns(t), lambda t: quality.missing_per_row(t, "id"), lambda t: quality.missing_totals(t, "id"), lambda t: features.expand_features(t, features.make_spec(t, ["x", "z", "c"]), ["id"]),
 ])
 def test_as_if_null(tables, measure):
