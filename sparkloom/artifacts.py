@@ -1,4 +1,4 @@
-"""Trained models on disk: Spark ML models, what their preprocessing learned, and the held-out rows."""
+"""Trained models on disk: models, what their preprocessing learned, the held-out rows, and series with what forecasts them."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import features as FE
+from sparkloom.operators import forecast as FC
 from sparkloom.operators import models as MO
 from sparkloom.operators.boosting import Boosted
 
@@ -63,6 +64,28 @@ def load(spark: SparkSession, folder: str) -> MO.Result:
     return MO.Result(fitted=fitted, spec=[FE.Field(**f) for f in doc["spec"]], test=spark.read.parquet(f"{folder}/test"), **{k: doc[k] for k in _PLAIN})
 
 
+def save_forecast(result: dict, folder: str) -> None:
+    """Writes what later forecasts need: the regular series, what is known of it, and the lag model where it leads."""
+    series, model = result["series"], result["lag_model"]
+    spark = series.sparkSession
+    series.write.mode("overwrite").parquet(f"{folder}/series")
+    doc = {k: result[k] for k in ("leader", "season", "info", "trees", "models", "split")}
+    if model is not None:
+        Boosted(model.trees, 0).save(spark, f"{folder}/lag")
+        doc["lag_model"] = {"season": result["season"], "n_trees": model.n_trees, "depth": model.depth, "rate": model.rate, "tail": model.tail, "weights": model.weights}
+    spark.createDataFrame([(json.dumps(doc, default=str),)], "doc string").coalesce(1).write.mode("overwrite").text(f"{folder}/result")  # last: a result that can be read is whole
+
+
+def load_forecast(spark: SparkSession, folder: str) -> dict:
+    """What save_forecast() wrote, as far as later forecasts need it."""
+    doc = json.loads(spark.read.text(f"{folder}/result", wholetext=True).first()["value"])
+    model, found = None, doc.pop("lag_model", None)
+    if found:
+        model = FC.LagModel(found["season"], found["n_trees"], found["depth"], found["rate"])
+        model.trees, model.tail, model.weights = Boosted.load(f"{folder}/lag").trees, found["tail"], found["weights"]
+    return {**doc, "series": spark.read.parquet(f"{folder}/series"), "lag_model": model}
+
+
 def diagnostics(result: MO.Result, key: str | None = None, points: int = 120) -> dict[str, list[dict]]:
     """What the held-out rows say of a model: metrics, and confusion, report and curves of at most `points` points, or the histogram of residuals."""
     from sparkloom.operators import metrics as M

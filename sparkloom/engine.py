@@ -176,6 +176,7 @@ class Engine:
         self._status(doc, "running")
         try:
             r = forecast.train(dataset.frame, ts, y, cfg=self.cfg, **settings)
+            artifacts.save_forecast(r, self._model_path(doc["id"]))
             self.results[doc["id"]] = r
             primary = settings.get("primary", "rmse")
             leader = next(m for m in r["models"] if m["key"] == r["leader"])
@@ -196,9 +197,8 @@ class Engine:
         if doc["status"] != "completed":
             raise ValueError("no completed run with a model")
         if experiment_id not in self.results:
-            if "schema" not in doc["results"]:
-                raise ValueError("forecasts are kept in their process only; train again")
-            self.results[experiment_id] = artifacts.load(self.spark, self._model_path(experiment_id))
+            read = artifacts.load if "schema" in doc["results"] else artifacts.load_forecast
+            self.results[experiment_id] = read(self.spark, self._model_path(experiment_id))
         return self.results[experiment_id]
 
     def _model_path(self, experiment_id: str) -> str:
@@ -274,7 +274,7 @@ class Engine:
 
     def future(self, experiment_id: str, periods: int, key: str | None = None) -> DataFrame:
         r = self._completed(experiment_id)
-        return forecast.run_model(key or r["leader"], r["series"], r["info"]["freq"], periods, r["season"])
+        return forecast.future(r, periods, key)
 
     def _mirror(self, doc: dict) -> None:
         """Logs a run to MLflow where it is set up; never fails a run."""

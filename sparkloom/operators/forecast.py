@@ -164,6 +164,12 @@ class LagModel:
         return rolled.select(F.explode(F.arrays_zip("ahead", "values")).alias("r")).select("r.ahead.step", "r.ahead.ts", F.col("r.values").alias("y"))
 
 
+def future(result: dict, periods: int, key: str | None = None) -> DataFrame:
+    """(step, ts, y) after a training run's series, by its leader or another model."""
+    key = key or result["leader"]
+    return run_model(key, result["series"], result["info"]["freq"], periods, result["season"], result["trees"], result["lag_model"])
+
+
 def run_model(key: str, series: DataFrame, freq: str, periods: int, season: int | None, trees: int = 300, lag_model: LagModel | None = None) -> DataFrame:
     """(step, ts, y) of one model; lag_model is one that was fitted on the series."""
     if key == "lag_gbt":
@@ -229,8 +235,9 @@ def train(df: DataFrame, ts: str, y: str, primary: str = "rmse", season: int | N
         raise ValueError("no model could be fitted and scored")
     leader = min(able, key=lambda r: r["validation"][primary])
     base = min((r["test"][primary] for r in ok if r["baseline"] and r["test"][primary] is not None), default=None)
-    ahead = run_model(leader["key"], series, info["freq"], horizon, found, trees)
+    final = LagModel(found, trees).fit(series) if leader["key"] == "lag_gbt" else None
+    ahead = run_model(leader["key"], series, info["freq"], horizon, found, trees, final)
     return {
         "models": board, "leader": leader["key"], "beats_baseline": base is not None and leader["test"][primary] < base, "improvement_pct": (base - leader["test"][primary]) / base * 100 if base else None,
-        "season": found, "season_acf": strength, "info": info, "split": (a, b, n), "future": ahead, "series": series,
+        "season": found, "season_acf": strength, "info": info, "split": (a, b, n), "future": ahead, "series": series, "trees": trees, "lag_model": final,
     }

@@ -41,3 +41,23 @@ def test_leaderboard_reports_importances(spark):
     r = FC.train(series(spark, 200).withColumnRenamed("ts", "date"), "date", "y", season=7, horizon=5, trees=4, keys=("naive", "lag_gbt"))
     row = next(m for m in r["models"] if m["key"] == "lag_gbt")
     assert row["status"] == "ok" and abs(sum(row["importances"].values()) - 1) < 1e-9 and r["future"].count() == 5
+
+
+def test_another_process_forecasts_from_a_stored_run(spark, tmp_path):
+    """An engine over the same folder goes on from what the first one saved, with the leader's model or another."""
+    import csv
+
+    from sparkloom.engine import Engine
+
+    rows = [(str(r["ts"])[:10], f"{r['y']:.3f}") for r in series(spark, 160).orderBy("ts").collect()]
+    with open(tmp_path / "s.csv", "w", newline="") as f:
+        csv.writer(f).writerows([("day", "sales"), *rows])
+    engine = Engine(spark, tmp_path / "store")
+    for keys in (("naive", "lag_gbt"), ("naive", "ets")):
+        doc = engine.forecast(engine.ingest(str(tmp_path / "s.csv")), "day", "sales", season=7, horizon=4, trees=4, keys=keys)
+        assert doc["status"] == "completed", doc.get("error")
+        again = Engine(spark, tmp_path / "store")
+        for key in (None, "naive"):
+            first, later = ([tuple(r) for r in e.future(doc["id"], 9, key).orderBy("step").collect()] for e in (engine, again))
+            assert first == later and len(first) == 9
+        assert [r[2] for r in first] == [first[0][2]] * 9  # naive
