@@ -143,11 +143,18 @@ def one_hot(df: DataFrame, column: str, levels: list[str], rare: list[str]) -> D
     return df.withColumns(out)
 
 
+#: Classes that a target may have.
+MAX_CLASSES = 1000
+
+
 def label_classes(df: DataFrame, target: str) -> list[str]:
-    """Class names in order; a target has few."""
-    names = [r["v"] for r in df.where(F.col(f"`{target}`").isNotNull()).groupBy(F.col(f"`{target}`").cast("string").alias("v")).agg(F.count("*").alias("n")).orderBy("v").collect()]
+    """Class names in order; a target of one class or of more than MAX_CLASSES is refused before its classes are gathered."""
+    counts = df.where(F.col(f"`{target}`").isNotNull()).groupBy(F.col(f"`{target}`").cast("string").alias("v")).agg(F.count("*").alias("n"))
+    names = [r["v"] for r in counts.orderBy("v").limit(MAX_CLASSES + 1).collect()]
     if len(names) < 2:
         raise ValueError("the target has one class only")
+    if len(names) > MAX_CLASSES:
+        raise ValueError(f"the target has more than {MAX_CLASSES} classes")
     return names
 
 

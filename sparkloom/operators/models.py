@@ -52,6 +52,21 @@ class Settings:
     gbt_depth: int = 5
     gbt_rate: float = 0.08
 
+    def check(self) -> None:
+        """Raises ValueError for sizes that no model can have."""
+        if self.problem not in ("classification", "regression"):
+            raise ValueError("the problem is classification or regression")
+        if self.folds is not None and not 2 <= self.folds <= 20:
+            raise ValueError("folds are 2 to 20")
+        if unknown := set(self.models) - {"logreg", "linear", "rf", "gbt"}:
+            raise ValueError(f"unknown models: {', '.join(sorted(unknown))}")
+        if min(self.rf_trees, self.gbt_trees, self.rf_leaf) < 1 or max(self.rf_trees, self.gbt_trees) > 5000:
+            raise ValueError("trees are 1 to 5000, and a leaf has a row at least")
+        if not 1 <= min(self.rf_depth, self.gbt_depth) <= max(self.rf_depth, self.gbt_depth) <= 30 or self.gbt_depth > 12:
+            raise ValueError("forests are 1 to 30 levels deep, boosted trees 1 to 12")
+        if not 0 < self.gbt_rate <= 1 or not self.regularisation > 0:
+            raise ValueError("the learning rate is above 0 and at most 1, regularisation above 0")
+
 
 @dataclass
 class Fitted:
@@ -183,8 +198,7 @@ def train(df: DataFrame, columns: list[str], s: Settings, cfg: Config = DEFAULT)
     The leader has the best mean primary metric among models that are no baselines; a
     model that fails is recorded and the others go on.
     """
-    if s.problem not in ("classification", "regression"):
-        raise ValueError("the problem is classification or regression")
+    s.check()
     if s.target not in df.columns:
         raise ValueError(f"no column {s.target}")
     columns = [c for c in columns if c not in (s.target, s.key, *s.drop)]

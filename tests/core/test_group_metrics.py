@@ -42,3 +42,23 @@ def test_numbers(spark):
     for g in range(3):
         want = M.regression(df.where(F.col("group") == g)).first().asDict()
         assert got[g] == {k: None if v is None else pytest.approx(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("wrong", [{"problem": "x"}, {"folds": 1}, {"folds": 21}, {"models": ("rf", "svm")}, {"rf_trees": 0}, {"gbt_trees": 5001}, {"rf_leaf": 0}, {"rf_depth": 31}, {"gbt_depth": 0}, {"gbt_depth": 13}, {"gbt_rate": 0.0}, {"gbt_rate": float("nan")}, {"regularisation": 0.0}])
+def test_sizes_are_checked(wrong):
+    from sparkloom.operators.models import Settings
+
+    Settings("y", "regression", "id").check()
+    with pytest.raises(ValueError):
+        Settings(**{"target": "y", "problem": "regression", "key": "id"} | wrong).check()
+
+
+def test_classes_are_counted_before_they_are_gathered(spark, monkeypatch):
+    from sparkloom.operators import features
+
+    df = spark.range(30).selectExpr("cast(id % 6 as string) as y", "'a' as one")
+    assert features.label_classes(df, "y") == list("012345")
+    monkeypatch.setattr(features, "MAX_CLASSES", 5)
+    for column, match in (("y", "more than 5"), ("one", "one class")):
+        with pytest.raises(ValueError, match=match):
+            features.label_classes(df, column)
