@@ -52,7 +52,7 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document, learned outside fold 0 of 5."""
+    """Toxicity of every document, learned outside fold 0 of 5. Each row is scored by its own text; held_out is null for a null doc_id."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     grammar = ToxicityGrammar(folds=5, held_out=0)
     scored = grammar.score(docs, grammar.fit(docs, labels))
@@ -75,7 +75,7 @@ def op8_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of every document, learned outside fold 2 of 4."""
+    """Quality of every document, learned outside fold 2 of 4. Each row is scored by its own text; held_out is null for a null doc_id."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     ranking = QualityRanking(folds=4, held_out=2, at=0.7)
     scored = ranking.score(docs, ranking.fit(docs, labels))
