@@ -5,14 +5,15 @@ from __future__ import annotations
 import time
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.config import DEFAULT, Config
+from sparkloom.operators import smoothing as SM
 from sparkloom.operators import timeseries as TS
 from sparkloom.operators.trees import Trees, from_spark
 
@@ -20,16 +21,18 @@ METRICS = ("mae", "rmse", "smape", "mape")
 BASELINES = ("naive", "snaive")
 
 
-def future_stamps(series: DataFrame, freq: str, periods: int) -> DataFrame:
-    """(step, ts) of the periods after the last one."""
+def future_stamps(series: DataFrame, freq: str, periods: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """([by columns,] step, ts) of the periods after the last one, of each series."""
     if not 1 <= periods <= 1000:
         raise ValueError("periods must be 1 to 1000")
-    last = series.agg(F.max("ts").alias("last"))
+    keys = [F.col(f"`{c}`") for c in by]
+    last = series.groupBy(*keys).agg(F.max("ts").alias("last"))
     if freq == "B":
-        days = last.select("last", F.explode(F.sequence(F.lit(1), F.lit(periods * 2 + 4))).alias("k")).select(F.expr("last + make_interval(0, 0, 0, k)").cast("timestamp_ntz").alias("ts")).where(F.weekday("ts") < 5)
-        return TS.positions(days.withColumn("y", F.lit(0.0))).where(F.col("pos") < periods).select((F.col("pos") + 1).cast("int").alias("step"), "ts")
-    steps = last.select(F.posexplode(F.sequence(F.col("last"), F.col("last") + TS.interval(freq) * periods, TS.interval(freq))).alias("step", "ts"))
-    return steps.where("step > 0").select("step", "ts")
+        days = last.select(*keys, "last", F.explode(F.sequence(F.lit(1), F.lit(periods * 2 + 4))).alias("k")).select(*keys, F.expr("last + make_interval(0, 0, 0, k)").cast("timestamp_ntz").alias("ts")).where(F.weekday("ts") < 5)
+        step = F.row_number().over(Window.partitionBy(*keys).orderBy("ts"))  # 2 periods + 4 days a series
+        return days.select(*keys, step.alias("step"), "ts").where(F.col("step") <= periods)
+    steps = last.select(*keys, F.posexplode(F.sequence(F.col("last"), F.col("last") + TS.interval(freq) * periods, TS.interval(freq))).alias("step", "ts"))
+    return steps.where("step > 0").select(*keys, "step", "ts")
 
 
 def naive(series: DataFrame, freq: str, periods: int) -> DataFrame:
@@ -46,59 +49,20 @@ def seasonal_naive(series: DataFrame, freq: str, periods: int, season: int) -> D
     return ahead.join(F.broadcast(tail), "place").select("step", "ts", "y")
 
 
-def _smooth(y: np.ndarray, m: int, p: np.ndarray) -> tuple[float, float, float, np.ndarray]:
-    """Squared error of one-step forecasts, and the last level, trend and season."""
-    a, b, g, phi = p
-    level, trend = float(y[: max(m, 1)].mean()), 0.0
-    if m:
-        trend = float((y[m : 2 * m].mean() - y[:m].mean()) / m)
-    season = (y[:m] - level).copy() if m else np.zeros(1)
-    error = 0.0
-    for t, v in enumerate(y):
-        s = season[t % m] if m else 0.0
-        guess = level + phi * trend + s
-        error += (v - guess) ** 2
-        old = level
-        level = a * (v - s) + (1 - a) * (level + phi * trend)
-        trend = b * (level - old) + (1 - b) * phi * trend
-        if m:
-            season[t % m] = g * (v - level) + (1 - g) * s
-    return error, level, trend, season
-
-
-def holt_winters(y: np.ndarray, season: int | None, periods: int) -> np.ndarray:
-    """Damped additive trend, additive season where 2 m + 2 values allow; parameters by a coordinate search that halves its step."""
-    m = season if season and len(y) >= 2 * season + 2 else 0
-    p, step = np.array([0.3, 0.1, 0.1, 0.95]), 0.2
-    low, high = np.array([0.01, 0.0, 0.0, 0.8]), np.array([0.99, 0.99, 0.99, 0.98])
-    best = _smooth(y, m, p)[0]
-    while step > 0.01:
-        moved = False
-        for k in range(4 if m else 3):
-            k = k if m or k < 2 else 3
-            for sign in (1, -1):
-                q = p.copy()
-                q[k] = np.clip(q[k] + sign * step, low[k], high[k])
-                e = _smooth(y, m, q)[0]
-                if e < best - 1e-12:
-                    p, best, moved = q, e, True
-        if not moved:
-            step /= 2
-    _, level, trend, seasons = _smooth(y, m, p)
-    h = np.arange(1, periods + 1)
-    damp = np.cumsum(p[3] ** h)
-    return level + damp * trend + (seasons[(len(y) + h - 1) % m] if m else 0.0)
-
-
-def ets(series: DataFrame, freq: str, periods: int, season: int | None) -> DataFrame:
-    """(step, ts, y) by Holt-Winters. Each series is one group of at most max_periods rows; many series run side by side."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("ts")["y"].to_numpy(dtype=float)
-        return pd.DataFrame({"step": np.arange(1, periods + 1, dtype="int32"), "y": holt_winters(y, season, periods)})
-
-    values = series.groupBy(F.lit(0).alias("series")).applyInPandas(fit, "step int, y double")
-    return future_stamps(series, freq, periods).join(values, "step").select("step", "ts", "y")
+def ets(series: DataFrame, freq: str, periods: int, season: int | None, by: tuple[str, ...] = ()) -> DataFrame:
+    """([by columns,] step, ts, y) by Holt-Winters with damped additive trend, and additive season where 2 m + 2 values allow; see `smoothing`.
+
+    With `by`, a forecast for each of many series; they may end at different stamps.
+    """
+    values = SM.forecast(SM.fit(series, season, by), season, periods)
+    values = values.select(*[F.col(f"series.`{c}`").alias(c) for c in by], "step", "y")
+    stamps = future_stamps(series.where("y is not null"), freq, periods, by)
+    if not by:
+        return stamps.join(values, "step").select("step", "ts", "y")
+    same = F.col("a.step") == F.col("b.step")
+    for c in by:  # a series may be named by null
+        same &= F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))
+    return stamps.alias("a").join(values.alias("b"), same).select(*[F.col(f"a.`{c}`") for c in by], "a.step", "a.ts", "b.y")
 
 
 def _calendar(ts) -> list:

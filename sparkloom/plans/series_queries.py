@@ -149,6 +149,14 @@ def _(t):
     return FC.ets(full(t), "D", 30, 7)
 
 
+@query("fc_ets_many")
+def _(t):
+    """Monthly values of each order priority, as series side by side."""
+    o = t("orders")
+    monthly = o.groupBy("o_orderpriority", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("ts")).agg(F.avg("o_totalprice").alias("y"))
+    return FC.ets(monthly, "MS", 12, 12, ("o_orderpriority",))
+
+
 _LAG_MODELS: dict = {}
 
 
