@@ -3,8 +3,8 @@
 For given smoothing parameters every one-step error is linear in the start values (level,
 trend and season), so the best ones solve a least-squares problem: the recurrences run once
 over the values from a zero start, and once over zero values from each unit start, as
-columns of one array. A search over parameters deals chunks of (series, parameter rows) to
-tasks: first a grid, then neighbours of the best row with halving steps.
+columns of one array. Pieces of (series, grid of parameters) are dealt to tasks; then each
+series goes on from its best row to the best of the neighbours, with halving steps.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ BOUNDS = ((0.01, 0.99), (0.0, 0.99), (0.0, 0.99), (0.8, 0.98))
 GRID = ((0.02, 0.1, 0.2, 0.4, 0.65, 0.9), (0.0, 0.05, 0.2, 0.5), (0.0, 0.05, 0.2, 0.5), (0.8, 0.9, 0.98))
 #: Steps of the rounds after the grid, by parameter in proportion to its bounds' distance.
 STEPS = (0.1, 0.05, 0.025, 0.0125, 0.006)
-#: Parameter rows that a task tries at a time.
-CHUNK = 27
+#: Pieces that the grid is dealt to tasks in.
+CHUNKS = 8
 _BLOCK = 256
 
 
@@ -89,23 +89,47 @@ def _arrays(column) -> list[np.ndarray]:
     return [np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=float) for x in column]
 
 
-def _try(season: int | None, step: float, first: bool, chunks: int, schema: pa.Schema):
+def _best(y: np.ndarray, m: int, rows: np.ndarray) -> tuple[float, list[float]]:
+    total = sweep(y, m, rows)[0]
+    k = min(range(len(rows)), key=lambda i: (total[i], tuple(rows[i])))
+    return float(total[k]), rows[k].tolist()
+
+
+def _try_grid(season: int | None, names: list[str]):
+    """The best of each chunk of the grid."""
+
     def run(batches):
         for batch in batches:
-            series, errors, found = _arrays(batch.column("ys")), [], []
-            for k, (y, chunk) in enumerate(zip(series, batch.column("chunk").to_pylist())):
+            found = []
+            for y, chunk in zip(_arrays(batch.column("ys")), batch.column("chunk").to_pylist()):
                 m = seasonal(len(y), season)
-                own = candidates(m, None if first else np.array(batch.column("p")[k].as_py()), step)[chunk::chunks]
-                if len(own):
-                    total = sweep(_standard(y)[0], m, own)[0]
-                    best = min(range(len(own)), key=lambda i: (total[i], tuple(own[i])))
-                errors.append(float(total[best]) if len(own) else None)
-                found.append(own[best].tolist() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("series"), batch.column("ys"), pa.array(errors, pa.float64()), pa.array(found, pa.list_(pa.float64()))], schema=pa.schema([f.with_type(batch.schema.field(f.name).type) if f.name in ("series", "ys") else f for f in schema]))
+                rows = candidates(m, None, 0)[chunk::CHUNKS]
+                found.append(_best(_standard(y)[0], m, rows))
+            yield pa.RecordBatch.from_arrays([batch.column("series"), batch.column("ys"), *_columns(found)], names=names)
 
     return run
 
 
+def _refine(season: int | None, names: list[str]):
+    """From the best row of the grid to that of its neighbours, with smaller and smaller steps."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for y, p in zip(_arrays(batch.column("ys")), batch.column("p").to_pylist()):
+                m, y = seasonal(len(y), season), _standard(y)[0]
+                for step in STEPS:
+                    total, p = _best(y, m, candidates(m, np.array(p), step))
+                found.append((total, p))
+            yield pa.RecordBatch.from_arrays([batch.column("series"), batch.column("ys"), *_columns(found)], names=names)
+
+    return run
+
+
+def _columns(found: list) -> list:
+    return [pa.array([e for e, _ in found], pa.float64()), pa.array([p for _, p in found], pa.list_(pa.float64()))]
+
+
 def _ahead(season: int | None, periods: int):
     def run(batches):
         for batch in batches:
@@ -127,23 +151,17 @@ def fit(series: DataFrame, season: int | None, by: tuple[str, ...] = ()) -> Data
 
     series has ts, y and the columns `by` that tell series apart. Rows with null y or ts are
     left out; a series without values has no row. A series is one array of at most
-    max_periods values; tasks hold one chunk of parameter rows of one series at a time.
+    max_periods values; a task tries a piece of the grid for one series at a time.
     """
     name = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
     rows = series.where(F.col("ts").isNotNull() & F.col("y").isNotNull()).select(name.alias("series"), "ts", F.col("y").cast("double").alias("y"))
-    best = rows.groupBy("series").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "y"))), lambda r: r["y"]).alias("ys"), F.lit(None).cast("array<double>").alias("p"))
-    fields = [best.schema["series"], T.StructField("ys", T.ArrayType(T.DoubleType())), T.StructField("sse", T.DoubleType()), T.StructField("p", T.ArrayType(T.DoubleType()))]
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(T.StructType(fields))
-    sizes = [len(candidates(2, None, 0)), *[3**4] * len(STEPS)]
-    for k, step in enumerate((0.0, *STEPS)):
-        chunks = -(-sizes[k] // CHUNK)
-        dealt = best.select("series", "ys", "p", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).repartition(F.xxhash64("series", "chunk"))
-        tried = dealt.mapInArrow(_try(season, step, k == 0, chunks, arrow), T.StructType(fields))
-        least = F.min(F.when(F.col("p").isNotNull(), F.struct("sse", "p")))
-        best = tried.groupBy("series").agg(F.any_value("ys").alias("ys"), least.alias("b")).select("series", "ys", F.col("b.sse").alias("sse"), F.col("b.p").alias("p"))
-    return best
+    values = rows.groupBy("series").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "y"))), lambda r: r["y"]).alias("ys"))
+    names = ["series", "ys", "sse", "p"]
+    kind = T.StructType([values.schema["series"], T.StructField("ys", T.ArrayType(T.DoubleType())), T.StructField("sse", T.DoubleType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
+    dealt = values.select("series", "ys", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("chunk")).repartition(F.xxhash64("series", "chunk"))
+    tried = dealt.mapInArrow(_try_grid(season, names), kind)
+    best = tried.groupBy("series").agg(F.any_value("ys").alias("ys"), F.min(F.struct("sse", "p")).alias("b")).select("series", "ys", "b.p")
+    return best.mapInArrow(_refine(season, names), kind)
 
 
 def forecast(fitted: DataFrame, season: int | None, periods: int) -> DataFrame:
