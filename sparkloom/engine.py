@@ -21,6 +21,14 @@ from sparkloom.sources.tables import ROW_ID, Store, from_records, jsonable
 _rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]  # noqa: E731  small findings only
 
 
+def _grouped(df: DataFrame, names: list[str], order: str = "column") -> dict[str, list[dict]]:
+    """Small findings by column, each in order."""
+    out: dict[str, list[dict]] = {c: [] for c in names}
+    for r in sorted(_rows(df), key=lambda r: r[order]):
+        out[r.pop("column")].append(r)
+    return out
+
+
 class Dataset:
     """An ingested table."""
 
@@ -58,7 +66,10 @@ class Dataset:
         }
 
     def eda(self, target: str | None = None, problem: str | None = None) -> dict:
-        """Statistics by type, correlations and, for a target, associations and leakage. The last 20 results stay cached."""
+        """Statistics by type, correlations and, for a target, associations and leakage. The last 20 results stay cached.
+
+        Columns of a type share their reads; only the frequency of each datetime column is a search of its own.
+        """
         if target is not None and target not in self.frame.columns:
             raise ValueError(f"no column {target}")
         key, cache = (self.id, target, problem), self.engine.cache
@@ -70,9 +81,9 @@ class Dataset:
         out: dict = {"numeric": [], "high_pairs": [], "categorical_pairs": [], "target": None}
         if numeric:
             out["numeric"] = _rows(stats.numeric_summary(df, numeric).join(stats.outliers(df, numeric), "column", "left"))
-            out["histograms"] = {c: _rows(stats.histogram(df, c)) for c in numeric}
-            out["kde"] = {c: _rows(stats.kde(df, c)) for c in numeric}
-            out["normality"] = {c: _rows(normality.shapiro(df, c)) for c in numeric}
+            out["histograms"] = _grouped(stats.histograms(df, numeric), numeric, "bin")
+            out["kde"] = _grouped(stats.densities(df, numeric), numeric, "k")
+            out["normality"] = _grouped(normality.normality(df, numeric), numeric)
             some, out["correlation_limit"] = association.limited(numeric, self.engine.cfg.corr_max_cols)
             if len(some) > 1:
                 out["pearson"], out["spearman"] = _rows(association.pearson(df, some)), _rows(association.spearman_matrix(df, some))
@@ -80,9 +91,11 @@ class Dataset:
         out["categorical"] = _rows(stats.categorical_stats(df, categorical)) if categorical else []
         out["top_values"] = _rows(stats.top_values(df, categorical)) if categorical else []
         out["boolean"] = _rows(stats.boolean_stats(df, flags)) if flags else []
-        out["text"] = [{**r, "tokens": _rows(stats.token_counts(df, r["column"]))} for r in _rows(stats.text_stats(df, text))] if text else []
+        tokens = _grouped(stats.top_tokens(df, text), text, "rank") if text else {}
+        out["text"] = [{**r, "tokens": [{"token": x["token"], "n": x["n"]} for x in tokens[r["column"]]]} for r in _rows(stats.text_stats(df, text))] if text else []
+        parts = _grouped(stats.all_date_parts(df, dates), dates, "value") if dates else {}
         out["datetime"] = [
-            {**r, "frequency": timeseries.frequency(df, r["column"]), "parts": {p: _rows(stats.date_part_counts(df, r["column"], p).orderBy(p)) for p in ("year", "month", "weekday", *(["hour"] if r["has_time"] else []))}}
+            {**r, "frequency": timeseries.frequency(df, r["column"]), "parts": {p: [{p: x["value"], "n": x["n"]} for x in parts[r["column"]] if x["part"] == p] for p in ("year", "month", "weekday", *(["hour"] if r["has_time"] else []))}}
             for r in _rows(stats.datetime_stats(df, dates))
         ] if dates else []
         small = [m.name for m in self.meta if m.semantic_type == "categorical" and 2 <= m.n_unique <= 30]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.common import cumulative, finite
+from sparkloom.operators.common import cumulative, finite, top_n
 
 #: Ranks whose scores are added up at a time.
 PIECE = 1 << 16
@@ -62,41 +62,57 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     return w, _p_value(w, n)
 
 
-def shapiro(df: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
-    """One row (n, w, p, verdict) from all rows of a column; empty below 8 values or 3 distinct ones.
+def _added(batches):
+    """Sums of the normal scores, and of their squares, over each row's ranks."""
+    for batch in batches:
+        sums = [[], []]
+        for first, last, n in zip(*(batch.column(c).to_pylist() for c in ("first", "last", "n"))):
+            m = _scores(first, last, n)
+            sums[0].append(float(m.sum()))
+            sums[1].append(float(m @ m))
+        yield pa.RecordBatch.from_arrays([batch.column("column"), batch.column("d"), *[pa.array(s, pa.float64()) for s in sums]], names=["column", "d", "m", "mm"])
+
+
+def normality(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
+    """(column, n, w, p, verdict) from all rows of each numeric column; none for columns below 8 values or 3 distinct ones.
 
     The verdict says only whether normality is rejected. The approximation of p was made for
-    up to 5000 values; beyond, small departures are already rejected.
+    up to 5000 values; beyond, small departures are already rejected. The number of jobs
+    does not depend on that of the columns.
     """
-    v = finite(F.col(f"`{column}`"))
-    counts = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("c"))
-    head = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("distinct"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")).first()
-    n, mean = head["n"], head["mean"]
-    schema = "n long, w double, p double, verdict string"
-    if n < 8 or head["distinct"] < 3:
-        return df.sparkSession.createDataFrame([], schema)
-
-    def added(batches):
-        for batch in batches:
-            sums = [[], []]
-            for first, last in zip(batch.column("first").to_pylist(), batch.column("last").to_pylist()):
-                m = _scores(first, last, n)
-                sums[0].append(float(m.sum()))
-                sums[1].append(float(m @ m))
-            yield pa.RecordBatch.from_arrays([batch.column("d"), *[pa.array(s, pa.float64()) for s in sums]], names=["d", "m", "mm"])
-
-    ranked = cumulative(counts, "v", ["c"])
+    spark, schema = df.sparkSession, "column string, n long, w double, p double, verdict string"
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), finite(F.col(f"`{c}`")).alias("v")) for c in columns])
+    counts = df.select(F.inline(cells)).where("v is not null").groupBy("column", "v").agg(F.count("*").alias("c"))
+    heads = counts.groupBy("column").agg(F.sum("c").alias("n"), F.count("*").alias("distinct"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")).where("n >= 8 and distinct >= 3").select("column", "n", "mean").collect()
+    if not heads:
+        return spark.createDataFrame([], schema)
+    own = F.broadcast(spark.createDataFrame(heads, "column string, n long, mean double"))  # a row for each column
+    counts = counts.join(own, "column").withColumn("d", F.col("v") - F.col("mean"))
+    ranked = cumulative(counts, "v", ["c"], "column")
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / PIECE).cast("long")))
-    pieces = ranked.select((F.col("v") - F.lit(mean)).alias("d"), "c", "before_c", piece.alias("k"))
-    pieces = pieces.select("d", (F.col("before_c") + F.col("k") * PIECE + 1).alias("first"), F.least(F.col("before_c") + F.col("c"), F.col("before_c") + (F.col("k") + 1) * PIECE).alias("last"))
-    sums = pieces.repartition(F.xxhash64("d", "first")).mapInArrow(added, "d double, m double, mm double").agg(F.sum(F.col("d") * F.col("m")).alias("dm"), F.sum("mm").alias("ss")).first()
-    spread = counts.agg(F.sum(F.col("c") * (F.col("v") - F.lit(mean)) * (F.col("v") - F.lit(mean))).alias("s")).first()["s"]
-    at_end = lambda order: [r["v"] - mean for r in counts.orderBy(order).limit(2).collect() for _ in range(min(r["c"], 2))][:2]
-    low, high = at_end(F.asc("v")), at_end(F.desc("v"))
-    last, before, root = _ends(n, sums["ss"])
-    m_before, m_last = _scores(n - 1, n, n)
-    # The four outermost values have weights of their own.
-    b = sums["dm"] / root + (last - m_last / root) * (high[0] - low[0]) + (before - m_before / root) * (high[1] - low[1])
-    w = min(1.0, b * b / spread)
-    p = _p_value(w, n)
-    return df.sparkSession.createDataFrame([(n, float(w), float(p), "normality rejected" if p < alpha else "normality not rejected")], schema)
+    pieces = ranked.select("column", "n", "d", "c", "before_c", piece.alias("k"))
+    pieces = pieces.select("column", "n", "d", (F.col("before_c") + F.col("k") * PIECE + 1).alias("first"), F.least(F.col("before_c") + F.col("c"), F.col("before_c") + (F.col("k") + 1) * PIECE).alias("last"))
+    added = pieces.repartition(F.xxhash64("column", "d", "first")).mapInArrow(_added, "column string, d double, m double, mm double")
+    sums = {r["column"]: r for r in added.groupBy("column").agg(F.sum(F.col("d") * F.col("m")).alias("dm"), F.sum("mm").alias("ss")).collect()}
+    spreads = {r["column"]: r["s"] for r in counts.groupBy("column").agg(F.sum(F.col("c") * F.col("d") * F.col("d")).alias("s")).collect()}
+    ends: dict = {(r["column"], way): [] for r in heads for way in (0, 1)}
+    outer = [top_n(counts.select("column", "d", "c"), 2, [order], ["column"]).withColumn("way", F.lit(way)) for way, order in enumerate((F.asc("d"), F.desc("d")))]
+    for r in sorted(outer[0].unionByName(outer[1]).collect(), key=lambda r: r["rank"]):
+        ends[r["column"], r["way"]] += [r["d"]] * min(r["c"], 2)
+    out = []
+    for r in heads:
+        c, n = r["column"], r["n"]
+        low, high = ends[c, 0], ends[c, 1]
+        last, before, root = _ends(n, sums[c]["ss"])
+        m_before, m_last = _scores(n - 1, n, n)
+        # The four outermost values have weights of their own.
+        b = sums[c]["dm"] / root + (last - m_last / root) * (high[0] - low[0]) + (before - m_before / root) * (high[1] - low[1])
+        w = min(1.0, b * b / spreads[c])
+        p = _p_value(w, n)
+        out.append((c, n, float(w), float(p), "normality rejected" if p < alpha else "normality not rejected"))
+    return spark.createDataFrame(out, schema)
+
+
+def shapiro(df: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
+    """One row (n, w, p, verdict) of one column, or none; see normality."""
+    return normality(df, [column], alpha).drop("column")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULT, STOP_WORDS, Config
@@ -65,40 +65,69 @@ def outliers(df: DataFrame, columns: list[str] | None = None, cfg: Config = DEFA
     return wide.select(F.inline(F.array(*rows)))
 
 
+def _cells(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(column, v): the non-null values of named expressions, one below the other."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), x.alias("v")) for c, x in values.items()]))).where("v is not null")
+
+
+def histograms(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, bin, low, high, n) of each numeric column: equal-width bins, as many as the square root of the count, 5 to 30; the last one closed; empty bins included.
+
+    Two reads of the table, whatever the number of columns. A column without values has no rows.
+    """
+    spark, schema = df.sparkSession, "column string, bin int, low double, high double"
+    heads = {r["column"]: r for r in per_column(df, columns, {"n": lambda c: F.count(finite(c)), "lo": lambda c: F.min(finite(c)), "hi": lambda c: F.max(finite(c))}).collect()} if columns else {}
+    places, bins = {}, []
+    for c, head in heads.items():
+        if not head["n"]:
+            continue
+        lo, hi = (head["lo"] - 0.5, head["hi"] + 0.5) if head["lo"] == head["hi"] else (head["lo"], head["hi"])
+        many = int(min(30, max(5, head["n"] ** 0.5)))
+        width = (hi - lo) / many
+        v = finite(F.col(f"`{c}`"))
+        places[c] = F.when(v.isNotNull(), F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(many - 1)).cast("int"))
+        bins += [(c, k, lo + k * width, lo + (k + 1) * width) for k in range(many)]
+    if not places:
+        return spark.createDataFrame([], schema + ", n long")
+    counts = _cells(df, places).groupBy("column", F.col("v").alias("bin")).agg(F.count("*").alias("n"))
+    return spark.createDataFrame(bins, schema).join(counts, ["column", "bin"], "left").select("column", "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def histogram(df: DataFrame, column: str) -> DataFrame:
-    """(bin, low, high, n): equal-width bins, as many as the square root of the count, 5 to 30; the last one closed; empty bins included."""
-    v = finite(F.col(f"`{column}`"))
-    head = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
-    spark = df.sparkSession
-    if not head["n"]:
-        return spark.createDataFrame([], "bin int, low double, high double, n long")
-    lo, hi = (head["lo"] - 0.5, head["hi"] + 0.5) if head["lo"] == head["hi"] else (head["lo"], head["hi"])
-    bins = int(min(30, max(5, head["n"] ** 0.5)))
-    width = (hi - lo) / bins
-    at = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    counts = df.where(v.isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
-    every = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(counts, "bin", "left").select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("low"), (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+    """(bin, low, high, n) of one column; see histograms."""
+    return histograms(df, [column]).drop("column")
 
 
-def kde(df: DataFrame, column: str, points: int = 80) -> DataFrame:
-    """(k, x, y): Gaussian density on a grid from the minimum to the maximum, bandwidth by Scott's rule, over all values.
+def densities(df: DataFrame, columns: list[str], points: int = 80) -> DataFrame:
+    """(column, k, x, y) of each numeric column: Gaussian density on a grid from the minimum to the maximum, bandwidth by Scott's rule, over all values.
 
-    Equal values are one row with a count before they meet the grid. Empty unless there is
-    spread, 30 values and more than 10 distinct ones.
+    Equal values are one row with a count before they meet the grid. A column has no rows
+    unless there is spread, 30 values and more than 10 distinct ones. Three reads of the
+    table, whatever the number of columns.
     """
-    v = finite(F.col(f"`{column}`"))
-    counts = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("w"))
-    head = df.agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.count_distinct(v).alias("u")).first()
-    if head["n"] < 30 or not head["sd"] or head["u"] <= 10:
-        return df.sparkSession.createDataFrame([], "k int, x double, y double")
-    n, sd, lo, hi = head["n"], head["sd"], head["lo"], head["hi"]
-    h = sd * n ** (-1 / 5)
-    step = (hi - lo) / (points - 1)
-    x = lambda k: F.lit(lo) + k * F.lit(step)
-    grid = counts.select("v", "w", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
-    z = (x(F.col("k")) - F.col("v")) / F.lit(h)
-    return grid.groupBy("k").agg((F.sum(F.col("w") * F.exp(-z * z / 2)) / F.lit(n * h * (2 * 3.141592653589793) ** 0.5)).alias("y")).select("k", x(F.col("k")).alias("x"), "y")
+    spark, schema = df.sparkSession, "column string, lo double, step double, h double, area double"
+    grids = []
+    if columns:
+        counts = _cells(df, {c: finite(F.col(f"`{c}`")) for c in columns}).groupBy("column", "v").agg(F.count("*").alias("w"))
+        several = {r["column"] for r in counts.groupBy("column").agg(F.count("*").alias("u")).where("u > 10").collect()}
+        measures = {"n": lambda c: F.count(finite(c)), "sd": lambda c: F.stddev_samp(finite(c)), "lo": lambda c: F.min(finite(c)), "hi": lambda c: F.max(finite(c))}
+        for r in per_column(df, columns, measures).collect():
+            if r["n"] >= 30 and r["sd"] and r["column"] in several:
+                h = r["sd"] * r["n"] ** (-1 / 5)
+                grids.append((r["column"], r["lo"], (r["hi"] - r["lo"]) / (points - 1), h, r["n"] * h * (2 * 3.141592653589793) ** 0.5))
+    if not grids:
+        return spark.createDataFrame([], "column string, k int, x double, y double")
+    own = F.broadcast(spark.createDataFrame(grids, schema))  # a row for each column
+    x = F.col("lo") + F.col("k") * F.col("step")
+    z = (x - F.col("v")) / F.col("h")
+    grid = counts.join(own, "column").select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
+    sums = grid.groupBy("column", "k").agg(F.sum(F.col("w") * F.exp(-z * z / 2)).alias("s"))
+    return sums.join(own, "column").select("column", "k", x.alias("x"), (F.col("s") / F.col("area")).alias("y"))
+
+
+def kde(df: DataFrame, column: str, points: int = 80) -> DataFrame:
+    """(k, x, y) of one column; see densities."""
+    return densities(df, [column], points).drop("column")
 
 
 def categorical_stats(df: DataFrame, columns: list[str], cfg: Config = DEFAULT) -> DataFrame:
@@ -153,13 +182,23 @@ def text_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return lengths.join(unique, "column", "left").select("column", "avg_length", "median_length", "missing", F.coalesce("unique", F.lit(0)).alias("unique"))
 
 
+def _tokens(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(C.TOKEN), F.lit(0))
+
+
 def token_counts(df: DataFrame, column: str, top: int | None = 15) -> DataFrame:
     """(token, n): lower-cased tokens of three letters or more without stop words, over all rows; the most frequent ones."""
-    tokens = F.regexp_extract_all(F.lower(F.col(f"`{column}`")), F.lit(C.TOKEN), F.lit(0))
-    counts = df.select(F.explode(tokens).alias("token")).where(~F.col("token").isin(*STOP_WORDS)).groupBy("token").agg(F.count("*").alias("n"))
+    counts = df.select(F.explode(_tokens(F.col(f"`{column}`"))).alias("token")).where(~F.col("token").isin(*STOP_WORDS)).groupBy("token").agg(F.count("*").alias("n"))
     return counts if top is None else counts.orderBy(F.desc("n"), F.asc("token")).limit(top)
 
 
+def top_tokens(df: DataFrame, columns: list[str], top: int = 15) -> DataFrame:
+    """(column, rank, token, n): the most frequent tokens of each text column, all columns in one read."""
+    tokens = _cells(df, {c: _tokens(F.col(f"`{c}`")) for c in columns}).select("column", F.explode("v").alias("token"))
+    counts = tokens.where(~F.col("token").isin(*STOP_WORDS)).groupBy("column", "token").agg(F.count("*").alias("n"))
+    return top_n(counts, top, [F.desc("n"), F.asc("token")], ["column"]).select("column", "rank", "token", "n")
+
+
 def datetime_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, missing, min, max, duration_days, has_time)."""
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
@@ -173,11 +212,19 @@ def datetime_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
+_PARTS = {"year": F.year, "month": F.month, "weekday": F.weekday, "hour": F.hour}
+
+
 def date_part_counts(df: DataFrame, column: str, part: str) -> DataFrame:
     """(part, n) by year, month, weekday (0 is Monday) or hour."""
-    of = {"year": F.year, "month": F.month, "weekday": F.weekday, "hour": F.hour}[part]
     c = F.col(f"`{column}`")
-    return df.where(c.isNotNull()).groupBy(of(c).cast("long").alias(part)).agg(F.count("*").alias("n"))
+    return df.where(c.isNotNull()).groupBy(_PARTS[part](c).cast("long").alias(part)).agg(F.count("*").alias("n"))
+
+
+def all_date_parts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, part, value, n) by year, month, weekday and hour of each column, all in one read."""
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(p).alias("part"), f(F.col(f"`{c}`")).cast("long").alias("value")) for c in columns for p, f in _PARTS.items()]
+    return df.select(F.inline(F.array(*cells))).where("value is not null").groupBy("column", "part", "value").agg(F.count("*").alias("n"))
 
 
 def distinct_counts(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
