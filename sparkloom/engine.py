@@ -139,7 +139,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str | Path, cfg: Config = DEFAULT):
         self.spark, self.cfg = spark, cfg
-        self.root, self.store, self.registry = root, Store(spark, Path(root), cfg), Registry(root)
+        self.store, self.registry = Store(spark, root, cfg), Registry(spark, root)
+        self.root = self.store.root
         self.cache: OrderedDict = OrderedDict()
         self.results: dict[str, object] = {}
         self.busy = threading.Lock()

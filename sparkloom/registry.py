@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
 from datetime import datetime, timezone
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 from sparkloom.config import MODEL_STATUSES
+from sparkloom.sources.scratch import qualified
+from sparkloom.sources.shared import Files
 from sparkloom.sources.tables import write_json
 
 
 class Registry:
-    """Documents under a folder; one process writes at a time."""
+    """Documents under a folder that Spark can write, shared or local; one process writes at a time."""
 
-    def __init__(self, root: str | Path):
-        self.root = Path(root) / "experiments"
-        self.root.mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, root: str | Path):
+        self.root, self.files = f"{qualified(spark, str(root))}/experiments", Files(spark)
 
-    def _path(self, experiment_id: str) -> Path:
+    def _path(self, experiment_id: str) -> str:
         if not re.fullmatch(r"[0-9a-f]{10}", experiment_id):
             raise KeyError(experiment_id)
-        return self.root / f"{experiment_id}.json"
+        return f"{self.root}/{experiment_id}.json"
 
     def create(self, filename: str, config: dict, kind: str = "tabular") -> dict:
         """A new experiment; its version counts those of the same name."""
@@ -33,17 +35,17 @@ class Registry:
         return doc
 
     def save(self, doc: dict) -> None:
-        write_json(self._path(doc["id"]), doc)
+        write_json(self.files, self._path(doc["id"]), doc)
 
     def get(self, experiment_id: str) -> dict:
         path = self._path(experiment_id)
-        if not path.exists():
+        if not self.files.exists(path):
             raise KeyError(experiment_id)
-        return json.loads(path.read_text())
+        return self.files.read_json(path)
 
     def list(self) -> list[dict]:
         """Newest first."""
-        return sorted((json.loads(p.read_text()) for p in self.root.glob("*.json")), key=lambda e: e["created"], reverse=True)
+        return sorted(map(self.files.read_json, self.files.matching(f"{self.root}/*.json")), key=lambda e: e["created"], reverse=True)
 
     def set_status(self, experiment_id: str, status: str) -> dict:
         """Only completed runs; promoting to Production archives the one of the same name that was there."""

@@ -6,7 +6,7 @@ identity at ingest, as Spark keeps no order.
 
 from __future__ import annotations
 
-import hashlib
+import io
 import json
 import os
 import re
@@ -26,6 +26,7 @@ from sparkloom.config import DEFAULT, Config
 from sparkloom.operators import quality, typing
 from sparkloom.sources import quoted_csv, workbooks
 from sparkloom.sources.scratch import qualified
+from sparkloom.sources.shared import Files
 from sparkloom.sources.workbooks import clean_names
 
 ROW_ID = "_row_id"
@@ -91,10 +92,10 @@ def write_workbooks(df: DataFrame, path: str) -> None:
     df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).write.format("workbook").mode("append").save(qualified(df.sparkSession, path))
 
 
-def _checked_workbook(path: str) -> None:
-    """Raises UploadError unless a local file is a workbook with data rows."""
+def _checked_workbook(data: bytes) -> None:
+    """Raises UploadError unless a file is a workbook with data rows."""
     try:
-        with zipfile.ZipFile(path) as z:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
             if workbooks.row_count(z) < 2:
                 raise UploadError("no data rows")
             next(workbooks.rows_of(z, 0, 1), None)
@@ -103,22 +104,22 @@ def _checked_workbook(path: str) -> None:
 
 
 def parse_upload(spark: SparkSession, path: str, cfg: Config = DEFAULT) -> DataFrame:
-    """A validated all-string table from a local .csv or .xlsx file. Raises UploadError."""
+    """A validated all-string table from a .csv or .xlsx file of at most max_upload_mb, at a path that Spark can read. Raises UploadError."""
     ext = Path(path).suffix.lower()
     if ext not in (".csv", ".xlsx"):
         raise UploadError(f"{ext or 'this'} is no supported file type; use .csv or .xlsx")
-    size = os.path.getsize(path)
+    files = Files(spark)
+    size = files.size(path)
     if not size:
         raise UploadError("the file is empty")
     if size > cfg.max_upload_mb * 1024 * 1024:
         raise UploadError(f"the file is larger than {cfg.max_upload_mb} MB")
     if ext == ".csv":
-        with open(path, "rb") as f:
-            encoding, sep = sniff(f.read(20000))
-        df = read_csv(spark, Path(path).resolve().as_uri(), encoding, sep)
+        encoding, sep = sniff(files.read(path, 20000))
+        df = read_csv(spark, qualified(spark, path), encoding, sep)
     else:
-        _checked_workbook(path)
-        df = read_xlsx(spark, Path(path).resolve().as_uri())
+        _checked_workbook(files.read(path))
+        df = read_xlsx(spark, path)
     if len(df.columns) > cfg.max_cols:
         raise UploadError(f"{len(df.columns)} columns; the limit is {cfg.max_cols}")
     rows = df.limit(cfg.max_rows + 1).count()
@@ -160,59 +161,56 @@ def jsonable(o):
     return jsonable(o.item()) if hasattr(o, "item") else str(o)
 
 
-def write_json(path: Path, document) -> None:
+def write_json(files: Files, path: str, document) -> None:
     """Whole or not at all."""
-    part = path.with_suffix(f".{uuid.uuid4().hex}.tmp")
-    part.write_text(json.dumps(jsonable(document)))
-    os.replace(part, path)
+    files.write(path, json.dumps(jsonable(document)).encode())
 
 
 @dataclass
 class Store:
-    """Datasets under a folder: raw Parquet with row ids, and a metadata document that is inferred once and replayed."""
+    """Datasets under a folder that Spark can write, shared or local: raw Parquet with row ids, and a metadata document that is inferred once and replayed."""
 
     spark: SparkSession
-    root: Path
+    root: str | Path
     cfg: Config = DEFAULT
 
     def __post_init__(self):
-        self.root = Path(self.root)
+        self.root = qualified(self.spark, str(self.root))
+        self.files = Files(self.spark)
         self._typed: OrderedDict[str, DataFrame] = OrderedDict()
 
-    def folder(self, dataset_id: str) -> Path:
+    def folder(self, dataset_id: str) -> str:
         if not re.fullmatch(r"[0-9a-f]{12}", dataset_id):
             raise UploadError("no such dataset id")
-        return self.root / "datasets" / dataset_id
+        return f"{self.root}/datasets/{dataset_id}"
 
     def save(self, filename: str, df: DataFrame, digest: str = "", size: int = 0) -> dict:
         """Writes the raw table, infers its types and keeps both."""
         dataset_id = uuid.uuid4().hex[:12]
         folder = self.folder(dataset_id)
-        folder.mkdir(parents=True)
-        with_row_id(df).write.parquet(str(folder / "raw"))
-        raw = self.spark.read.parquet(str(folder / "raw"))
+        with_row_id(df).write.parquet(f"{folder}/raw")
+        raw = self.spark.read.parquet(f"{folder}/raw")
         clean = quality.normalize_placeholders(raw.drop(ROW_ID))
         meta = {
             "id": dataset_id, "filename": safe_filename(filename), "sha256": digest, "size": size, "created": datetime.now(timezone.utc).isoformat(), "rows": raw.count(),
             "columns": [m.as_dict() for m in typing.infer_types(clean, self.cfg)],
         }
-        write_json(folder / "meta.json", meta)
+        write_json(self.files, f"{folder}/meta.json", meta)  # last: a dataset that is listed is whole
         return meta
 
     def ingest(self, path: str) -> dict:
-        data = Path(path)
         df = parse_upload(self.spark, path, self.cfg)
-        return self.save(data.name, df, hashlib.sha256(data.read_bytes()).hexdigest(), data.stat().st_size)
+        return self.save(os.path.basename(path), df, self.files.digest(path), self.files.size(path))
 
     def meta(self, dataset_id: str) -> dict:
-        return json.loads((self.folder(dataset_id) / "meta.json").read_text())
+        return self.files.read_json(f"{self.folder(dataset_id)}/meta.json")
 
     def list(self) -> list[dict]:
         """Newest first."""
-        return sorted((json.loads(p.read_text()) for p in self.root.glob("datasets/*/meta.json")), key=lambda m: m["created"], reverse=True)
+        return sorted(map(self.files.read_json, self.files.matching(f"{self.root}/datasets/*/meta.json")), key=lambda m: m["created"], reverse=True)
 
     def raw(self, dataset_id: str) -> DataFrame:
-        return self.spark.read.parquet(str(self.folder(dataset_id) / "raw"))
+        return self.spark.read.parquet(f"{self.folder(dataset_id)}/raw")
 
     def typed(self, dataset_id: str) -> DataFrame:
         """Typed by the stored metadata; the four last used stay cached."""
