@@ -77,8 +77,7 @@ def op8_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned outside fold 2 of 4. Each row is scored by its own text; held_out is null for a null doc_id."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    ranking = QualityRanking(folds=4, held_out=2, at=0.7)
-    scored = ranking.score(docs, ranking.fit(docs, labels))
+    scored = QualityRanking(folds=4, held_out=2, at=0.7).run(docs, labels)
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

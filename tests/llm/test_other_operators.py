@@ -8,6 +8,7 @@ import random
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,6 +397,37 @@ def test_pair_weights_are_of_all_pairs():
     assert np.abs(lose @ diff * 63 / len(diff) - w).max() < 1e-6
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    """Bad documents come only after the first 12000 labelled ones in the order of a hash; weights and threshold are those of all pairs, taken one by one."""
+    from sparkloom.llm.labelled import fold
+
+    rng = random.Random(6)
+    ids = [r["id"] for r in spark.range(17000).where(fold(F.col("id"), 4) != 2).orderBy(F.xxhash64("id"), "id").collect()]
+    bad = set(ids[12000:])
+    assert len(bad) > 200
+    word = lambda i: rng.choice(("$$$", "BUY!!!", "w1") if i in bad else ("w1", "other", "BUY!!!", "longer"))
+    texts = {i: " ".join(word(i) for _ in range(rng.randrange(4, 12))) for i in range(17000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in ids], "doc_id long, quality int").repartition(3)
+    ranking = quality.QualityRanking()
+    model = ranking.fit(docs, labels)
+
+    x, y = quality.features(pa.array([texts[i] for i in ids])), np.array([i not in bad for i in ids])
+    assert np.allclose(model.mean, x.mean(axis=0), rtol=1e-6) and np.allclose(model.spread, np.maximum(x.std(axis=0), 1e-6), rtol=1e-6)
+    win, lost = model.expand(x[y]), model.expand(x[~y])
+    lose = 1 / (1 + np.exp((win @ model.weights)[:, None] - (lost @ model.weights)[None, :]))
+    scale = len(ids) / len(win) / len(lost)
+    gradient = scale * (lose.sum(axis=1) @ win - lose.sum(axis=0) @ lost) - model.weights
+    lose *= 1 - lose
+    cross = win.T @ (lose @ lost)
+    curve = scale * ((win.T * lose.sum(axis=1)) @ win + (lost.T * lose.sum(axis=0)) @ lost - cross - cross.T) + np.eye(len(model.weights))
+    assert np.abs(np.linalg.solve(curve, gradient)).max() < 1e-5
+    assert abs(model.threshold - np.quantile(model.strength(x), len(bad) / len(ids))) < 1e-9
+    got = {r["doc_id"]: r["score"] for r in ranking.run(docs, labels).collect()}
+    assert got == {r["doc_id"]: r["score"] for r in ranking.score(docs, model).collect()} and len(got) == 17000
+    assert np.mean([(got[i] >= 0.7) == (i not in bad) for i in ids]) > 0.95
+
+
 def test_quality_odd_rows(spark):
     """Null, empty, repeated and long texts under a fitted model, and columns with clashing names."""
     docs, labels = labelled(spark, n=200)
